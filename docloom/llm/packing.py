@@ -187,7 +187,7 @@ def pack_documents(
         base = TaskContext.get().partitionId() << 40
         for b in batches:
             ids = [np.append(x, np.uint32(END_ID)).astype("<u4") for x in encode_all([t or "" for t in b.column(1).to_pylist()], path)]
-            rows = [(d, s, n, zlib.crc32(ids[d][s : s + n]), len(ids[d]), base + q, o) for q, seq in enumerate(pack_partition(((i, len(x)) for i, x in enumerate(ids)), capacity)) for d, s, n, o in seq]
+            rows = [(d, s, n, zlib.crc32(ids[d][s : s + n]), len(ids[d]), base + q, o) for q, seq in enumerate(pack_batch(((i, len(x)) for i, x in enumerate(ids)), capacity)) for d, s, n, o in seq]
             base += len(ids) + sum(map(len, ids))
             cols = [np.array(c, np.int64) for c in zip(*rows, strict=True)] or [np.zeros(0, np.int64)] * 7
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(cols[0])), *map(pa.array, cols[1:])], names=names)
