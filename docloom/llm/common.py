@@ -14,13 +14,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Aimed-at bytes of raw text in one block of documents, or in one bucket of routed text.
 BLOCK_BYTES = 8 << 20
-BUCKET_BYTES = 64 << 20
+BUCKET_BYTES = 16 << 20
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
@@ -114,6 +115,10 @@ class Words:
     hash: np.ndarray
 
 
+#: Bytes of text whose words are hashed at once; bounds the temporary arrays.
+_CHUNK = 2 << 20
+
+
 def words_of(texts: list[bytes]) -> Words:
     """Find and hash all words of the texts with array operations only.
 
@@ -121,19 +126,37 @@ def words_of(texts: list[bytes]) -> Words:
     taken as equal when their hashes are (chance of a false match about 1e-19 for each pair).
     """
     buf = b" ".join(texts)
-    raw = np.frombuffer(buf, np.uint8)
-    if not len(raw):
-        e = np.zeros(0, np.int64)
-        return Words(buf, e, e, e, np.zeros(0, np.uint64))
-    solid = ~((raw == 32) | ((raw >= 9) & (raw <= 13)))
-    edge = np.flatnonzero(np.diff(np.concatenate(([False], solid, [False])).view(np.int8)))
-    start, end = edge[0::2], edge[1::2]
     ends_of_texts = np.cumsum([len(t) + 1 for t in texts])
-    doc = np.searchsorted(ends_of_texts, start, side="right")
-    sums = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * _powers(_BASE, len(raw)), out=sums[1:])
-    value = (sums[end] - sums[start]) * _powers(_INVERSE, len(raw))[start]
-    return Words(buf, start, end, doc, mix64(value + (end - start).astype(np.uint64)))
+    parts: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)]
+    at = 0
+    while at < len(buf):
+        stop = min(at + _CHUNK, len(buf))
+        while stop < len(buf) and not (buf[stop] == 32 or 9 <= buf[stop] <= 13):
+            stop += 1  # never inside a word
+        raw = np.frombuffer(buf, np.uint8, stop - at, at)
+        solid = ~((raw == 32) | ((raw >= 9) & (raw <= 13)))
+        edge = np.flatnonzero(np.diff(np.concatenate(([False], solid, [False])).view(np.int8)))
+        start, end = edge[0::2], edge[1::2]
+        sums = np.zeros(len(raw) + 1, np.uint64)
+        np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * _powers(_BASE, len(raw)), out=sums[1:])
+        value = (sums[end] - sums[start]) * _powers(_INVERSE, len(raw))[start]
+        doc = np.searchsorted(ends_of_texts, start + at, side="right")
+        parts.append(
+            ((start + at).astype(np.int32), (end + at).astype(np.int32), doc.astype(np.int32), mix64(value + (end - start).astype(np.uint64)))
+        )
+        at = stop
+    parts = parts[1:] or parts
+    return Words(buf, *(np.concatenate([p[i] for p in parts]) for i in range(4)))
+
+
+def sliced(batches: Iterable[pa.RecordBatch], text: int, limit: int = BLOCK_BYTES) -> Iterable[pa.RecordBatch]:
+    """The same rows in batches of about ``limit`` bytes of the text column, one row at least."""
+    for b in batches:
+        sizes = pa.compute.fill_null(pa.compute.binary_length(b.column(text)), 0).to_numpy(zero_copy_only=False)
+        group = (np.cumsum(sizes, dtype=np.int64) - sizes) // limit
+        cuts = np.concatenate(([0], np.flatnonzero(np.diff(group)) + 1, [len(sizes)]))
+        for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            yield b.slice(i, j - i)
 
 
 def gram_hash(h: np.ndarray, k: int) -> np.ndarray:
@@ -196,11 +219,12 @@ def crc_bucket(words: list[bytes], n: int) -> np.ndarray:
     return np.fromiter((zlib.crc32(w) for w in words), np.int64, len(words)) % n
 
 
-def add_columns(df: DataFrame, inputs: list[str], outputs: str, fn) -> DataFrame:
+def add_columns(df: DataFrame, inputs: list[str], outputs: str, fn, text_input: int | None = 0) -> DataFrame:
     """Append columns that ``fn`` makes, batch by batch, from the input columns; rows and all other
     columns stay. ``outputs`` is a DDL list of fields; existing columns of those names are replaced.
 
-    ``fn`` takes the Arrow arrays of ``inputs`` and returns one Arrow array per output.
+    ``fn`` takes the Arrow arrays of ``inputs`` and returns one Arrow array per output. With
+    ``text_input``, the ordinal of a text among the inputs, batches are bounded in bytes.
     """
     new = [x.strip().split(" ")[0] for x in outputs.split(";")]
     kept = [c for c in df.columns if c.lower() not in {x.lower() for x in new}]
@@ -210,7 +234,7 @@ def add_columns(df: DataFrame, inputs: list[str], outputs: str, fn) -> DataFrame
     names = [f"c{i}" for i in range(n)] + [f"o{i}" for i in range(len(new))]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches, n + text_input) if text_input is not None else batches:
             made = fn([b.column(n + i) for i in range(len(inputs))])
             yield pa.RecordBatch.from_arrays([b.column(i) for i in range(n)] + list(made), names=names)
 

@@ -12,6 +12,8 @@ import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
+from docloom.llm.common import sliced
+
 CAPACITY = 2048
 END_ID = 1
 #: Distinct word parts whose ids a task remembers; beyond it the table starts anew.
@@ -185,7 +187,7 @@ def pack_documents(
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         base = TaskContext.get().partitionId() << 40
-        for b in batches:
+        for b in sliced(batches, 1):
             ids = [np.append(x, np.uint32(END_ID)).astype("<u4") for x in encode_all([t or "" for t in b.column(1).to_pylist()], path)]
             rows = [(d, s, n, zlib.crc32(ids[d][s : s + n]), len(ids[d]), base + q, o) for q, seq in enumerate(pack_batch(((i, len(x)) for i, x in enumerate(ids)), capacity)) for d, s, n, o in seq]
             base += len(ids) + sum(map(len, ids))

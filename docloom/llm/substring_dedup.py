@@ -30,6 +30,7 @@ from docloom.llm.common import (
     mix64,
     pack,
     shuffle_partitions,
+    sliced,
     text_bytes,
     unpack,
     unpack_array,
@@ -131,7 +132,7 @@ def hot_prefixes(docs: DataFrame, text_col: str, window: int = WINDOW, share: fl
 
     def count(candidates: np.ndarray | None):
         def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-            for b in batches:
+            for b in sliced(batches, 0):
                 w = words_of([t or b"" for t in b.column(0).cast(pa.binary()).to_pylist()])
                 keys, n = np.unique(anchored_runs(w, window, none).key, return_counts=True)
                 total = int(n.sum())
