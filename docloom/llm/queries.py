@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from docloom.llm import (
+    lm_scoring,
     packing,
     pii,
     simhash,
@@ -18,5 +19,6 @@ QUERIES = {
     "op4_packing": packing.op4_packing,
     "op5_url_filter": url_filter.op5_url_filter,
     "op7_simhash": simhash.op7_simhash,
+    "op9_lm_scoring": lm_scoring.op9_lm_scoring,
 }
 ORACLES = {"op5_url_filter": url_filter.ORACLE_SQL}
