@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from docloom.llm import (
+    embedding_dedup,
     lm_scoring,
     packing,
     pii,
+    sentencepiece_codec,
     simhash,
     substring_dedup,
     toxicity,
@@ -18,7 +20,9 @@ QUERIES = {
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_packing": packing.op4_packing,
     "op5_url_filter": url_filter.op5_url_filter,
+    "op6_embedding_dedup": embedding_dedup.op6_embedding_dedup,
     "op7_simhash": simhash.op7_simhash,
+    "op8_sentencepiece": sentencepiece_codec.op8_sentencepiece,
     "op9_lm_scoring": lm_scoring.op9_lm_scoring,
 }
 ORACLES = {"op5_url_filter": url_filter.ORACLE_SQL}
