@@ -16,8 +16,8 @@ from docloom.llm.common import sliced
 
 CAPACITY = 2048
 END_ID = 1
-#: Distinct word parts whose ids a task remembers; beyond it the table starts anew.
-_MEMORY = 400_000
+#: Distinct words whose ids a worker remembers, about 200 bytes each; beyond it the table starts anew.
+_MEMORY = 1_200_000
 #: The vocabulary's own pattern for word parts, a fixed value.
 _PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
@@ -33,6 +33,8 @@ def _tokenizer(path: str):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(path)
+    if tok.get_vocab_size() > 1 << 16:
+        raise ValueError("ids are remembered in 16 bits")
     ends = np.zeros(tok.get_vocab_size(), bool)
     for piece, i in tok.get_vocab().items():
         ends[i] = piece.endswith("</w>")
@@ -48,10 +50,9 @@ def encode_all(texts: list[str], path: str) -> list[np.ndarray]:
     space beyond ASCII, are left to the tokenizer itself.
     """
     tok, ends, special, known = _tokenizer(path)
-    words: dict[str, int] = {}
-    rows = []
-    for t in texts:
-        rows.append(np.fromiter((words.setdefault(w, len(words)) for w in _ascii_split(t)), np.int64))
+    split = [_ascii_split(t) for t in texts]
+    words = {w: i for i, w in enumerate(dict.fromkeys(w for x in split for w in x))}
+    rows = [np.fromiter(map(words.__getitem__, x), np.int64, len(x)) for x in split]
     fresh = [w for w in words if w not in known]
     if len(known) + len(fresh) > _MEMORY:
         known.clear()
@@ -72,13 +73,14 @@ def encode_all(texts: list[str], path: str) -> list[np.ndarray]:
             ids_of.update(zip(chunk, (x.tolist() for x in np.split(ids, cut[:-1])), strict=True))
         else:
             ids_of.update((p, tok.encode(p, add_special_tokens=False).ids) for p in chunk)
+    packed = {p: np.array(x, "<u2").tobytes() for p, x in ids_of.items()}
     for w, x in zip(plain, parts, strict=True):
-        known[w] = [i for p in x for i in ids_of[p]]
+        known[w] = packed[x[0]] if len(x) == 1 else b"".join(packed[p] for p in x)
     for w in odd:
-        known[w] = tok.encode(w, add_special_tokens=False).ids
+        known[w] = np.array(tok.encode(w, add_special_tokens=False).ids, "<u2").tobytes()
     lists = [known[w] for w in words]
-    sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-    flat = np.fromiter((i for x in lists for i in x), np.uint32, int(sizes.sum()))
+    sizes = np.fromiter(map(len, lists), np.int64, len(lists)) // 2
+    flat = np.frombuffer(b"".join(lists), "<u2").astype(np.uint32)
     base = np.cumsum(sizes) - sizes
     out = []
     for r in rows:
