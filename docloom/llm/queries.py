@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from docloom.llm import (
+    ann,
     embedding_dedup,
     lm_scoring,
     packing,
@@ -24,5 +25,6 @@ QUERIES = {
     "op7_simhash": simhash.op7_simhash,
     "op8_sentencepiece": sentencepiece_codec.op8_sentencepiece,
     "op9_lm_scoring": lm_scoring.op9_lm_scoring,
+    "op10_ann": ann.op10_ann,
 }
 ORACLES = {"op5_url_filter": url_filter.ORACLE_SQL}
