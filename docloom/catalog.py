@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from docloom.plans import analytics, parsing, retrieval
+
+QUERIES = {**analytics.QUERIES, **retrieval.QUERIES, **parsing.QUERIES}
+ORACLES = {**analytics.ORACLES, **retrieval.ORACLES}
