@@ -29,7 +29,7 @@ def is_list_item(line: Column) -> Column:
 
 def sentences(text: Column) -> Column:
     """What stands between sentence marks, without blanks around it."""
-    return F.filter(F.transform(F.regexp_extract_all(text, F.lit("[^。！？.!?]+"), F.lit(0)), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.regexp_extract_all(text, F.lit("[^。！？.!?]+"), F.lit(0)), lambda s: F.trim(s)), lambda s: s != "")
 
 
 def word_count(text: Column) -> Column:

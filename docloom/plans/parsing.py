@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docloom import corpus
 from docloom.functions import markdown as M
@@ -18,12 +19,14 @@ def query(f):
     return f
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def html_markdown(html: pd.Series) -> pd.Series:
     return html.map(to_markdown)
 
 
-_BLOCKS = "array<struct<kind: string, content: string, start: int, stop: int>>"
+_BLOCKS = T.ArrayType(
+    T.StructType().add("kind", T.StringType()).add("content", T.StringType()).add("start", T.IntegerType()).add("stop", T.IntegerType())
+)
 
 
 @F.pandas_udf(_BLOCKS)
@@ -45,7 +48,7 @@ def by_section(text: pd.Series) -> pd.Series:
     return text.map(lambda t: [(path, body, a, z) for body, a, z, path in M.sections(M.blocks(t or ""), 500)])
 
 
-@F.pandas_udf("array<struct<start: int, content: string>>")
+@F.pandas_udf(T.ArrayType(T.StructType().add("start", T.IntegerType()).add("content", T.StringType())))
 def windows(text: pd.Series) -> pd.Series:
     return text.map(lambda t: M.sliding(t or "", 500, 50))
 

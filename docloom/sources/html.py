@@ -23,8 +23,16 @@ class _Reader(HTMLParser):
     def put(self, s: str) -> None:
         (self.out if self.cell is None else self.cell).append(s)
 
+    def end_cell(self) -> None:
+        if self.cell is not None:
+            text, self.cell = " ".join("".join(self.cell).split()).replace("|", "\\|"), None
+            if self.rows:
+                self.rows[-1].append(text)
+
     def handle_starttag(self, tag, attrs):
         a = dict(attrs)
+        if tag in ("td", "th", "tr"):
+            self.end_cell()  # end tags of cells may be left out
         if tag in _SKIP:
             self.skip += tag not in ("meta", "link")
         elif re.fullmatch("h[1-6]", tag):
@@ -66,11 +74,10 @@ class _Reader(HTMLParser):
             self.skip = max(0, self.skip - 1)
         elif tag == "a" and self.links:
             self.put(f"]({self.links.pop()})")
-        elif tag in ("td", "th") and self.cell is not None:
-            text, self.cell = " ".join("".join(self.cell).split()).replace("|", "\\|"), None
-            if self.rows:
-                self.rows[-1].append(text)
+        elif tag in ("td", "th", "tr"):
+            self.end_cell()
         elif tag == "table" and self.rows is not None:
+            self.end_cell()
             rows, self.rows = [r for r in self.rows if r], None
             self.put("\n\n" + markdown_table(rows) + "\n\n")
         elif tag == "pre" and self.pre:
