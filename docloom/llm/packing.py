@@ -39,7 +39,7 @@ def _tokenizer(path: str):
     for piece, i in tok.get_vocab().items():
         ends[i] = piece.endswith("</w>")
     special = [t.content for t in tok.get_added_tokens_decoder().values()]
-    return tok, ends, special, {}
+    return tok, ends, special, {}, {}
 
 
 def encode_all(texts: list[str], path: str) -> list[np.ndarray]:
@@ -49,13 +49,14 @@ def encode_all(texts: list[str], path: str) -> list[np.ndarray]:
     the ids of a text are those of its parts in order. Words that hold a special token, or white
     space beyond ASCII, are left to the tokenizer itself.
     """
-    tok, ends, special, known = _tokenizer(path)
+    tok, ends, special, known, packed = _tokenizer(path)
     split = [_ascii_split(t) for t in texts]
     words = {w: i for i, w in enumerate(dict.fromkeys(w for x in split for w in x))}
     rows = [np.fromiter(map(words.__getitem__, x), np.int64, len(x)) for x in split]
     fresh = [w for w in words if w not in known]
     if len(known) + len(fresh) > _MEMORY:
         known.clear()
+        packed.clear()
         fresh = list(words)
     odd = [w for w in fresh if any(s in w for s in special) or len(w.split()) != 1]
     plain = [w for w in fresh if w not in set(odd)] if odd else fresh
@@ -63,17 +64,18 @@ def encode_all(texts: list[str], path: str) -> list[np.ndarray]:
     if len(lowered) != len(plain):
         odd, plain, lowered = fresh, [], []
     parts = [_PARTS.findall(w) for w in lowered]
-    unique = list(dict.fromkeys(p for x in parts for p in x))
+    unique = [p for p in dict.fromkeys(p for x in parts for p in x) if p not in packed]
     ids_of: dict[str, list[int]] = {}
     for i in range(0, len(unique), 4000):
         chunk = unique[i : i + 4000]
         ids = np.array(tok.encode_batch_fast([" ".join(chunk)], add_special_tokens=False)[0].ids, np.int64)
         cut = np.flatnonzero(ends[ids]) + 1
         if len(cut) == len(chunk):
-            ids_of.update(zip(chunk, (x.tolist() for x in np.split(ids, cut[:-1])), strict=True))
+            data, at = ids.astype("<u2").tobytes(), (2 * cut).tolist()
+            packed.update(zip(chunk, (data[i:j] for i, j in zip([0, *at[:-1]], at, strict=True)), strict=True))
         else:
             ids_of.update((p, tok.encode(p, add_special_tokens=False).ids) for p in chunk)
-    packed = {p: np.array(x, "<u2").tobytes() for p, x in ids_of.items()}
+    packed.update((p, np.array(x, "<u2").tobytes()) for p, x in ids_of.items())
     for w, x in zip(plain, parts, strict=True):
         known[w] = packed[x[0]] if len(x) == 1 else b"".join(packed[p] for p in x)
     for w in odd:
