@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
@@ -207,15 +209,16 @@ def fit_toxicity(
         for one in (False, True)
     ]
     ids = parts[0].unionByName(parts[1])
-    rows = (
-        docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
-        .join(F.broadcast(ids), "id")  # at most 2 * sample_docs rows
-        .orderBy("id", "t")
-        .toArrow()
-    )
-    texts = [(x or "").encode() for x in rows.column("t").to_pylist()]
-    toxic = np.array([v > 0 for v in rows.column("y").to_pylist()], bool)
-    return fit_tokens(texts, toxic, counts.get(True, 0) / max(sum(counts.values()), 1))
+    share = counts.get(True, 0) / max(sum(counts.values()), 1)
+
+    def fit(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        rows = sorted((r["id"], r["t"] or "", r["y"] > 0) for b in batches for r in b.to_pylist())
+        chain = fit_tokens([t.encode() for _, t, _ in rows], np.array([y for *_, y in rows], bool), share)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(chain)], pa.binary())], names=["model"])
+
+    sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).join(F.broadcast(ids), "id")
+    # at most 2 * sample_docs rows, fitted in one task; the driver gets the weights only
+    return pickle.loads(sample.repartition(1).mapInArrow(fit, "model binary").first()["model"])
 
 
 def score_toxicity(docs: DataFrame, chain: Chain, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
