@@ -218,7 +218,8 @@ def fit_toxicity(
 
     sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).join(F.broadcast(ids), "id")
     # at most 2 * sample_docs rows, fitted in one task; the driver gets the weights only
-    return pickle.loads(sample.repartition(1).mapInArrow(fit, "model binary").first()["model"])
+    row = sample.repartition(1).mapInArrow(fit, "model binary").first()
+    return pickle.loads(row["model"]) if row else fit_tokens([], np.zeros(0, bool), share)
 
 
 def score_toxicity(docs: DataFrame, chain: Chain, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
