@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm.common import add_columns, crc_fold, words_of
+from docloom.llm.common import add_columns, crc_fold, mix64, words_of
 
 #: Bounds of the fitted sample: labelled documents of each class, chosen by a hash of their ids.
 SAMPLE_DOCS = 3000
@@ -19,6 +19,8 @@ SAMPLE_DOCS = 3000
 MAX_WORDS = 2000
 FOLDS, HELD_OUT = 4, 2
 THRESHOLD = 0.3
+#: Bytes of sampled text whose tokens the fit holds at once.
+_FIT_BYTES = 2 << 20
 
 #: A-Z to lower case and ASCII signs to spaces, byte for byte, so that offsets hold in the text.
 _TABLE = bytes(
@@ -114,18 +116,64 @@ def document_features(p: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
     return np.stack([np.ones(n), top, np.log1p(total), total / np.maximum(size, 1), np.log1p(size) / 10], axis=1)
 
 
+def _blocks(texts: list[bytes]) -> Iterable[tuple[int, int]]:
+    """Ranges of texts of about _FIT_BYTES, one text at least, so that the fit's arrays stay small."""
+    at = 0
+    while at < len(texts):
+        end, size = at, 0
+        while end < len(texts) and (end == at or size + len(texts[end]) <= _FIT_BYTES):
+            size, end = size + len(texts[end]), end + 1
+        yield at, end
+        at = end
+
+
+def _document_counts(texts: list[bytes], toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted word hashes, and in how many toxic and clean documents each occurs."""
+    words, d1, d0 = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for i, j in _blocks(texts):
+        t = tokens_of(texts[i:j])
+        w, at = np.unique(t.hash, return_inverse=True)
+        at, doc = np.divmod(np.unique(at * (j - i) + t.doc), j - i)
+        bad = toxic[i:j][doc]
+        words.append(w)
+        d1.append(np.bincount(at[bad], minlength=len(w)))
+        d0.append(np.bincount(at[~bad], minlength=len(w)))
+    w, at = np.unique(np.concatenate(words), return_inverse=True)
+    return w, np.bincount(at, np.concatenate(d1), len(w)), np.bincount(at, np.concatenate(d0), len(w))
+
+
+def _distinct(code: np.ndarray, length: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Equal sequences of token codes joined into one, their counts added."""
+    if not len(length):
+        return code, length, times
+    first = np.cumsum(length) - length
+    place = np.arange(len(code)) - np.repeat(first, length)
+    h = np.add.reduceat(mix64(mix64(code.astype(np.uint64)) + place.astype(np.uint64)), first)
+    _, one, at = np.unique(mix64(h + length.astype(np.uint64)), return_index=True, return_inverse=True)
+    n = length[one]
+    pick = np.repeat(first[one] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+    return code[pick], n, np.bincount(at, times).astype(np.int64)
+
+
+def _sequences(texts: list[bytes], toxic: np.ndarray, chain: Chain, labelled: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct sequences of all texts: codes (4 word + 2 label + shout), lengths, counts."""
+    parts = [(np.zeros(0, np.int64),) * 3]
+    for i, j in _blocks(texts):
+        t = tokens_of(texts[i:j])
+        y = np.isin(t.hash, labelled) & toxic[i:j][t.doc]
+        parts.append(_distinct(4 * chain.index(t.hash) + 2 * y + t.shout, np.bincount(t.seq), np.ones(int(t.seq[-1]) + 1 if len(t.seq) else 0, np.int64)))
+    return _distinct(*(np.concatenate([p[k] for p in parts]) for k in range(3)))
+
+
 def fit_tokens(texts: list[bytes], toxic: np.ndarray, share: float, rounds: int = 150) -> Chain:
     """Fit the chain and the document weights on labelled texts; ``share``: of toxic ones among all.
 
     Token labels come from the document labels: words that occur in several times more toxic than
-    clean documents, significantly so, are toxic where they stand in a toxic document.
+    clean documents, significantly so, are toxic where they stand in a toxic document. A sequence
+    that the chain cannot tell from another counts as that one again, which gives the same gradient.
     """
-    t = tokens_of(texts)
     n1, n0 = max(int(toxic.sum()), 1), max(int((~toxic).sum()), 1)
-    key = np.unique(np.stack((t.hash, t.doc.astype(np.uint64)), axis=1), axis=0)
-    words, at = np.unique(key[:, 0], return_inverse=True)
-    d1 = np.bincount(at, toxic[key[:, 1].astype(np.int64)], len(words))
-    d0 = np.bincount(at, minlength=len(words)) - d1
+    words, d1, d0 = _document_counts(texts, toxic)
     r1, r0 = d1 / n1, d0 / n0
     gain = r1 - r0 - 3 * np.sqrt((r1 + 1 / n1) / n1 + (r0 + 1 / n0) / n0)
     labelled = (d1 >= 5) & (gain > 0) & (r1 > 6 * r0 + 2 / n0)
@@ -133,44 +181,50 @@ def fit_tokens(texts: list[bytes], toxic: np.ndarray, share: float, rounds: int
     chosen = chosen[np.argsort(-(gain[chosen]), kind="stable")][:MAX_WORDS]
     chain = Chain(np.sort(words[chosen]), np.full(len(chosen) + 1, -2.0), 0.0, np.zeros((2, 2)), np.zeros(5), np.ones(5))
     chain.weight[-1] = -6.0
-    if not len(t.hash):
-        return _fit_documents(chain, t, toxic, share)
-    y = np.isin(t.hash, words[labelled]) & toxic[t.doc]
-    idx = chain.index(t.hash)
-    inner = np.flatnonzero(np.diff(t.seq) == 0)  # tokens that have a successor in their sequence
+    if not len(words):
+        return _fit_documents(chain, texts, toxic, share)
+    code, length, times = _sequences(texts, toxic, chain, words[labelled])
+    idx, y, shout = code >> 2, code >> 1 & 1, code & 1
+    seq, n = np.repeat(np.arange(len(length)), length), np.repeat(times, length)
+    inner = np.flatnonzero(np.diff(seq) == 0)  # tokens that have a successor in their sequence
     kinds = len(chain.weight)
-    has = np.bincount(idx, y, kinds)
-    seen = np.bincount(idx, minlength=kinds)
-    pairs = np.bincount(y[inner] * 2 + y[inner + 1], minlength=4).reshape(2, 2)
-    shouted, theta = float((y & t.shout).sum()), np.concatenate((chain.weight, [0.0], np.zeros(4)))
+    has = np.bincount(idx, n * y, kinds)
+    seen = np.bincount(idx, n, kinds)
+    pairs = np.bincount(y[inner] * 2 + y[inner + 1], n[inner], 4)
+    shouts, shouted, inners = (n * shout).sum(), float((n * y * shout).sum()), n[inner].sum()
+    theta = np.concatenate((chain.weight, [0.0], np.zeros(4)))
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     for i in range(1, rounds + 1):  # Adam on the log-likelihood, each gradient scaled by its own count
         w, step = theta[:kinds], theta[kinds + 1 :].reshape(2, 2)
-        odds = np.exp(w[idx] + theta[kinds] * t.shout)
-        fwd, bwd = forward_backward(odds, t.seq, step)
-        p = fwd * bwd / (1 + fwd * bwd)
+        odds = np.exp(w[idx] + theta[kinds] * shout)
+        fwd, bwd = forward_backward(odds, seq, step)
+        p = n * (fwd * bwd / (1 + fwd * bwd))
         a, b = fwd[inner], odds[inner + 1] * bwd[inner + 1]
         c = np.exp(step)
         joint = np.stack((np.full(len(a), c[0, 0]), b * c[0, 1], a * c[1, 0], a * b * c[1, 1]), axis=1)
-        joint = (joint / joint.sum(axis=1, keepdims=True)).sum(axis=0)
+        joint = (joint * (n[inner] / joint.sum(axis=1))[:, None]).sum(axis=0)
         grad = np.concatenate(
             (
                 (has - np.bincount(idx, p, kinds)) / (seen + 1) - 1e-3 * w,
-                [(shouted - float(p[t.shout].sum())) / (t.shout.sum() + 1)],
-                (pairs.ravel() - joint) / (len(inner) + 1) - 1e-3 * step.ravel(),
+                [(shouted - float((p * shout).sum())) / (shouts + 1)],
+                (pairs - joint) / (inners + 1) - 1e-3 * step.ravel(),
             )
         )
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
         theta = theta + 0.2 * (m / (1 - 0.9**i)) / (np.sqrt(v / (1 - 0.99**i)) + 1e-8)
     chain.weight, chain.shout, chain.step = theta[:kinds], float(theta[kinds]), theta[kinds + 1 :].reshape(2, 2)
-    return _fit_documents(chain, t, toxic, share)
+    return _fit_documents(chain, texts, toxic, share)
 
 
-def _fit_documents(chain: Chain, t: Tokens, toxic: np.ndarray, share: float) -> Chain:
+def _fit_documents(chain: Chain, texts: list[bytes], toxic: np.ndarray, share: float) -> Chain:
     """Logistic weights by Newton steps; the classes are weighted to their share of all labels."""
     if not len(toxic):
         return chain
-    x = document_features(marginals(chain, t), t.doc, len(toxic))
+    parts = []
+    for i, j in _blocks(texts):
+        t = tokens_of(texts[i:j])
+        parts.append(document_features(marginals(chain, t), t.doc, j - i))
+    x = np.concatenate(parts)
     chain.scale = np.maximum(np.abs(x).max(axis=0), 1e-9)
     x = x / chain.scale
     y = toxic.astype(float)
