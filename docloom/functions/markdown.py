@@ -175,3 +175,12 @@ def sliding(text: str, size: int, overlap: int) -> list[tuple[int, str]]:
             break
         at = max(end - overlap, at + 1)
     return out
+
+
+def parent_child(text: str, size: int) -> list[tuple[int, int | None, str, int, int]]:
+    """(parent, child or None, text, start, end): packed parents, and inside each its parts of half the size."""
+    out: list[tuple[int, int | None, str, int, int]] = []
+    for i, (body, start, end, _) in enumerate(pack_blocks(blocks(text), size)):
+        out.append((i, None, body, start, end))
+        out += [(i, j, part, start + a, start + z) for j, (part, a, z, _) in enumerate(pack_blocks(blocks(body), size // 2))]
+    return out

@@ -73,3 +73,12 @@ def metrics(ranked: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
     return base.join(got, "query_id", "left").select(
         "query_id", z(F.col("hits") / k).alias("precision"), z(F.col("hits") / F.col("n")).alias("recall"), z(1 / F.col("first")).alias("mrr"), z(F.col("dcg") / ideal).alias("ndcg")
     )
+
+
+def permute(hits: DataFrame, orders: DataFrame) -> DataFrame:
+    """Reorder hits (query_id, id, rank from 1) by ``orders`` (query_id, order: zero-based places).
+
+    Places that repeat or do not exist are passed over; hits that are not listed follow in their order."""
+    listed = orders.select("query_id", F.posexplode("order").alias("__p", "__i")).groupBy("query_id", (F.col("__i") + 1).alias("rank")).agg(F.min("__p").alias("__p"))
+    w = Window.partitionBy("query_id").orderBy(F.asc_nulls_last("__p"), "rank")
+    return hits.join(listed, ["query_id", "rank"], "left").withColumn("final_rank", F.row_number().over(w)).drop("__p")

@@ -106,3 +106,21 @@ def resolve_ids(rows: DataFrame, column: str, names: DataFrame) -> DataFrame:
     out = rows.join(by_id, F.col(column) == F.col("__id"), "left").join(by_name, F.col(column) == F.col("__name"), "left")
     found = F.coalesce("__id", "__named")
     return out.filter(found.isNotNull()).withColumn(column, found).select(*rows.columns)
+
+
+def latest(df: DataFrame, keys: list[str], order: list[str], columns: list[str]) -> DataFrame:
+    """The last row of each key by ``order``, as one aggregate that combines before the shuffle."""
+    best = F.max_by(F.struct(*columns), F.struct(*order)).alias("__r")
+    return df.groupBy(*keys).agg(best).select(*keys, "__r.*")
+
+
+def cache_hits(calls: DataFrame, by: str, *content: str) -> DataFrame:
+    """Calls per group and how many of them a cache keyed by the content's hash answers."""
+    key = F.sha2(F.concat_ws("|", by, *content), 256).alias("__k")
+    return calls.groupBy(by, key).agg(F.count("*").alias("n")).groupBy(by).agg(F.sum("n").alias("calls"), F.sum(F.col("n") - 1).alias("hits"))
+
+
+def row_text(columns: list[str]) -> Column:
+    """A table row as a sentence of "header is value" parts; empty cells are left out."""
+    cell = lambda c: F.when(F.trim(F.col(c).cast("string")) != "", F.concat(F.lit(f"{c}为"), F.col(c).cast("string")))
+    return F.concat_ws("，", *[cell(c) for c in columns])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,7 +28,12 @@ def postings(units: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def bm25(units: DataFrame, queries: DataFrame, id_col: str, text_col: str, k: int = 20, k1: float = K1, b: float = B) -> DataFrame:
-    """query_id, id, score, rank: the k best units per query (query_id, text), ties to the smaller id.
+    """query_id, id, score, rank: the k best units per query (query_id, text), ties to the smaller id."""
+    return top_k(bm25_scores(units, queries, id_col, text_col, k1, b), ["query_id"], F.desc("score"), "id", k)
+
+
+def bm25_scores(units: DataFrame, queries: DataFrame, id_col: str, text_col: str, k1: float = K1, b: float = B) -> DataFrame:
+    """query_id, id, score of every unit that holds a term of the query.
 
     Terms of a query count once. Only postings of query terms are scored: queries are a stated set,
     so the term join filters the corpus before it is counted. Units without tokens have no score.
@@ -38,7 +45,7 @@ def bm25(units: DataFrame, queries: DataFrame, id_col: str, text_col: str, k: in
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    scored = (
+    return (
         hits.join(df, "term")
         .crossJoin(F.broadcast(stats))  # one row
         .withColumn("w", weight)
@@ -46,7 +53,12 @@ def bm25(units: DataFrame, queries: DataFrame, id_col: str, text_col: str, k: in
         .groupBy("query_id", "id")
         .agg(F.sum("w").alias("score"))
     )
-    return top_k(scored, ["query_id"], F.desc("score"), "id", k)
+
+
+def best_field(units: DataFrame, queries: DataFrame, id_col: str, boosts: dict[str, float]) -> DataFrame:
+    """query_id, id, score: the best of several fields' BM25 scores, each with its own statistics and boost."""
+    fields = [bm25_scores(units, queries, id_col, c).withColumn("score", F.col("score") * float(w)) for c, w in boosts.items()]
+    return reduce(DataFrame.unionByName, fields).groupBy("query_id", "id").agg(F.max("score").alias("score"))
 
 
 def top_k(df: DataFrame, by: list[str], order: Column, tie: str, k: int) -> DataFrame:
@@ -85,3 +97,30 @@ def k_hop(edges: DataFrame, start: DataFrame, hops: int) -> DataFrame:
         frontier = step.join(reached.select("id"), "id", "left_anti").withColumn("distance", F.lit(d))
         reached = reached.unionByName(frontier)
     return reached
+
+
+def shortest_paths(edges: DataFrame, start: DataFrame, hops: int) -> DataFrame:
+    """id, path, distance: a shortest undirected path to every node within ``hops`` of the start nodes.
+
+    Of paths of one length the least is kept. Each hop reads the state once: a row gives itself and,
+    if the last hop found it, its neighbours, so the plan grows by one join a hop."""
+    both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    state = start.select("id", F.struct(F.lit(0).alias("distance"), F.array("id").alias("path")).alias("best")).distinct()
+    for n in range(1, hops + 1):
+        on = (F.col("id") == F.col("src")) & (F.col("best.distance") == n - 1)
+        new = F.struct(F.lit(n).alias("distance"), F.concat("best.path", F.array("dst")).alias("path"))
+        both_rows = F.array(F.struct("id", "best"), F.struct(F.col("dst").alias("id"), new.alias("best")))
+        rows = state.join(both, on, "left").select(F.inline(both_rows)).filter("id is not null")
+        state = rows.groupBy("id").agg(F.min("best").alias("best"))
+    return state.select("id", "best.path", "best.distance")
+
+
+def descendants(nodes: DataFrame, key: str, parent: str, by: list[str], depth: int) -> DataFrame:
+    """ancestor, ``key``, steps: every node below every other, at most ``depth`` levels down."""
+    down = nodes.filter(F.col(parent).isNotNull()).select(*by, F.col(parent).alias("ancestor"), key)
+    found = level = down.withColumn("steps", F.lit(1))
+    for n in range(2, depth + 1):
+        up = level.select(*by, "ancestor", F.col(key).alias("__at"))
+        level = down.withColumnRenamed("ancestor", "__at").join(up, [*by, "__at"]).select(*by, "ancestor", key, F.lit(n).alias("steps"))
+        found = found.unionByName(level)
+    return found

@@ -249,3 +249,33 @@ def sliding_chunks_fixed(spark, d):
 def html_strip_tags(spark, d):
     flat = F.regexp_replace(F.regexp_replace("html", "<[^>]*>", " "), r"\s+", " ")
     return corpus.table(spark, d, "pages").select("page_id", F.trim(flat).alias("content"))
+
+
+@query("SELECT user_id, event_type, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1")
+def latest_enrichment(spark, d):
+    return R.latest(corpus.table(spark, d, "events"), ["user_id", "event_type"], ["ts", "event_id"], ["event_id", "value"])
+
+
+@query("SELECT role, count(*) AS calls, count(*) - count(DISTINCT text) AS hits FROM conversations GROUP BY role")
+def cache_hits(spark, d):
+    return R.cache_hits(corpus.table(spark, d, "conversations"), "role", "text")
+
+
+@query(f"SELECT kb_id, count(*) AS documents, sum(length(content)) AS chars, sum(n) AS chunks FROM {DOCS} JOIN (SELECT document_id, count(*) AS n FROM {CHUNKS} GROUP BY document_id) USING (document_id) GROUP BY kb_id")
+def kb_stats(spark, d):
+    lines = F.size(F.filter(F.split("content", "\n", -1), lambda x: F.trim(x) != ""))
+    docs = corpus.documents(spark, d).select("kb_id", F.length("content").alias("c"), lines.alias("n")).filter("n > 0")
+    return docs.groupBy("kb_id").agg(F.count("*").alias("documents"), F.sum("c").alias("chars"), F.sum("n").alias("chunks"))
+
+
+@query("SELECT c_custkey, 'c_name为' || c_name || '，c_mktsegment为' || c_mktsegment || '，c_nationkey为' || c_nationkey AS content FROM customer")
+def table_rows_to_text(spark, d):
+    return corpus.table(spark, d, "customer").select("c_custkey", R.row_text(["c_name", "c_mktsegment", "c_nationkey"]).alias("content"))
+
+
+@query(f"SELECT document_id, chunk_index, chunk_index // 8 AS parent, length(string_agg(content, chr(10)) OVER (PARTITION BY document_id, chunk_index // 8 ORDER BY chunk_index ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS parent_chars FROM {CHUNKS} QUALIFY contains(content, 'license')")
+def parent_child_lookup(spark, d):
+    """Chunks that hold a word, with the size of the parent of eight lines that they belong to."""
+    c = corpus.chunks(spark, d).select("document_id", "chunk_index", "content", F.floor(F.col("chunk_index") / 8).alias("parent"))
+    parents = c.groupBy("document_id", "parent").agg((F.sum(F.length("content")) + F.count("*") - 1).alias("parent_chars"))
+    return c.filter(F.col("content").contains("license")).select("document_id", "chunk_index", "parent").join(parents, ["document_id", "parent"])

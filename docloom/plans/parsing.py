@@ -90,3 +90,18 @@ def toc_flatten(spark, d):
     up = heads.select(F.col("page_id").alias("pp"), F.col("i").alias("pi"), F.col("level").alias("pl"))
     key = (F.col("page_id") == F.col("pp")) & (F.col("pi") < F.col("i")) & (F.col("pl") < F.col("level"))
     return heads.join(up, key, "left").groupBy("page_id", "i", "level", "title").agg(F.max("pi").alias("parent"))
+
+
+_FAMILY = T.ArrayType(T.StructType().add("parent", T.IntegerType()).add("child", T.IntegerType()).add("content", T.StringType()).add("start", T.IntegerType()).add("stop", T.IntegerType()))
+
+
+@F.pandas_udf(_FAMILY)
+def families(text: pd.Series) -> pd.Series:
+    return text.map(lambda t: M.parent_child(t or "", 1000))
+
+
+@query
+def parent_child_chunks(spark, d):
+    """Parents (null child) and their children; page and ordinal make the parent's id."""
+    rows = _pages(spark, d).select("page_id", F.explode(families("content")).alias("f")).select("page_id", "f.*")
+    return rows.withColumn("parent_id", F.concat_ws(":", "page_id", "parent"))

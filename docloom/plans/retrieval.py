@@ -202,3 +202,48 @@ def prompt_context(spark, d):
 def step_sequence(spark, d):
     w = Window.partitionBy("conv_id").orderBy("turn")
     return corpus.table(spark, d, "conversations").select("conv_id", "turn", F.count("*").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("step"), "role")
+
+
+@query(_bm25(20) + """ SELECT id, query_id, rank, row_number() OVER (PARTITION BY query_id ORDER BY CASE rank - 1 WHEN query_id % 20 THEN 0 WHEN 3 THEN 1 WHEN 0 THEN 4 END NULLS LAST, rank) AS final_rank FROM bm""")
+def rerank_permutation(spark, d):
+    order = F.array(F.col("query_id") % 20, *[F.lit(i).cast("bigint") for i in (3, 3, 40, 0)])
+    return K.permute(_bm25_hits(spark, d, 20).select("query_id", "id", "rank"), _questions(spark, d).select("query_id", order.alias("order")))
+
+
+@query(f"""WITH RECURSIVE e AS (SELECT src, dst FROM {RELATIONS} UNION SELECT dst, src FROM {RELATIONS}),
+p AS (SELECT 'customer:1' AS id, ['customer:1'] AS path UNION ALL SELECT e.dst, list_append(path, e.dst) FROM p JOIN e ON e.src = p.id WHERE len(path) <= 4 AND NOT list_contains(path, e.dst))
+SELECT id, array_to_string(path, '>') AS path, len(path) - 1 AS distance FROM p WHERE id LIKE 'supplier:%' QUALIFY row_number() OVER (PARTITION BY id ORDER BY len(path), path) = 1""")
+def shortest_path(spark, d):
+    start = corpus.graph_entities(spark, d).filter("id = 'customer:1'").select("id")
+    found = S.shortest_paths(corpus.graph_relations(spark, d), start, 4).filter(F.col("id").startswith("supplier:"))
+    return found.select("id", F.array_join("path", ">").alias("path"), "distance")
+
+
+def _field(name: str, column: str) -> str:
+    return rf"""{name}_t AS (SELECT document_id AS id, regexp_extract_all(lower({column}), '[\p{{L}}\p{{N}}_]+') AS ts FROM {DOCS}),
+{name}_p AS (SELECT id, term, dl, count(*) AS tf FROM (SELECT id, len(ts) AS dl, unnest(ts) AS term FROM {name}_t) WHERE term IN (SELECT term FROM q) GROUP BY id, term, dl),
+{name}_d AS (SELECT term, count(*) AS df FROM {name}_p GROUP BY term),
+{name} AS (SELECT query_id, id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS score
+ FROM {name}_p JOIN {name}_d USING (term) JOIN q USING (term) CROSS JOIN (SELECT count(*) AS n, avg(len(ts)) AS avgdl FROM {name}_t) GROUP BY query_id, id)"""
+
+
+@query(rf"""WITH q AS (SELECT DISTINCT query_id, unnest(regexp_extract_all(lower(array_to_string(list_slice(string_split(text, ' '), 1, 8), ' ')), '[\p{{L}}\p{{N}}_]+')) AS term
+ FROM (SELECT item_id AS query_id, text FROM benchmark WHERE item_id < 20)), {_field("a", "title")}, {_field("b", "content")}
+SELECT query_id, id, round(max(score), 6) AS score FROM (SELECT query_id, id, 2 * score AS score FROM a UNION ALL SELECT query_id, id, score FROM b) GROUP BY query_id, id""")
+def bm25_title_boost(spark, d):
+    docs = corpus.documents(spark, d).select("document_id", "title", "content")
+    return S.best_field(docs, _questions(spark, d), "document_id", {"title": 2.0, "content": 1.0}).withColumn("score", F.round("score", 6))
+
+
+@query(f"SELECT query_id, document_id, chunk_index, row_number() OVER (PARTITION BY query_id, document_id ORDER BY score DESC, chunk_index) AS rank FROM {_SCORED} QUALIFY rank <= 3")
+def top3_chunks_per_doc(spark, d):
+    top = S.top_k(_scored(spark, d), ["query_id", "document_id"], F.desc("score"), "chunk_index", 3)
+    return top.select("query_id", "document_id", "chunk_index", "rank")
+
+
+@query(f"""WITH RECURSIVE w AS (SELECT src AS ancestor, dst AS id, 1 AS steps FROM {RELATIONS} UNION ALL SELECT w.ancestor, r.dst, w.steps + 1 FROM w JOIN {RELATIONS} r ON r.src = w.id)
+SELECT ancestor, id, steps FROM w""")
+def toc_descendants(spark, d):
+    """The closure over the tree of regions, nations and their members; the pages have headings of one level only."""
+    nodes = corpus.graph_relations(spark, d).select(F.col("dst").alias("id"), F.col("src").alias("parent"))
+    return S.descendants(nodes, "id", "parent", [], 3)
