@@ -253,15 +253,17 @@ def test_sentencepiece_round_trip_and_best(spark, docs):
     c = sentencepiece_codec.codec(sentencepiece_codec.public_vocabulary())
     for t in ["a\u2581b  c\n\n d ", "\0 x", " lead", "日本 é\U0001f600", "\t"]:
         assert c.decode(c.encode(t)) == t
-    score = {c.text[i].decode(): -np.log(2.0 - s) for i, s in _scores() if i in c.text and i not in set(c.byte)}
-    word = "\u2581thonder"
+    score = {c.text[i].decode(): -np.log(2.0 - s) for i, s in _scores() if c.text[i] and i not in c.byte.tolist()}
+    word = " thonder"
 
     def best(s):
         return 0.0 if not s else max((score[s[:k]] + best(s[k:]) for k in range(1, len(s) + 1) if s[:k] in score), default=-1e9)
 
-    ids = np.frombuffer(c.unit(word), "<u2").tolist()
+    ids = c.encode(word[1:]).tolist()
     assert "".join(c.text[i].decode() for i in ids) == word
     assert sum(score[c.text[i].decode()] for i in ids) == pytest.approx(best(word))
+    units = sorted((f" {a}{b}".encode() for a in ("thonder", "été", "日本x", "\u2581", "zq\0") for b in ("", "ing", "\U0001f600")), key=len, reverse=True)
+    assert c.group(units) == [c.single(u) for u in units]
 
 
 def _scores():
