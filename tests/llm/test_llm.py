@@ -246,6 +246,33 @@ def test_ann_recall_and_ties(spark):
     assert ann.nearest_neighbours(df.limit(0), F.col("id") >= 0).count() == 0
 
 
+def _small(x):
+    return [(i, (v / np.linalg.norm(v)).astype(np.float16).tobytes()) for i, v in enumerate(x)]
+
+
+def test_ann_search_opens_the_whole_beam(spark):
+    turn = np.arange(400) * 0.004  # neighbours on an arc know each other only: a hop leads one node further
+    nodes = spark.createDataFrame(_small(np.stack([np.cos(turn), np.sin(turn)], axis=1)), "id bigint, small binary")
+    chain = spark.createDataFrame([(i, i + 1, 1.0) for i in range(399)], "u bigint, v bigint, s double")
+    asked = nodes.filter("id = 0").select(F.col("id").alias("q"), F.col("small").alias("qsmall"))
+    found = {r.v for r in ann.greedy_search(asked, nodes, chain, beam=48).collect()}
+    assert len(found) == 48 and found >= set(range(40))  # 16 bits blur the last few
+    with pytest.raises(RuntimeError):
+        ann.greedy_search(asked, nodes, chain, beam=48, hops=2)
+
+
+def test_ann_graph_settles_and_grows(spark):
+    nodes = spark.createDataFrame(_small(np.random.default_rng(3).standard_normal((600, 16))), "id bigint, small binary")
+    with pytest.raises(RuntimeError):
+        ann.neighbour_graph(nodes, rounds=1)
+    x = np.stack([np.frombuffer(r.small, np.float16).astype(float) for r in nodes.orderBy("id").collect()])
+    s = x @ x.T - 9 * np.eye(600)
+    true = {(i, j) for i, row in enumerate(np.argsort(-s, axis=1)[:, :20].tolist()) for j in row}
+    assert len(true & {(r.u, r.v) for r in ann.neighbour_graph(nodes).collect()}) >= 0.99 * len(true)
+    a, b = ann.sizes(10_000), ann.sizes(1_000_000)
+    assert a.k < b.k and a.starts < b.starts and a.beam < b.beam and a.entries < b.entries
+
+
 def test_sentencepiece_round_trip_and_best(spark, docs):
     coded = sentencepiece_codec.encode_pieces(docs)
     back = sentencepiece_codec.decode_pieces(coded, out="again").select("text", "again").collect()
