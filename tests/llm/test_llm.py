@@ -13,6 +13,7 @@ from docloom.llm import (
     components,
     embedding_dedup,
     lm_scoring,
+    near_copies,
     packing,
     pii,
     sentencepiece_codec,
@@ -364,3 +365,35 @@ def test_pipeline_stages(spark):
     kept = out.select("doc_id").distinct().count()
     assert 0.5 * before.count() < kept <= before.count()
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_copies", "repeated_passages", "personal_data", "packing"]
+
+
+def _jaccard(a, b):
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (a.lower().split(), b.lower().split())]
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+
+
+def test_near_copies_brute_force(spark):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(8)
+    texts = []
+    for base in range(12):
+        words = [f"b{base}w{i}" for i in rng.integers(0, 400, int(rng.integers(3, 300)))]
+        for rate in (0, 0, 0.005, 0.01, 0.02, 0.03, 0.05):
+            texts.append(" ".join(w if rng.random() >= rate else f"new{rng.integers(1 << 30)}" for w in words))
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if _jaccard(texts[i], texts[j]) >= 0.8:
+                a, b = root[i], root[j]
+                root = [min(a, b) if r in (a, b) else r for r in root]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    groups: dict = {}
+    for r in near_copies.near_copy_groups(df).collect():
+        groups.setdefault(r.root, set()).add(r.id)
+    want: dict = {}
+    for i, r in enumerate(root):
+        want.setdefault(r, set()).add(i)
+    assert sorted(map(sorted, groups.values())) == sorted(map(sorted, want.values()))
+    kept = {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, df, "").collect()}
+    assert kept == {min(g) for g in want.values()}
