@@ -397,3 +397,15 @@ def test_near_copies_brute_force(spark):
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, want.values()))
     kept = {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, df, "").collect()}
     assert kept == {min(g) for g in want.values()}
+
+
+def test_near_copies_keeps_rows_by_row(spark):
+    import corpus_pipeline
+
+    other = " ".join(f"x{i}" for i in range(30))
+    lone = " ".join(f"y{i}" for i in range(30))
+    rows = [(1, PASSAGE), (1, other), (2, PASSAGE), (None, PASSAGE), (None, lone), (None, lone), (3, None), (4, ""), (5, " \n"), (None, None), (6, "")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = [tuple(r) for r in corpus_pipeline.drop_near_copies(spark, df, "").collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, [(1, PASSAGE), (1, other), (None, lone), *rows[6:]]))
+    assert corpus_pipeline.drop_near_copies(spark, df.limit(0), "").count() == 0
