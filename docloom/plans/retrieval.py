@@ -45,7 +45,7 @@ bm AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDE
 
 def _bm25_hits(spark, d, k):
     docs = corpus.documents(spark, d).select("document_id", "content")
-    s = S.bm25(docs, _questions(spark, d), "document_id", "content", 4 * k).drop("rank")
+    s = S.bm25_scores(docs, _questions(spark, d), "document_id", "content")
     return S.top_k(s, ["query_id"], F.desc(F.round("score", 9)), "id", k)
 
 
