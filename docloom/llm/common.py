@@ -7,6 +7,7 @@ carries a few large rows instead of one row per word.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import zlib
 from collections.abc import Iterable
@@ -44,6 +45,15 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release() -> None:
+    """Give freed memory back at the end of a task: Python workers live on, and hold what they once took."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        return  # another C library
+
+
 def ascii_lower(col: Column) -> Column:
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 

@@ -169,8 +169,56 @@ def test_encoding_equals_the_tokenizer():
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(packing.public_vocabulary())
-    texts = ["It's 1st <|endoftext|>x A\u00a0b é e\u0301 日本", "", "Don't\tSTOP!!", "x<|startoftext|>", "\u1e9e ΣΑΣ \x1c y"]
-    assert [x.tolist() for x in packing.encode_all(texts, packing.public_vocabulary())] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+    texts = ["It's 1st <|endoftext|>x A\u00a0b é e\u0301 日本", "", "Don't\tSTOP!!", "x<|startoftext|>", "\u1e9e ΣΑΣ \x1c y", "a\0b \x07", "q" * 300 + " y", "İi \x85 q"]
+    e = packing.Encoder(packing.public_vocabulary())
+    e.words, e.parts = packing.Memory(2000), packing.Memory(2000)  # so small that it starts anew
+    for _ in range(3):
+        for some in (texts, texts[:1], texts[4:], [], [""]):
+            assert [x.tolist() for x in e.encode(some)] == [tok.encode(t, add_special_tokens=False).ids for t in some]
+
+
+def _place(count, size, capacity):
+    """The fill level of least sum of squared counts afterwards, by trying all; ties to the fullest."""
+    best = None
+    for level in [0, *sorted((h for h in count if count[h]), reverse=True)]:
+        if level + size <= capacity:
+            after = dict(count)
+            if level:
+                after[level] -= 1
+            if level + size < capacity:
+                after[level + size] = after.get(level + size, 0) + 1
+            key = (sum(n * n for n in after.values()), -level)
+            best = min(best or (key, level), (key, level))
+    return best[1]
+
+
+def test_sum_of_squares_brute_force():
+    levels, count = packing.Levels(64), {}
+    for i, size in enumerate(np.random.default_rng(1).integers(1, 64, 400).tolist()):
+        level = _place(count, size, 64)
+        assert levels.place(size, i)[1] == level
+        if level:
+            count[level] -= 1
+        if level + size < 64:
+            count[level + size] = count.get(level + size, 0) + 1
+
+
+def test_packer_empties_what_is_open(monkeypatch):
+    monkeypatch.setattr(packing, "_OPEN", 3000)
+    packer, out = packing.Packer(64, 0), []
+    sizes = np.random.default_rng(2).integers(33, 200, 500).tolist()  # the rests hardly fit together
+    docs = {i: np.arange(n) % 60000 for i, n in enumerate(sizes)}
+    for i, ids in docs.items():
+        out += packer.add(i, ids)
+        assert packer.tokens <= 3000 + 64
+    out += packer.finish()
+    assert len({s for s, _ in out}) == len(out)
+    pieces = [(d, start, ids) for _, seq in out for d, start, ids, n in seq]
+    for i, ids in docs.items():
+        assert np.array_equal(np.concatenate([x for d, _, x in sorted((p for p in pieces if p[0] == i), key=lambda p: p[1])]), ids)
+    for _, seq in out:
+        n = sum(len(p[2]) for p in seq)
+        assert n <= 64 and n & (n - 1) == 0
 
 
 def test_url_filter(spark):
