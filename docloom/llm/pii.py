@@ -14,18 +14,25 @@ _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 EMAIL = r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})*\.[A-Za-z]{2,24}"
 IPV4 = rf"(?<![0-9.]){_OCTET}(?:\.{_OCTET}){{3}}(?![0-9]|\.[0-9])"
 DATE = (
-    r"(?<![0-9A-Za-z-])(?:19|20)[0-9]{2}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12][0-9]|3[01])(?![0-9-])"
-    r"|(?<![0-9A-Za-z/.])(?:0[1-9]|[12][0-9]|3[01])(?<ds>[/.])(?:0[1-9]|1[0-2])\k<ds>(?:19|20)[0-9]{2}(?![0-9/])"
+    r"(?<![0-9A-Za-z-])(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2}(?![0-9-])"
+    r"|(?<![0-9A-Za-z/.])[0-9]{2}(?<ds>[/.])[0-9]{2}\k<ds>(?:19|20)[0-9]{2}(?![0-9/])"
+)
+#: +1 has ten digits more. Others have 8 to 15 in all, and do not end inside a longer number, a date or an address.
+PHONE = (
+    r"(?<![0-9+])\+(?:1[ .-]?(?:\([0-9]{3}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])"
+    r"|[2-9](?:[ .()-]{0,2}[0-9]){7,14}(?![0-9]|[.-][0-9]))"
 )
-PHONE = r"(?<![0-9+])\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})(?:[ .-]?[0-9]{2,4}){2,3}(?![0-9])"
 SSN = r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 IBAN = r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){3,7}(?: ?[0-9A-Z]{1,3})?(?![0-9A-Za-z])"
 NUMBER = (
     r"(?<![0-9A-Za-z.-])(?:[0-9]{13,19}|[0-9]{4}(?<ns>[ -])[0-9]{4}\k<ns>[0-9]{4}\k<ns>[0-9]{1,7}"
     r"|3[47][0-9]{2}(?<nt>[ -])[0-9]{6}\k<nt>[0-9]{5})(?![0-9A-Za-z-])"
 )
+PATTERN = "|".join([EMAIL, IPV4, DATE, PHONE, SSN, IBAN, NUMBER])
 #: Before the regular expressions run in full, a text must hold one of these.
 HINT = r"[0-9@]"
+#: Country codes of two digits; 1 and 7 have one, all others three. Fixed values.
+_CODES = "20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()
 
 
 def let(value: Column, body) -> Column:
@@ -33,77 +40,65 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def feistel_digits(digits: Column, key: str, tweak: str, rounds: int = ROUNDS) -> Column:
-    """Permute the strings of 2 to 20 decimal digits of one length among themselves.
+def feistel(values: Column, radices: Column, key: str, tweak: Column, rounds: int = ROUNDS) -> Column:
+    """Permute the arrays of numbers below ``radices``, position by position, among themselves.
 
-    A Feistel network over the two halves, modulo powers of ten, keyed and tweaked by the kind of
-    value, is a bijection for every length. Shorter strings are returned as they are. Each round
-    adds 60 bits of a SHA-256 over key, kind, round and the other half.
+    In turns, one half of the positions is moved by amounts that a SHA-512 over key, tweak, round and
+    the other half gives, each modulo its radix; so every round, and the whole, is a bijection. A
+    half has up to 32 positions with amounts of their own; further ones share them.
     """
-    assert rounds % 2 == 0, "the halves must end on their own sides"
-
-    def permuted(d: Column) -> Column:
-        n = F.length(d)
-        left = F.floor(n / 2).cast("int")
-        start = F.struct(
-            F.substring(d, F.lit(1), left).cast("bigint").alias("a"),
-            F.substring(d, left + 1, n).cast("bigint").alias("b"),
-            F.pow(F.lit(10.0), left).cast("bigint").alias("ma"),
-            F.pow(F.lit(10.0), n - left).cast("bigint").alias("mb"),
-        )
+    n = F.size(values)
+    half = F.floor(n / 2).cast("int")
 
-        def turn(s: Column, r: Column) -> Column:
-            digest = F.sha2(F.concat_ws("|", F.lit(key), F.lit(tweak), n.cast("string"), r.cast("string"), s["b"].cast("string")), 256)
-            word = F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint")
-            return F.struct(
-                s["b"].alias("a"), ((s["a"] + word % s["ma"]) % s["ma"]).alias("b"), s["mb"].alias("ma"), s["ma"].alias("mb")
-            )
-
-        return F.aggregate(
-            F.sequence(F.lit(1), F.lit(rounds)),
-            start,
-            turn,
-            lambda s: F.concat(
-                F.lpad(s["a"].cast("string"), left, "0"), F.lpad(s["b"].cast("string"), n - left, "0")
-            ),
-        )
+    def turn(state: Column, r: Column) -> Column:
+        left = r % 2 == 1
+        other = F.when(left, F.slice(state, half + 1, n)).otherwise(F.slice(state, F.lit(1), half))
+        seed = F.concat_ws("|", F.lit(key), tweak, n.cast("string"), r.cast("string"), F.array_join(other.cast("array<string>"), ","))
 
-    return let(digits, lambda d: F.when(F.length(d) < 2, d).otherwise(permuted(d)))
+        def moved(digest: Column) -> Column:
+            def one(v: Column, i: Column) -> Column:
+                amount = F.conv(F.substring(digest, (i % 32) * 4 + 1, F.lit(4)), 16, 10).cast("int")
+                return F.when((i < half) == left, (v + amount) % radices[i]).otherwise(v)
 
+            return F.transform(state, one)
 
-def _below(value: Column, size: int, key: str, tweak: str, walk: int = 40) -> Column:
-    """Permute 0..size-1 by walking the cycle of a Feistel permutation of decimal strings.
+        return let(F.sha2(seed, 512), moved)
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), values, turn)
+
+
+def permute_symbols(text: Column, key: str, tweak: Column) -> Column:
+    """Permute ASCII strings of one pattern of digits, small letters, capitals and other signs, which stay."""
+
+    def whole(codes: Column) -> Column:
+        def base(c: Column) -> Column:
+            return F.when(c.between(48, 57), 48).when(c.between(65, 90), 65).when(c.between(97, 122), 97).otherwise(c)
+
+        radix = F.transform(codes, lambda c: F.when(c.between(48, 57), 10).when(c.between(65, 90) | c.between(97, 122), 26).otherwise(1))
+        values = F.transform(codes, lambda c: c - base(c))
+        new = let(values, lambda v: let(radix, lambda r: feistel(v, r, key, tweak)))
+        return F.array_join(F.zip_with(codes, new, lambda c, v: F.char(base(c) + v)), "")
+
+    return F.when(F.length(text) == 0, text).otherwise(let(F.transform(F.split(text, ""), F.ascii), whole))
 
-    A walk of more than ``walk`` steps, at most one value in a million here, leaves the value."""
-    d = len(str(size - 1))
-    start = F.struct(F.lpad(value.cast("string"), d, "0").alias("v"), F.lit(False).alias("done"))
-    return F.aggregate(
-        F.sequence(F.lit(1), F.lit(walk)),
-        start,
-        lambda acc, _: F.when(acc["done"], acc).otherwise(
-            let(
-                feistel_digits(acc["v"], key, tweak),
-                lambda x: F.struct(x.alias("v"), (x.cast("bigint") < size).alias("done")),
-            )
-        ),
-        lambda end: F.when(end["done"], end["v"].cast("bigint")).otherwise(value),
-    )
+
+def _fixed(values: list[Column], radices: list[int], key: str, tweak: str) -> Column:
+    """A few numbers of different ranges, permuted together; an array."""
+    return let(F.array(*[v.cast("int") for v in values]), lambda v: feistel(v, F.array(*map(F.lit, radices)), key, F.lit(tweak)))
 
 
 def _digits(s: Column) -> Column:
     return F.regexp_replace(s, "[^0-9]", "")
 
 
-def _refill(pattern: Column, digits: Column) -> Column:
-    """Put ``digits`` in the digit places of ``pattern``; everything else stays where it was."""
+def _refill(pattern: Column, symbols: Column) -> Column:
+    """Put ``symbols`` in the places of letters and digits of ``pattern``; signs stay where they were."""
     end = F.aggregate(
         F.split(pattern, ""),
         F.struct(F.lit("").alias("out"), F.lit(1).alias("at")),
         lambda acc, ch: F.when(
-            ch.rlike("^[0-9]$"),
-            F.struct(
-                F.concat(acc["out"], F.substring(digits, acc["at"], F.lit(1))).alias("out"), (acc["at"] + 1).alias("at")
-            ),
+            ch.rlike("^[0-9A-Za-z]$"),
+            F.struct(F.concat(acc["out"], F.substring(symbols, acc["at"], F.lit(1))).alias("out"), (acc["at"] + 1).alias("at")),
         ).otherwise(F.struct(F.concat(acc["out"], ch).alias("out"), acc["at"].alias("at"))),
     )
     return end["out"]
@@ -113,9 +108,7 @@ def luhn_sum(digits: Column) -> Column:
     """The Luhn sum modulo ten; 0 for a valid number with its check digit."""
     values = F.transform(F.reverse(F.split(digits, "")), lambda c: F.coalesce(c.cast("int"), F.lit(0)))
     return F.aggregate(
-        F.transform(
-            values, lambda v, i: F.when(i % 2 == 0, v).otherwise(F.when(v > 4, 2 * v - 9).otherwise(2 * v))
-        ),
+        F.transform(values, lambda v, i: F.when(i % 2 == 0, v).otherwise(F.when(v > 4, 2 * v - 9).otherwise(2 * v))),
         F.lit(0),
         lambda a, v: a + v,
         lambda a: a % 10,
@@ -123,155 +116,181 @@ def luhn_sum(digits: Column) -> Column:
 
 
 def _card(m: Column, key: str) -> Column:
-    """13 to 19 digits: all but the last are permuted; the last keeps the number's Luhn remainder."""
+    """All digits but the last are permuted; the last is the new check digit."""
 
     def whole(d: Column) -> Column:
-        return let(
-            feistel_digits(F.substring(d, F.lit(1), F.length(d) - 1), key, "number"),
-            lambda b: F.concat(
-                b, ((luhn_sum(d) - luhn_sum(F.concat(b, F.lit("0"))) + 10) % 10).cast("string")
-            ),
-        )
+        body = permute_symbols(F.substring(d, F.lit(1), F.length(d) - 1), key, F.lit("number"))
+        return let(body, lambda b: F.concat(b, ((10 - luhn_sum(F.concat(b, F.lit("0")))) % 10).cast("string")))
 
     return _refill(m, let(_digits(m), whole))
 
 
-def _plain_digits(m: Column, key: str, kind: str) -> Column:
-    return _refill(m, feistel_digits(_digits(m), key, kind))
+def _ssn(m: Column, key: str) -> Column:
+    """Areas 001-665 and 667-899, groups 01-99 and serials 0001-9999 are valid, and go to such again."""
+    area, group, serial = (F.substring(m, a, n).cast("int") for a, n in ((1, 3), (5, 2), (8, 4)))
+    new = _fixed([F.when(area > 666, area - 2).otherwise(area - 1), group - 1, serial - 1], [898, 99, 9999], key, "ssn")
+    pad = lambda c, n: F.lpad(c.cast("string"), n, "0")
+    return let(new, lambda v: F.concat_ws("-", pad(F.when(v[0] > 664, v[0] + 2).otherwise(v[0] + 1), 3), pad(v[1] + 1, 2), pad(v[2] + 1, 4)))
+
+
+def _valid_ssn(m: Column) -> Column:
+    return ~m.rlike("^(?:000|666|9)|-00-|-0000$")
 
 
 def _phone(m: Column, key: str) -> Column:
-    """The country code stays, as it decides the format; all other digits are permuted."""
+    """The country code stays, as it decides the format; all other digits are permuted, whatever the signs between."""
 
-    def moved(code: Column) -> Column:
-        rest = F.substring(m, F.length(code) + 1, F.length(m))
-        return F.concat(code, _plain_digits(rest, key, "phone"))
+    def whole(d: Column) -> Column:
+        size = F.when(d.rlike("^[17]"), 1).when(F.substring(d, 1, 2).isin(_CODES), 2).otherwise(3)
+        return let(
+            size,
+            lambda k: F.concat(
+                F.substring(d, F.lit(1), k),
+                permute_symbols(F.substring(d, k + 1, F.length(d)), key, F.concat(F.lit("phone"), F.substring(d, F.lit(1), k))),
+            ),
+        )
 
-    return let(F.regexp_extract(m, r"^\+[0-9]{1,3}(?=[ .(-])|^\+", 0), moved)
+    return _refill(m, let(_digits(m), whole))
 
 
 def _ipv4(m: Column, key: str) -> Column:
-    """A dotted quad is one number below 2**32 and goes to another dotted quad."""
-    number = F.aggregate(F.split(m, r"\."), F.lit(0).cast("bigint"), lambda a, p: a * 256 + p.cast("bigint"))
-    return let(
-        _below(number, 1 << 32, key, "ipv4"),
-        lambda v: F.array_join(
-            F.transform(F.array(*[F.lit(8 * i) for i in (3, 2, 1, 0)]), lambda s: (F.floor(v / F.pow(F.lit(2.0), s)) % 256).cast("string")), "."
-        ),
-    )
+    octets = let(F.split(m, r"\.").cast("array<int>"), lambda v: feistel(v, F.array(*[F.lit(256)] * 4), key, F.lit("ipv4")))
+    return F.array_join(octets.cast("array<string>"), ".")
 
 
-_FIRST_DAY, _DAYS = "1900-01-01", 73049  # to 2099-12-31
+#: 1900-01-01 to 2099-12-31 are 17 * 4297 days.
+_FIRST_DAY, _DAYS = "1900-01-01", (17, 4297)
+
+
+def _day(m: Column) -> Column:
+    """The date that a match writes: year first, else day first, else month first; null if there is none."""
+    tries = [(m, "yyyy-MM-dd")] + [(F.regexp_replace(m, "[/.]", "-"), f) for f in ("dd-MM-yyyy", "MM-dd-yyyy")]
+    return F.coalesce(*[F.try_to_timestamp(c, F.lit(f)) for c, f in tries]).cast("date")
 
 
 def _date(m: Column, key: str) -> Column:
-    """A valid calendar date from 1900 to 2099 goes to another one, in the format it was written in.
-
-    A string that is no calendar date (the 30th of February) stays as it is."""
-    iso = m.rlike("^[0-9]{4}-")
-    day = F.to_date(
-        F.coalesce(
-            F.try_to_timestamp(m, F.lit("yyyy-MM-dd")),
-            F.try_to_timestamp(F.regexp_replace(m, "[/.]", "-"), F.lit("dd-MM-yyyy")),
-        )
-    )
+    """A calendar date from 1900 to 2099 goes to another one, written in the same order and with the same signs."""
     first = F.lit(_FIRST_DAY).cast("date")
-    new = F.date_add(first, _below(F.datediff(day, first), _DAYS, key, "date").cast("int"))
-    text = let(
-        F.date_format(new, "yyyy-MM-dd"),
-        lambda t: F.when(iso, t).otherwise(
-            F.concat(F.substring(t, 9, 2), F.substring(m, 3, 1), F.substring(t, 6, 2), F.substring(m, 3, 1), F.substring(t, 1, 4))
-        ),
-    )
-    return F.when(day.isNull(), m).otherwise(text)
+    n = F.datediff(_day(m), first)
+    new = _fixed([F.floor(n / _DAYS[1]), n % _DAYS[1]], list(_DAYS), key, "date")
+    day = let(new, lambda v: F.date_add(first, v[0] * _DAYS[1] + v[1]))
+    swapped = F.try_to_timestamp(F.regexp_replace(m, "[/.]", "-"), F.lit("dd-MM-yyyy")).isNull()  # month first
+    mark = F.substring(m, 3, 1)
 
+    def written(t: Column) -> Column:
+        y, mo, d = F.substring(t, 1, 4), F.substring(t, 6, 2), F.substring(t, 9, 2)
+        return F.when(m.rlike("^[0-9]{4}-"), t).when(swapped, F.concat(mo, mark, d, mark, y)).otherwise(F.concat(d, mark, mo, mark, y))
 
-def _email(m: Column, key: str) -> Column:
-    """The part before the ``@`` keeps its pattern of letters, digits and signs; the domain stays.
+    return let(F.date_format(day, "yyyy-MM-dd"), written)
 
-    Its letters and digits are moved within their class by keyed amounts that depend on the whole
-    address, so equal addresses stay equal."""
-    at = F.instr(m, "@")
-    digest = F.sha2(F.concat_ws("|", F.lit(key), F.lit("email"), F.lower(m)), 256)
-    low, high = F.lit("abcdefghijklmnopqrstuvwxyz"), F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ")
 
-    def local(hexes: Column) -> Column:
-        def moved(ch: Column, i: Column) -> Column:
-            k = F.conv(F.substring(hexes, (i % 32) * 2 + 1, F.lit(2)), 16, 10).cast("int") % 25
-            return (
-                F.when(ch.rlike("^[a-z]$"), F.substring(low, (F.call_function("instr", low, ch) + k) % 26 + 1, F.lit(1)))
-                .when(ch.rlike("^[A-Z]$"), F.substring(high, (F.call_function("instr", high, ch) + k) % 26 + 1, F.lit(1)))
-                .when(ch.rlike("^[0-9]$"), ((ch.cast("int") + k % 9 + 1) % 10).cast("string"))
-                .otherwise(ch)
-            )
+def _mod97(text: Column) -> Column:
+    """The remainder of digits and capitals (A is 10, Z is 35) read as one number."""
+
+    def more(r: Column, c: Column) -> Column:
+        return F.when(c < 58, r * 10 + (c - 48)).otherwise(r * 100 + (c - 55)) % 97
+
+    return F.aggregate(F.transform(F.split(text, ""), F.ascii), F.lit(0), more)
+
+
+def _iban_part(m: Column) -> Column:
+    """The longest run of groups from the start whose check digits are right; null if there is none."""
+
+    def right(s: Column) -> Column:
+        plain = F.replace(s, F.lit(" "), F.lit(""))
+        return (F.length(plain) >= 15) & (_mod97(F.concat(F.substring(plain, F.lit(5), F.length(plain)), F.substring(plain, 1, 4))) == 1)
+
+    def runs(groups: Column) -> Column:
+        return F.transform(F.sequence(F.size(groups), F.lit(1), F.lit(-1)), lambda k: F.array_join(F.slice(groups, F.lit(1), k), " "))
 
-        return F.array_join(F.transform(F.split(F.substring(m, F.lit(1), at - 1), ""), moved), "")
+    return F.get(F.filter(let(F.split(m, " "), runs), right), F.lit(0))
 
-    return F.concat(let(digest, local), F.substring(m, at, F.length(m)))
 
+def _iban(m: Column, key: str) -> Column:
+    """Country and pattern stay, the account is permuted and the check digits are computed anew."""
 
-def _whole(pattern: str) -> str:
-    return f"^(?:{pattern})$"
+    def whole(part: Column) -> Column:
+        plain = F.replace(part, F.lit(" "), F.lit(""))
+        land = F.substring(plain, 1, 2)
+        account = permute_symbols(F.substring(plain, F.lit(5), F.length(plain)), key, F.concat(F.lit("iban"), land))
+
+        def checked(a: Column) -> Column:
+            check = F.lpad((98 - _mod97(F.concat(a, land, F.lit("00")))).cast("string"), 2, "0")
+            return F.concat(land, check, a)
+
+        return F.concat(_refill(part, let(account, checked)), F.substring(m, F.length(part) + 1, F.length(m)))
+
+    return let(_iban_part(m), whole)
+
+
+def _email(m: Column, key: str) -> Column:
+    """The part before the ``@`` is permuted within its pattern of letters, digits and signs; the domain stays.
+
+    Capitals count as their small letters, so an address stays linked however it is written."""
+    at = F.instr(m, "@")
+    domain = F.substring(m, at, F.length(m))
+    return F.concat(permute_symbols(F.substring(m, F.lit(1), at - 1), key, F.concat(F.lit("email"), F.lower(domain))), domain)
 
 
 def kind_of(m: Column) -> Column:
-    """The kind of one match; null where a validation rules it out (a day that no month has)."""
+    """The kind of one match; null where its validation fails: a day that no month has, an area that no
+    number of the form 123-45-6789 has, wrong check digits of an account or a card."""
     return (
         F.when(F.instr(m, "@") > 0, F.lit("email"))
         .when(m.rlike(r"^[0-9]{1,3}(?:\.[0-9]{1,3}){3}$"), F.lit("ipv4"))
-        .when(m.rlike(r"^(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}[/.][0-9]{2}[/.][0-9]{4})$"), F.lit("date"))
+        .when(m.rlike(r"^(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}[/.][0-9]{2}[/.][0-9]{4})$"), F.when(_day(m).isNotNull(), "date"))
         .when(m.rlike(r"^\+"), F.lit("phone"))
-        .when(m.rlike(_whole(SSN)), F.lit("ssn"))
-        .when(m.rlike("^[A-Z]"), F.lit("iban"))
-        .otherwise(F.lit("number"))
+        .when(m.rlike("^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), F.when(_valid_ssn(m), "ssn"))
+        .when(m.rlike("^[A-Z]"), F.when(_iban_part(m).isNotNull(), "iban"))
+        .otherwise(F.when(luhn_sum(_digits(m)) == 0, "number"))
     )
 
 
-def pseudonym(m: Column, key: str = KEY) -> Column:
-    return let(
-        kind_of(m),
-        lambda kind: F.when(kind == "email", _email(m, key))
+def pseudonym(m: Column, kind: Column, key: str = KEY) -> Column:
+    """The pseudonym of a match of this kind; of a null kind the match itself."""
+    return (
+        F.when(kind == "email", _email(m, key))
         .when(kind == "ipv4", _ipv4(m, key))
         .when(kind == "date", _date(m, key))
         .when(kind == "phone", _phone(m, key))
-        .when(kind == "ssn", _plain_digits(m, key, "ssn"))
-        .when(kind == "iban", F.concat(F.substring(m, 1, 2), _plain_digits(F.substring(m, F.lit(3), F.length(m)), key, "iban")))
-        .otherwise(_card(m, key)),
+        .when(kind == "ssn", _ssn(m, key))
+        .when(kind == "iban", _iban(m, key))
+        .when(kind == "number", _card(m, key))
+        .otherwise(m)
     )
 
 
-PATTERN = "|".join([EMAIL, IPV4, DATE, PHONE, SSN, IBAN, NUMBER])
-
-
 def pseudonymize(docs: DataFrame, text_col: str = "text", key: str = KEY, count_col: str | None = None) -> DataFrame:
     """Replace personal data in a text column by keyed values of the same format.
 
-    Email addresses, IPv4 addresses, dates of 1900-2099, international phone numbers, numbers of the
-    form 123-45-6789, IBANs and numbers of 13 to 19 digits are found. Equal values get equal
-    pseudonyms in every document; a number keeps its length, separators and Luhn remainder, a date
-    stays a calendar date and an address a valid address. Texts without such values stay as they
-    are, byte for byte; a null text stays null (count 0), an empty one empty. All rows and all other
-    columns are kept; ``count_col`` adds the number of replaced values. There is no shuffle: each
-    row is handled where it is read.
+    Email addresses, IPv4 addresses, dates of 1900-2099 (year, day or month first), international
+    phone numbers, numbers of the form 123-45-6789, IBANs and card numbers of 13 to 19 digits are
+    found and validated; what fails its validation stays. The pseudonym is valid again. Equal values
+    get equal pseudonyms in every document, whatever signs stand between the digits, and different
+    ones of a kind and format get different ones. Digits that follow a phone number outside +1 after
+    a space, and fit its 15, are taken as part of it.
+
+    Texts without such values stay as they are, byte for byte; a null text stays null (count 0), an
+    empty one empty. All rows, repeated ones too, and all other columns are kept; ``count_col`` adds
+    the number of replaced values, in place of a column of that name. There is no shuffle: each row
+    is handled where it is read.
     """
-    text = F.col(text_col)
+    text = F.col(f"`{text_col}`")
+    taken = {c.lower() for c in docs.columns}
+    staged_col = next(n for i in range(len(taken) + 1) if (n := f"found{i}") not in taken)
     found = F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)))
-    staged = docs.withColumn("__found", F.coalesce(found, F.array().cast("array<string>")))
-    between = F.split(text, PATTERN, -1)
-    swapped = F.transform(F.col("__found"), lambda m: pseudonym(m, key))
-    rebuilt = F.array_join(
-        F.transform(
-            F.arrays_zip(between.alias("gap"), F.concat(swapped, F.array(F.lit(""))).alias("new")),
-            lambda p: F.concat(p["gap"], p["new"]),
-        ),
-        "",
-    )
-    out = staged.withColumn(text_col, F.when(F.size("__found") > 0, rebuilt).otherwise(text))
+    swap = lambda m: let(kind_of(m), lambda k: F.struct(k.alias("kind"), pseudonym(m, k, key).alias("new")))
+    staged = docs.withColumn(staged_col, F.coalesce(F.transform(found, swap), F.array().cast("array<struct<kind: string, new: string>>")))
+    new = F.concat(F.col(staged_col)["new"], F.array(F.lit("")))
+    rebuilt = F.array_join(F.zip_with(F.split(text, PATTERN, -1), new, lambda gap, x: F.concat(gap, x)), "")
+    count = F.size(F.filter(staged_col, lambda s: s["kind"].isNotNull()))
+    out = staged.withColumn(text_col, F.when(count > 0, rebuilt).otherwise(text))
     if count_col:
-        out = out.withColumn(count_col, F.size("__found").cast("long"))
-    return out.drop("__found")
+        out = out.withColumn(count_col, count.cast("long"))
+    return out.drop(staged_col)
 
 
 def op1_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document of the table with its pseudonymized text and the number of replaced values."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return pseudonymize(docs, count_col="n_replaced")
