@@ -1,12 +1,15 @@
 """Repeated passages by prefix-partitioned (sparse) suffix trees over words.
 
-Of the suffixes of all documents, those are put into trees that start at an anchor: the word
-5-gram of least hash among the nine that lie in a window of 13 words. Equal windows have equal
-anchors, so all suffixes that can share a 13-word passage meet in the tree of that prefix. A
-prefix names its group; groups of a bounded number of bytes go to one task each. Where a 5-word
-prefix is too frequent for that, the prefix is lengthened to the whole 13 words. In its group, the
-suffixes are sorted by their prefixes; runs that share a path of 13 words hang under one deep
-internal node, a maximal repeat of that length.
+A suffix takes part with its first 13 words, a window. Windows are dealt to trees by a prefix that
+each finds in itself: the word 5-gram of least hash among its nine. Equal windows have equal
+prefixes, so all that can share a passage meet in one tree, and neighbouring windows mostly have the
+same, so they travel as one run. The bytes that each prefix draws are counted over all documents;
+one that draws more than a tree may hold is lengthened word by word, up to the 13 words of the
+window, until what it draws fits. Prefixes are dealt to groups of a bounded size, one task each.
+
+In its group, a tree is a suffix array with the longest common prefixes of neighbours, taken on the
+words themselves. Neighbours with 13 words or more in common hang under one deep internal node, a
+maximal repeat; its least document keeps the passage.
 """
 
 from __future__ import annotations
@@ -29,6 +32,7 @@ from docloom.llm.common import (
     gram_hash,
     mix64,
     pack,
+    release,
     shuffle_partitions,
     sliced,
     text_bytes,
@@ -40,11 +44,11 @@ from docloom.llm.common import (
 
 WINDOW = 13
 PREFIX = 5
-#: A 5-word prefix with more than this share of all anchors is lengthened; at most 1 / share are.
-HOT_SHARE = 1e-4
+#: A prefix that draws more bytes than this is lengthened; there are at most (bytes drawn) / limit of those.
+PREFIX_BYTES = 16 << 20
 #: Bytes of routed text per byte of input, as measured; it only sets the number of groups.
 _SPREAD = 3.5
-_TOP = np.uint64(1 << 63)
+_SHORT = np.uint64((1 << 40) - 1)
 
 
 @dataclass
@@ -61,31 +65,58 @@ def _windows(w: Words, window: int) -> np.ndarray:
     return w.doc[:n] == w.doc[window - 1 :] if n > 0 else np.zeros(0, bool)
 
 
-def anchored_runs(w: Words, window: int, hot: np.ndarray) -> Runs:
+@dataclass
+class Lengths:
+    """Prefixes that are lengthened: their 5-gram hashes in order, and the length of each in words."""
+
+    gram: np.ndarray
+    words: np.ndarray
+
+    def of(self, grams: np.ndarray) -> np.ndarray:
+        out = np.full(len(grams), PREFIX, np.int64)
+        if len(self.gram):
+            at = np.minimum(np.searchsorted(self.gram, grams), len(self.gram) - 1)
+            hit = self.gram[at] == grams
+            out[hit] = self.words[at[hit]]
+        return out
+
+
+def no_lengths() -> Lengths:
+    return Lengths(np.zeros(0, np.uint64), np.zeros(0, np.int64))
+
+
+def _prefixes(w: Words, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Per window, the least hash of its 5-grams and the place of that in the window."""
     n = len(w.hash) - window + 1
-    if n <= 0:
-        e = np.zeros(0, np.int64)
-        return Runs(e, e, np.zeros(0, np.uint64))
-    inside = _windows(w, window)
-    grams = gram_hash(w.hash, PREFIX) & ~_TOP
-    if len(hot):
-        grams = np.where(np.isin(grams, hot), grams | _TOP, grams)
+    grams = gram_hash(w.hash, PREFIX)
     key, at = grams[:n].copy(), np.zeros(n, np.int64)
     for j in range(1, window - PREFIX + 1):
         other = grams[j : j + n]
         less = other < key
         np.copyto(key, other, where=less)
         at[less] = j
-    anchor = np.arange(n) + at
-    long = key >= _TOP
-    if long.any():  # every window of a lengthened prefix is a run of its own
-        key[long] = gram_hash(w.hash, window)[long]
-        anchor[long] = -1 - np.flatnonzero(long)
-    ok = np.flatnonzero(inside)
+    return key, at
+
+
+def _lengthened(w: Words, window: int, at: np.ndarray, which: np.ndarray, length: int) -> np.ndarray:
+    """Hashes of the ``length`` words that hold the 5-gram, as far to its right as the window goes."""
+    start = which + np.minimum(at[which], window - length)
+    return mix64(gram_hash(w.hash, length)[start] + np.uint64(length))
+
+
+def anchored_runs(w: Words, window: int, longer: Lengths) -> Runs:
+    none = Runs(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64))
+    if len(w.hash) < window:
+        return none
+    ok = np.flatnonzero(_windows(w, window))
     if not len(ok):
-        e = np.zeros(0, np.int64)
-        return Runs(e, e, np.zeros(0, np.uint64))
-    new = np.flatnonzero(np.concatenate(([True], (np.diff(ok) != 1) | (np.diff(anchor[ok]) != 0))))
+        return none
+    key, at = _prefixes(w, window)
+    length = longer.of(key)
+    for k in np.unique(length[length > PREFIX]).tolist():
+        which = np.flatnonzero(length == k)
+        key[which] = _lengthened(w, window, at, which, k)
+    new = np.flatnonzero(np.concatenate(([True], (np.diff(ok) != 1) | (key[ok[1:]] != key[ok[:-1]]))))
     return Runs(ok[new], np.diff(np.concatenate((new, [len(ok)]))), key[ok[new]])
 
 
@@ -99,14 +130,23 @@ class Plan:
     bucket: np.ndarray
 
 
-def plan_block(w: Words, window: int, hot: np.ndarray, buckets: int) -> Plan:
-    runs = anchored_runs(w, window, hot)
+def plan_block(w: Words, window: int, longer: Lengths, buckets: int) -> Plan:
+    runs = anchored_runs(w, window, longer)
     if not len(runs.start):
         e = np.zeros(0, np.int64)
         return Plan(runs, e, e, e)
     whole = gram_hash(w.hash, window)
     same = mix64(whole[runs.start] * np.uint64(3) + whole[runs.start + runs.count - 1] + runs.count.astype(np.uint64))
     _, first, inverse = np.unique(same, return_index=True, return_inverse=True)
+    again = np.flatnonzero(first[inverse] != np.arange(len(inverse)))
+    size = runs.count[again] + window - 1
+    step = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+    one, other = np.repeat(runs.start[again], size) + step, np.repeat(runs.start[first[inverse[again]]], size) + step
+    if (runs.count[again] != runs.count[first[inverse[again]]]).any() or not w.same(one, other).all():  # two runs of one hash
+        text = [w.buf[w.start[a] : w.end[a + n + window - 2]].split() for a, n in zip(runs.start.tolist(), runs.count.tolist(), strict=True)]
+        table: dict[bytes, int] = {}
+        inverse = np.array([table.setdefault(b" ".join(x), len(table)) for x in text])
+        _, first, inverse = np.unique(inverse, return_index=True, return_inverse=True)
     bucket = (runs.key[first] % np.uint64(buckets)).astype(np.int64)
     order = np.lexsort((first, bucket))
     rank = np.empty(len(order), np.int64)
@@ -124,34 +164,123 @@ def _block_texts(table: pa.Table, id_name: str, text_name: str) -> tuple[pa.Tabl
 _NO_ID = np.iinfo(np.int64).max
 
 
-def hot_prefixes(docs: DataFrame, text_col: str, window: int = WINDOW, share: float = HOT_SHARE) -> np.ndarray:
-    """Prefixes with more than ``share`` of all anchors. One that has it overall has it in some batch,
-    so each batch reports its own few, and a second count over all batches decides; at most
-    1 / share values reach the driver."""
-    none = np.zeros(0, np.uint64)
-
-    def count(candidates: np.ndarray | None):
-        def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-            for b in sliced(batches, 0):
-                w = words_of([t or b"" for t in b.column(0).cast(pa.binary()).to_pylist()])
-                keys, n = np.unique(anchored_runs(w, window, none).key, return_counts=True)
-                total = int(n.sum())
-                keep = n > max(1, share * total)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.concatenate((keys[keep].view(np.int64), [-1]))),
-                        pa.array(np.concatenate((n[keep], [total])).astype(np.int64)),
-                    ],
-                    names=["k", "n"],
-                )
-
-        return run
-
-    sums = docs.select(text_col).mapInArrow(count(None), "k bigint, n bigint").groupBy("k").agg(F.sum("n").alias("n"))
-    total = F.max(F.when(F.col("k") == -1, F.col("n")))
-    sums = sums.crossJoin(F.broadcast(sums.agg(total.alias("total"))))  # one row
-    found = sums.filter((F.col("k") >= 0) & (F.col("n") > share * F.col("total"))).select("k").toPandas()
-    return np.sort(found["k"].to_numpy(np.int64).view(np.uint64))
+def _counted(batches: Iterable[pa.RecordBatch], count, groups: int) -> Iterable[pa.RecordBatch]:
+    """``count`` (words -> keys, bytes) over batches, as packed rows of one group of keys each."""
+    for b in sliced(batches, 0):
+        w = words_of([t or b"" for t in b.column(0).cast(pa.binary()).to_pylist()])
+        keys, size = count(w)
+        keys, at = np.unique(keys, return_inverse=True)
+        total = np.bincount(at, size, len(keys)).astype(np.int64)
+        group = (keys >> np.uint64(8)).astype(np.int64) % groups
+        order = np.argsort(group, kind="stable")
+        cuts = np.flatnonzero(np.diff(group[order], prepend=-1)).tolist()
+        spans = list(zip(cuts, [*cuts[1:], len(order)], strict=True)) if cuts else []
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array([int(group[order[i]]) for i, _ in spans], pa.int32()),
+                pa.array([zigzag_deltas(keys[order[i:j]].view(np.int64)) for i, j in spans], pa.binary()),
+                pa.array([pack(total[order[i:j]].astype("<u4")) for i, j in spans], pa.binary()),
+            ],
+            names=["grp", "keys", "bytes"],
+        )
+
+
+def _summed(table: pa.Table, limit: int) -> pa.Table:
+    """The keys of one group that draw more than ``limit`` bytes."""
+    keys = np.concatenate([from_deltas(x) for x in table.column("keys").to_pylist()])
+    size = np.concatenate([unpack_array(x, "<u4") for x in table.column("bytes").to_pylist()])
+    keys, at = np.unique(keys, return_inverse=True)
+    total = np.bincount(at, size, len(keys))
+    much = total > limit
+    return pa.table({"key": pa.array(keys[much]), "size": pa.array(total[much].astype(np.int64))})
+
+
+def _run_bytes(w: Words, runs: Runs, window: int) -> np.ndarray:
+    return w.end[runs.start + runs.count + window - 2] - w.start[runs.start]
+
+
+def prefix_lengths(docs: DataFrame, text_col: str, window: int = WINDOW, limit: int = PREFIX_BYTES, groups: int = 64) -> Lengths:
+    """The prefixes that draw more than ``limit`` bytes, counted over all documents, with the length at
+    which none of their longer forms does, or else the whole window.
+
+    The first pass counts all prefixes (in 40 bits of their hashes: to meet there can only lengthen
+    one too many). Only where some are too frequent, a second one counts their longer forms."""
+    texts = docs.select(text_col)
+
+    def over(count) -> list:
+        rows = texts.mapInArrow(lambda batches: _counted(batches, count, groups), "grp int, keys binary, bytes binary")
+        return rows.groupBy("grp").applyInArrow(lambda t: _summed(t, limit), "key bigint, size bigint").collect()  # at most all bytes / limit
+
+    def short(w: Words) -> tuple[np.ndarray, np.ndarray]:
+        runs = anchored_runs(w, window, no_lengths())
+        return runs.key & _SHORT, _run_bytes(w, runs, window)
+
+    hot = np.sort(np.array([r["key"] for r in over(short)], np.int64).view(np.uint64))
+    if not len(hot):
+        return no_lengths()
+
+    def longer(w: Words) -> tuple[np.ndarray, np.ndarray]:
+        """For windows of hot prefixes: keys of (prefix, length) with what the longer prefix draws, summed
+        where two long forms share 40 bits; a key holds the length in its low bits."""
+        if len(w.hash) < window:
+            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        key, at = _prefixes(w, window)
+        which = np.flatnonzero(_windows(w, window) & np.isin(key & _SHORT, hot))
+        size = w.end[which + window - 1] - w.start[which]
+        made = [(_lengthened(w, window, at, which, k) & ~np.uint64(15)) | np.uint64(k) for k in range(PREFIX + 1, window)]
+        return np.concatenate(made) if made else np.zeros(0, np.uint64), np.tile(size, len(made))
+
+    too_long = np.sort(np.array([r["key"] for r in over(longer)], np.int64).view(np.uint64))
+
+    def needed(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        """The longest form of each hot prefix that is still too frequent, in this batch."""
+        for b in sliced(batches, 0):
+            w = words_of([t or b"" for t in b.column(0).cast(pa.binary()).to_pylist()])
+            if len(w.hash) < window:
+                continue
+            key, at = _prefixes(w, window)
+            which = np.flatnonzero(_windows(w, window) & np.isin(key & _SHORT, hot))
+            most = np.full(len(which), PREFIX, np.int64)
+            for k in range(PREFIX + 1, window):
+                made = (_lengthened(w, window, at, which, k) & ~np.uint64(15)) | np.uint64(k)
+                most[np.isin(made, too_long)] = k
+            keys, back = np.unique(key[which], return_inverse=True)
+            top = np.full(len(keys), PREFIX, np.int64)
+            np.maximum.at(top, back, most)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(top)], names=["key", "words"])
+
+    rows = texts.mapInArrow(needed, "key bigint, words bigint").groupBy("key").agg(F.max("words").alias("words")).toPandas()  # as many as hot ones
+    gram = rows["key"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(gram)
+    return Lengths(gram[order], np.minimum(rows["words"].to_numpy(np.int64)[order] + 1, window))
+
+
+def _repeats(w: Words, owner: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """The suffixes with at least ``window`` words, and for each whether a smaller owner has its window.
+
+    The suffix array sorts them by their prefixes, then their windows, by hash; the common prefixes of
+    neighbours are then taken on the words, so what hangs under one node has the same words."""
+    leaf = np.flatnonzero(_windows(w, window))
+    who = owner[w.doc[leaf]]
+    path, head = gram_hash(w.hash, window)[leaf], gram_hash(w.hash, PREFIX)[leaf]
+    order = np.lexsort((path, head))
+    array = leaf[order]
+    common = np.zeros(len(array), np.int64)  # words that a suffix shares with the one before it
+    live = np.flatnonzero(np.concatenate(([False], path[order[1:]] == path[order[:-1]]))[: len(order)])
+    for _ in range(window):
+        live = live[w.same(array[live] + common[live], array[live - 1] + common[live])]
+        common[live] += 1
+    if int((common >= window).sum()) < int((np.diff(path[order]) == 0).sum()):  # two windows of one hash
+        table: dict[bytes, int] = {}
+        words = [b" ".join(w.buf[w.start[i] : w.end[i + window - 1]].split()) for i in leaf.tolist()]
+        path = np.array([table.setdefault(x, len(table)) for x in words])
+        order = np.argsort(path, kind="stable")
+        common = np.where(np.concatenate(([False], np.diff(path[order]) == 0)), window, 0)
+    node = common < window  # where a node, or a leaf by itself, begins
+    least = np.minimum.reduceat(who[order], np.flatnonzero(node))[np.cumsum(node) - 1] if len(order) else who
+    repeated = np.zeros(len(leaf), bool)
+    repeated[order] = least < who[order]
+    return leaf, repeated
 
 
 def remove_repeats(
@@ -161,6 +290,7 @@ def remove_repeats(
     window: int = WINDOW,
     out_text: bool = True,
     digests: bool = False,
+    prefix_bytes: int = PREFIX_BYTES,
 ) -> DataFrame:
     """Remove every word that a repeated passage covers, keeping the copy of the smallest id.
 
@@ -171,28 +301,30 @@ def remove_repeats(
     joined by one space) in place of columns of these names. A text without removed words is returned
     as it was; else the removed words go with the white space after them. Null and empty texts, and
     texts below ``window`` words, lose nothing; null stays null and has no words. Rows with a null id
-    come after all others and yield to them, but not to each other; nor do rows of one id.
+    come after all others and yield to them, but not to each other; nor do rows of one id. The id is
+    an integer. Passages are compared word by word, so equal hashes of different words do no harm.
     """
     spark = docs.sparkSession
     clash = [c for c in docs.columns if c.lower() in ("n_words", "n_removed", "kept_sha256")]
     docs = docs.drop(*clash)
     cols = docs.columns
     it, tt = f"c{cols.index(id_col)}", f"c{cols.index(text_col)}"
-    buckets = max(shuffle_partitions(spark), int(_SPREAD * text_bytes(docs, text_col)) // BUCKET_BYTES + 1)
-    hot = hot_prefixes(docs, text_col, window)
-    blocks = blocks_of(docs, id_col, text_col)
+    size = text_bytes(docs, text_col)
+    buckets = max(shuffle_partitions(spark), int(_SPREAD * size) // BUCKET_BYTES + 1)
+    longer = prefix_lengths(docs, text_col, window, prefix_bytes, max(shuffle_partitions(spark), size // (32 << 20) + 1))
+    blocks = blocks_of(docs, id_col, text_col, size)
 
     def scatter(table: pa.Table) -> pa.Table:
         _, ids, texts = _block_texts(table, it, tt)
         w = words_of([t or b"" for t in texts])
-        plan = plan_block(w, window, hot, buckets)
+        plan = plan_block(w, window, longer, buckets)
         first = plan.runs.start[plan.distinct]
         last = first + plan.runs.count[plan.distinct] + window - 2
         owner = np.array([_NO_ID if i is None else i for i in ids], np.int64)[w.doc[first]] if len(first) else first
         a, z = w.start[first], w.end[last] if len(first) else first
-        cuts = np.searchsorted(plan.bucket, np.arange(buckets + 1))
-        rows = [k for k in range(buckets) if cuts[k] < cuts[k + 1]]
-        spans = [slice(cuts[k], cuts[k + 1]) for k in rows]
+        cuts = np.flatnonzero(np.diff(plan.bucket, prepend=-1)).tolist()
+        rows = plan.bucket[cuts].tolist()
+        spans = [slice(i, j) for i, j in zip(cuts, [*cuts[1:], len(plan.bucket)], strict=True)] if cuts else []
         join = lambda s: b"".join(w.buf[i:j] for i, j in zip(a[s].tolist(), z[s].tolist(), strict=True))
         block = table.column("block")[0].as_py()
         return pa.table(
@@ -220,26 +352,17 @@ def remove_repeats(
         w = words_of(texts)
         del texts
         owner = np.concatenate(owners)
-        n = len(w.hash) - window + 1
-        leaf = np.flatnonzero(_windows(w, window))  # suffixes of at least `window` words, by place
-        path = gram_hash(w.hash, window)[leaf]
-        who = owner[w.doc[leaf]]
-        order = np.argsort(path, kind="stable")
-        path = path[order]
-        node = np.concatenate(([True], path[1:] != path[:-1]))
-        least = np.minimum.reduceat(who[order], np.flatnonzero(node))[np.cumsum(node) - 1]
-        repeated = np.zeros(len(leaf), bool)
-        repeated[order] = least < who[order]
+        leaf, repeated = _repeats(w, owner, window)
         # back to the sender: ordinals, among the windows it sent, of those that an earlier document has
         sender = np.repeat(np.arange(len(rows)), sent)[w.doc[leaf]]
         cuts = np.searchsorted(sender, np.arange(len(rows) + 1))
-        assert n > 0
         out = [(r["block"], r["bucket"], np.flatnonzero(repeated[i:j])) for r, i, j in zip(rows, cuts[:-1], cuts[1:], strict=True)]
         out = [(b, k, zigzag_deltas(x)) for b, k, x in out if len(x)]
         yield pa.RecordBatch.from_arrays(
             [pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.int32()), pa.array([x[2] for x in out], pa.binary())],
             names=["block", "bucket", "found"],
         )
+        release()
 
     fields = [(c, k) for c, k in docs.dtypes]
     plain = [f"c{i}" for i in range(len(cols))]
@@ -250,7 +373,7 @@ def remove_repeats(
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
         table, _, texts = _block_texts(left, it, tt)
         w = words_of([t or b"" for t in texts])
-        plan = plan_block(w, window, hot, buckets)
+        plan = plan_block(w, window, longer, buckets)
         n_docs = len(texts)
         gone = np.zeros(len(w.hash) + 1, np.int64)
         if len(plan.distinct):
@@ -308,6 +431,7 @@ def remove_repeats(
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Word counts and the digest of the kept words of every document of the table."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     out = remove_repeats(docs, out_text=False, digests=True)
     return out.select("doc_id", "n_words", "n_removed", "kept_sha256")

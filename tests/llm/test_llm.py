@@ -184,11 +184,52 @@ def test_substring_dedup_brute_force(spark, docs, none):
     assert substring_dedup.remove_repeats(none).count() == 0
 
 
-def test_hot_prefix_is_lengthened(spark):
-    df = spark.createDataFrame([(i, f"a{i} b{i} {PASSAGE} c{i} d{i}") for i in range(40)], "doc_id bigint, text string")
-    assert len(substring_dedup.hot_prefixes(df, "text", share=0.01)) > 0
-    got = {r.doc_id: r.n_removed for r in substring_dedup.remove_repeats(df).collect()}
-    assert got[0] == 0 and all(got[i] == 30 for i in range(1, 40))
+def _removed(rows, window=13):
+    """(id, words) -> removed words per row, by trying all windows."""
+    first: dict = {}
+    for i, w in sorted(rows, key=lambda x: x[0]):
+        for k in range(len(w) - window + 1):
+            first.setdefault(tuple(w[k : k + window]), i)
+    out = []
+    for i, w in rows:
+        gone = [False] * len(w)
+        for k in range(len(w) - window + 1):
+            if first[tuple(w[k : k + window])] < i:
+                gone[k : k + window] = [True] * window
+        out.append((i, sum(gone)))
+    return sorted(out)
+
+
+def test_frequent_prefixes_are_lengthened(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, f"a{i} b{i} {PASSAGE} c{i} d{i} " + " ".join(f"k{x}" for x in rng.integers(0, 3, 60))) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    for limit in (300, 900, 2000):
+        longer = substring_dedup.prefix_lengths(df, "text", limit=limit)
+        assert len(longer.gram) and (longer.words > 5).all() and (longer.words <= 13).all()
+        got = sorted((r.doc_id, r.n_removed) for r in substring_dedup.remove_repeats(df, prefix_bytes=limit).collect())
+        assert got == _removed([(i, t.split()) for i, t in rows])
+    assert len(set(substring_dedup.prefix_lengths(df, "text", limit=900).words.tolist())) > 1  # some need more words than others
+
+
+def test_colliding_words_do_not_repeat(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    words = ["".join(rng.choice(list("ab"), 6)) for _ in range(400)]
+    rows = [(i, " ".join(words[k] for k in rng.integers(0, 400, 80)) + " " + PASSAGE) for i in range(12)]
+    w = substring_dedup.words_of([t.encode() for _, t in rows])
+    w.hash[:] = w.hash & np.uint64(1)  # hashes tell almost nothing
+    owner = np.arange(12)
+    leaf, repeated = substring_dedup._repeats(w, owner, 13)
+    text = [w.buf[a:z] for a, z in zip(w.start.tolist(), w.end.tolist(), strict=True)]
+    first: dict = {}
+    for i in leaf.tolist():
+        first[k] = min(first.get(k := tuple(text[i : i + 13]), 99), int(w.doc[i]))
+    assert repeated.tolist() == [first[tuple(text[i : i + 13])] < w.doc[i] for i in leaf.tolist()]
+    assert len(set(w.codes().tolist())) == len(set(text))
+    plan = substring_dedup.plan_block(w, 13, substring_dedup.no_lengths(), 7)
+    runs = plan.runs
+    spans = [tuple(text[a : a + n + 12]) for a, n in zip(runs.start.tolist(), runs.count.tolist(), strict=True)]
+    assert all(spans[plan.distinct[p]] == x for p, x in zip(plan.place.tolist(), spans, strict=True))
 
 
 def test_toxicity(spark, docs, none):
