@@ -20,12 +20,13 @@ _ROWS = 2048
 
 
 def _upper_splits(reps: DataFrame, trees: int, seed: int) -> tuple[np.ndarray, list[np.ndarray]] | None:
-    """Per tree, random directions and thresholds (sample medians) that cut the largest label into groups."""
-    top = reps.groupBy("label", F.size("vec").alias("d")).count().agg(F.max("count"), F.max("d")).first()
-    depth = int(np.ceil(np.log2(max((top[0] or 1) / GROUP, 1))))
+    """Per tree, random directions and thresholds (sample medians) that cut the largest group of one label
+    and length; vectors of other lengths are not cut by them."""
+    top = reps.groupBy("label", F.size("vec").alias("d")).count().orderBy(F.desc("count"), "d").first()
+    depth = int(np.ceil(np.log2(max(top["count"] / GROUP, 1)))) if top else 0
     if depth == 0:
         return None
-    sample = reps.filter(F.size("vec") == top[1]).orderBy(F.xxhash64("id", F.lit(seed))).limit(SAMPLE).select("vec").toArrow()
+    sample = reps.filter(F.size("vec") == top["d"]).orderBy(F.xxhash64("id", F.lit(seed))).limit(SAMPLE).select("vec").toArrow()
     x = unit_rows(sample.column("vec"))
     rng = np.random.default_rng(seed)
     planes = rng.standard_normal((trees, depth, x.shape[1]))
@@ -145,4 +146,5 @@ def near_duplicates(
 
 
 def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and component of every vector of the table."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))

@@ -163,17 +163,20 @@ def _same_length(words: list[bytes], n: int, p: Pieces, w: Weights, uses: np.nda
             piece = p.find(prefix[j], False)
             who = np.flatnonzero(piece >= 0)
             if len(who):
-                arcs.append((-1, j, who, piece[who]))
+                if uses is not None:
+                    arcs.append((-1, j, who, piece[who]))
                 forward[j, who] = w.log[piece[who]]
         for i in range(max(0, j - p.longest), j):
             piece = p.find(prefix[j] - prefix[i] * np.uint64(power[j - i]), True)
             if i == j - 1:  # a byte is always an arc; where a piece is that byte, both count
                 single = p.byte[raw[i]]
-                arcs.append((i, j, np.arange(len(words)), single))
+                if uses is not None:
+                    arcs.append((i, j, np.arange(len(words)), single))
                 forward[j] = np.logaddexp(forward[j], forward[i] + w.more + w.log[single])
             who = np.flatnonzero(piece >= 0)
             if len(who):
-                arcs.append((i, j, who, piece[who]))
+                if uses is not None:
+                    arcs.append((i, j, who, piece[who]))
                 forward[j, who] = np.logaddexp(forward[j, who], forward[i, who] + w.more + w.log[piece[who]])
     total = forward[n] + w.stop
     if uses is not None:
@@ -259,8 +262,9 @@ def score_documents(
     path = vocabulary or public_vocabulary()
     kind = dict(docs.dtypes)[id_col]
     named = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
-    blocks = blocks_of(named, "id", "t").withColumnsRenamed({"c0": "id", "c1": "t"})
-    n = max(shuffle_partitions(spark), text_bytes(named, "t") // (64 << 20) + 1)
+    size = text_bytes(named, "t")
+    blocks = blocks_of(named, "id", "t", size).withColumnsRenamed({"c0": "id", "c1": "t"})
+    n = max(shuffle_partitions(spark), size // (64 << 20) + 1)
 
     def scatter(table: pa.Table) -> pa.Table:
         _, words, train, _ = _table_words(table, held_out)
@@ -274,8 +278,8 @@ def score_documents(
         distinct = list(index)
         bucket = crc_bucket(distinct, n)
         order = np.argsort(bucket, kind="stable")
-        cuts = np.searchsorted(bucket[order], np.arange(n + 1))
-        rows = [(k, order[cuts[k] : cuts[k + 1]]) for k in range(n) if cuts[k] < cuts[k + 1]]
+        cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1)).tolist()
+        rows = [(int(bucket[order[i]]), order[i:j]) for i, j in zip(cuts, [*cuts[1:], len(order)], strict=True)] if cuts else []
         return pa.table(
             {
                 "block": pa.array([table.column("block")[0].as_py()] * len(rows), pa.int32()),
@@ -377,10 +381,10 @@ def score_documents(
         at = [np.fromiter((index.setdefault(x, len(index)) for x in w), np.int64, len(w)) for w in words]
         bucket = crc_bucket(list(index), n)
         by_bucket = np.argsort(bucket, kind="stable")
-        cuts = np.searchsorted(bucket[by_bucket], np.arange(n + 1))
+        dealt = bucket[by_bucket]
         count, log = np.zeros(len(index), np.int64), np.zeros(len(index))
         for r in right.to_pylist():
-            x = by_bucket[cuts[r["bucket"]] : cuts[r["bucket"] + 1]]
+            x = by_bucket[slice(*np.searchsorted(dealt, [r["bucket"], r["bucket"] + 1]))]
             count[x], log[x] = unpack_array(r["counts"], "<i8"), unpack_array(r["logs"], "<f8")
         base = np.log10(count + 1.0)
         end = np.log10((c.docs - c.discount) / c.tokens) if c.docs else np.log10(0.5)
@@ -409,4 +413,5 @@ def score_documents(
 
 
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and scores of every document of the table."""
     return score_documents(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))

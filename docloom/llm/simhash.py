@@ -142,4 +142,5 @@ def simhash_groups(
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document of the table."""
     return simhash_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -11,12 +11,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm.common import add_columns, crc_fold, mix64, words_of
+from docloom.llm.common import add_columns, crc_fold, mix64, sliced, words_of
 
-#: Bounds of the fitted sample: labelled documents of each class, chosen by a hash of their ids.
-SAMPLE_DOCS = 3000
-#: Words that get a weight of their own in the chain.
-MAX_WORDS = 2000
+#: Bounds of the fitted sample: labelled documents of each class, chosen by a hash of their ids, and
+#: bytes of their texts; a document that would pass the latter, and those behind it, are not fitted.
+SAMPLE_DOCS, SAMPLE_BYTES = 3000, 64 << 20
 FOLDS, HELD_OUT = 4, 2
 THRESHOLD = 0.3
 #: Bytes of sampled text whose tokens the fit holds at once.
@@ -177,8 +176,7 @@ def fit_tokens(texts: list[bytes], toxic: np.ndarray, share: float, rounds: int
     r1, r0 = d1 / n1, d0 / n0
     gain = r1 - r0 - 3 * np.sqrt((r1 + 1 / n1) / n1 + (r0 + 1 / n0) / n0)
     labelled = (d1 >= 5) & (gain > 0) & (r1 > 6 * r0 + 2 / n0)
-    chosen = np.flatnonzero((d1 >= 3) & (r1 > 2 * r0))
-    chosen = chosen[np.argsort(-(gain[chosen]), kind="stable")][:MAX_WORDS]
+    chosen = np.flatnonzero((d1 >= 3) & (r1 > 2 * r0))  # words with a weight of their own
     chain = Chain(np.sort(words[chosen]), np.full(len(chosen) + 1, -2.0), 0.0, np.zeros((2, 2)), np.zeros(5), np.ones(5))
     chain.weight[-1] = -6.0
     if not len(words):
@@ -247,8 +245,10 @@ def fit_toxicity(
     label_col: str = "toxic",
     held_out: int | None = HELD_OUT,
     sample_docs: int = SAMPLE_DOCS,
+    sample_bytes: int = SAMPLE_BYTES,
 ) -> Chain:
-    """Fit on at most ``sample_docs`` labelled documents of each class (a documented bound).
+    """Fit on at most ``sample_docs`` labelled documents of each class and ``sample_bytes`` of text, in
+    the order of a hash of their ids (documented bounds).
 
     Rows whose crc32 of the id, modulo 4, is ``held_out`` are never read for fitting. Null labels and
     ids are ignored. The sample is chosen from the small label table alone, by a hash of the id, so
@@ -266,13 +266,21 @@ def fit_toxicity(
     share = counts.get(True, 0) / max(sum(counts.values()), 1)
 
     def fit(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        rows = sorted((r["id"], r["t"] or "", r["y"] > 0) for b in batches for r in b.to_pylist())
-        chain = fit_tokens([t.encode() for _, t, _ in rows], np.array([y for *_, y in rows], bool), share)
+        rows, room = [], sample_bytes
+        for b in sliced(batches, 1):  # in the order of the hash
+            for r in b.to_pylist():
+                text = (r["t"] or "").encode()
+                room -= len(text)
+                if room >= 0:
+                    rows.append((r["id"], text, r["y"] > 0))
+        rows.sort()
+        chain = fit_tokens([t for _, t, _ in rows], np.array([y for *_, y in rows], bool), share)
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(chain)], pa.binary())], names=["model"])
 
     sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).join(F.broadcast(ids), "id")
-    # at most 2 * sample_docs rows, fitted in one task; the driver gets the weights only
-    row = sample.repartition(1).mapInArrow(fit, "model binary").first()
+    # at most 2 * sample_docs rows and sample_bytes, fitted in one task; the driver gets the weights only
+    sample = sample.repartition(1).sortWithinPartitions(F.xxhash64("id"), "id")
+    row = sample.mapInArrow(fit, "model binary").first()
     return pickle.loads(row["model"]) if row else fit_tokens([], np.zeros(0, bool), share)
 
 
@@ -304,8 +312,9 @@ def score_toxicity(docs: DataFrame, chain: Chain, text_col: str = "text", thresh
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score, decision and offending spans of every document of the table."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     chain = fit_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return score_toxicity(docs, chain).select(
-        "doc_id", (crc_fold(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"), "score", "predicted"
+        "doc_id", (crc_fold(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"), "score", "predicted", "spans"
     )

@@ -45,9 +45,9 @@ def judge_urls(
     of ``pages`` that carry one of the four names are replaced. Repeated rows are all kept.
 
     Only distinct (host, path) pairs are expanded: into the host and its parents at every dot, times
-    the path's prefixes at the lengths that rules have. Expressions and rules meet in an equi-join
-    on a short prefix of their digests; the full digest decides. A url has a bounded number of
-    expressions, whatever the number of rules of one length.
+    the path's prefixes at the lengths that rules have. Expressions meet all rules of one short
+    prefix of their digests in an equi-join; among those the full digest decides. A url has a bounded
+    number of expressions, whatever the number of rules of one length.
     """
     live = rules.dropna(subset=["host", "path", "verdict"]).select(
         ascii_lower("host").alias("r_host"), F.col("path").alias("r_path"), F.col("verdict").alias("r_verdict")
@@ -79,10 +79,13 @@ def judge_urls(
         F.concat("r_host", "r_path").alias("rule"),
         F.col("r_verdict").alias("verdict"),
     )
+    by_prefix = keyed.groupBy("r_short").agg(F.collect_set(F.struct("r_digest", rank.alias("rank"))).alias("rules"))
+    confirmed = F.filter("rules", lambda r: r["r_digest"] == F.col("digest"))
     best = (
-        expressions.join(keyed, (F.col("short") == F.col("r_short")) & (F.col("digest") == F.col("r_digest")))
+        expressions.join(by_prefix, F.col("short") == F.col("r_short"))
+        .select("__host", "__path", F.array_max(F.transform(confirmed, lambda r: r["rank"])).alias("rank"))
         .groupBy("__host", "__path")
-        .agg(F.max(rank).alias("best"))
+        .agg(F.max("rank").alias("best"))
     )
     kept = [c for c in pages.columns if c not in dropped]
     return parts.join(best, ["__host", "__path"], "left").select(
@@ -95,6 +98,7 @@ def judge_urls(
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict on the url of every page of the table."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
     return judge_urls(pages, rules_frame(spark)).select("page_id", "host", "path", "rule", "verdict")
 
