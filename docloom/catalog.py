@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from docloom.plans import analytics, parsing, retrieval
+from docloom.plans import analytics, enrichment, parsing, retrieval
 
-QUERIES = {**analytics.QUERIES, **retrieval.QUERIES, **parsing.QUERIES}
-ORACLES = {**analytics.ORACLES, **retrieval.ORACLES}
+_MODULES = (analytics, enrichment, retrieval, parsing)
+QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
+ORACLES = {k: sql for m in _MODULES for k, sql in m.ORACLES.items()}

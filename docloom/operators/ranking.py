@@ -34,8 +34,8 @@ def by_document(chunks: DataFrame, per_document: int = 3) -> DataFrame:
         F.count("*").alias("n_chunks"),
         F.concat_ws(",", F.transform(F.sort_array(F.collect_list(F.when(F.col("r") <= per_document, F.struct("r", "chunk_index")))), lambda s: s["chunk_index"].cast("string"))).alias("top_chunks"),
     )
-    top = F.max("total").over(Window.partitionBy("query_id"))
-    return docs.withColumn("relevance", F.floor(F.col("total") / top * 1000 + 0.5) / 10)
+    top = docs.groupBy("query_id").agg(F.max("total").alias("__top"))
+    return docs.join(top, "query_id").withColumn("relevance", F.floor(F.col("total") / F.col("__top") * 1000 + 0.5) / 10).drop("__top")
 
 
 def dedupe_prefix(chunks: DataFrame, size: int = 200) -> DataFrame:

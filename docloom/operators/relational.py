@@ -124,3 +124,19 @@ def row_text(columns: list[str]) -> Column:
     """A table row as a sentence of "header is value" parts; empty cells are left out."""
     cell = lambda c: F.when(F.trim(F.col(c).cast("string")) != "", F.concat(F.lit(f"{c}为"), F.col(c).cast("string")))
     return F.concat_ws("，", *[cell(c) for c in columns])
+
+
+def merged(*maps: Column) -> Column:
+    """One map of several; a later value of a key wins."""
+    entries = F.flatten(F.array(*[F.map_entries(m) for m in maps]))
+    last = lambda e, i: F.size(F.filter(F.slice(entries, i + 2, F.size(entries)), lambda x: x["key"] == e["key"])) == 0
+    return F.map_from_entries(F.filter(entries, last))
+
+
+def resolved(rows: DataFrame, original: str, enrichments: list[str], source: str = "source") -> DataFrame:
+    """Add ``resolved``: what ``source`` names, "original", "enrichment:NAME" or "composite:A+B". Parts of a
+    composite that are null are left out, the others stand in the order named."""
+    known = F.create_map(F.lit("original"), F.col(original), *[x for n in enrichments for x in (F.lit(n), F.col(n))])
+    names = F.split(F.regexp_replace(source, "^(enrichment|composite):", ""), r"\+")
+    parts = F.filter(F.transform(names, lambda n: F.element_at(known, n)), lambda p: p.isNotNull())
+    return rows.withColumn("resolved", F.array_join(parts, "\n\n"))

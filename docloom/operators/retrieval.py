@@ -67,22 +67,35 @@ def top_k(df: DataFrame, by: list[str], order: Column, tie: str, k: int) -> Data
     return df.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def cosine(a: Column, b: Column) -> Column:
-    d = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    return d(a, b) / (F.sqrt(d(a, a)) * F.sqrt(d(b, b)))
+def dot(x: Column, y: Column) -> Column:
+    return F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
 
 
-def knn(vectors: DataFrame, queries: DataFrame, k: int = 20, max_queries: int = 1000) -> DataFrame:
-    """query_id, vec_id, score, rank: exact nearest others by cosine.
+def unit(vec: Column) -> Column:
+    """The vector in double precision at length one; its norm is computed once."""
+    wide = vec.cast("array<double>")
+    return F.transform(F.array(F.sqrt(dot(wide, wide))), lambda n: F.transform(wide, lambda x: x / n))[0]
 
-    ``queries`` (query_id, qvec) is a stated set; it is broadcast only after a count shows at most
-    ``max_queries`` rows, and every vector is compared with it where it is read.
-    """
-    n = queries.limit(max_queries + 1).count()
-    if n > max_queries:
-        raise ValueError(f"more than {max_queries} queries: pass them in blocks")
-    pairs = vectors.crossJoin(F.broadcast(queries)).filter(F.col("vec_id") != F.col("query_id"))
-    return top_k(pairs.select("query_id", "vec_id", cosine(F.col("embedding"), F.col("qvec")).alias("score")), ["query_id"], F.desc("score"), "vec_id", k)
+
+#: Rows of a query set that are broadcast at once.
+BLOCK = 1000
+
+
+def against_all(vectors: DataFrame, queries: DataFrame) -> DataFrame:
+    """query_id, vec_id, score: the cosine of every vector (vec_id, embedding) with every other query
+    (query_id, qvec). ``queries`` is a stated set; it goes in blocks of at most about BLOCK rows, each
+    broadcast and compared with every vector where that is read."""
+    v = vectors.select("vec_id", unit(F.col("embedding")).alias("embedding"))
+    q = queries.select("query_id", unit(F.col("qvec")).alias("qvec"))
+    blocks = max(1, -(-queries.count() // BLOCK))
+    part = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
+    pairs = [v.crossJoin(F.broadcast(q.filter(part == i) if blocks > 1 else q)).filter("vec_id <> query_id") for i in range(blocks)]
+    return reduce(DataFrame.unionByName, pairs).select("query_id", "vec_id", dot(F.col("embedding"), F.col("qvec")).alias("score"))
+
+
+def knn(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
+    """query_id, vec_id, score, rank: exact nearest others by cosine; see against_all."""
+    return top_k(against_all(vectors, queries), ["query_id"], F.desc(F.round("score", 9)), "vec_id", k)
 
 
 def k_hop(edges: DataFrame, start: DataFrame, hops: int) -> DataFrame:

@@ -21,6 +21,7 @@ USAGE = """(SELECT event_id, user_id AS document_id, event_type AS service, CASE
  CAST(json_extract(props, '$.k') AS BIGINT) AS input_tokens, CAST(floor(value) AS BIGINT) AS output_tokens, value AS cost, ts AS created_at FROM events)"""
 SUMS = """count(*) AS calls, CAST(coalesce(sum(input_tokens), 0) AS BIGINT) AS input_tokens, CAST(coalesce(sum(output_tokens), 0) AS BIGINT) AS output_tokens,
  CAST(coalesce(sum(input_tokens + output_tokens), 0) AS BIGINT) AS total_tokens, round(coalesce(sum(cost), 0.0), 4) AS cost"""
+DOC_TYPES = [("process", "step|process|procedure"), ("experience", "experience|lesson"), ("data", "table|data")]
 TOK = r"regexp_extract_all(lower(content), '[\p{L}\p{N}_]+')"
 
 
@@ -200,10 +201,10 @@ def doc_language(spark, d):
 
 
 @query(f"""SELECT document_id, CASE WHEN strlen(content) < 300 THEN 'brief' WHEN regexp_matches(lower(content), 'step|process|procedure') THEN 'process' WHEN regexp_matches(lower(content), 'experience|lesson') THEN 'experience'
- WHEN regexp_matches(lower(content), 'table|data') THEN 'data' ELSE 'knowledge' END AS doc_type, strlen(content) > 5000 AS summarize, len(regexp_split_to_array(content, '\\|')) - 1 > 5 AS has_table FROM {DOCS}""")
+ WHEN regexp_matches(lower(content), 'table|data') THEN 'data' ELSE 'general' END AS doc_type, strlen(content) > 5000 AS summarize, len(regexp_split_to_array(content, '\\|')) - 1 > 5 AS has_table FROM {DOCS}""")
 def doc_type_and_features(spark, d):
     c = F.col("content")
-    return corpus.documents(spark, d).select("document_id", T.document_type(c).alias("doc_type"), (F.octet_length(c) > 5000).alias("summarize"), (F.regexp_count(c, F.lit(r"\|")) > 5).alias("has_table"))
+    return corpus.documents(spark, d).select("document_id", T.document_type(c, DOC_TYPES, "general").alias("doc_type"), (F.octet_length(c) > 5000).alias("summarize"), (F.regexp_count(c, F.lit(r"\|")) > 5).alias("has_table"))
 
 
 @query(f"SELECT document_id, sha256(content || '|keyword|v1') AS cache_key, left(sha256(document_id || '|' || content), 32) AS short_key FROM {DOCS}")

@@ -25,17 +25,16 @@ def query(sql: str | None = None):
 
 
 def _questions(spark, d):
-    """The first eight words of the first benchmark items: a stated query set."""
-    b = corpus.table(spark, d, "benchmark").filter("item_id < 20")
-    return b.select(F.col("item_id").alias("query_id"), F.array_join(F.slice(F.split("text", " "), 1, 8), " ").alias("text"))
+    """The whole texts of every twentieth benchmark item: a stated query set that grows with the table."""
+    return corpus.table(spark, d, "benchmark").filter("item_id % 20 = 0").select(F.col("item_id").alias("query_id"), "text")
 
 
 def _bm25(k: int) -> str:
     return rf"""
 WITH toks AS (SELECT document_id AS id, regexp_extract_all(lower(content), '[\p{{L}}\p{{N}}_]+') AS ts FROM {DOCS}),
 stats AS (SELECT count(*) AS n, avg(len(ts)) AS avgdl FROM toks),
-q AS (SELECT DISTINCT query_id, unnest(regexp_extract_all(lower(array_to_string(list_slice(string_split(text, ' '), 1, 8), ' ')), '[\p{{L}}\p{{N}}_]+')) AS term
- FROM (SELECT item_id AS query_id, text FROM benchmark WHERE item_id < 20)),
+q AS (SELECT DISTINCT query_id, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+')) AS term
+ FROM (SELECT item_id AS query_id, text FROM benchmark WHERE item_id % 20 = 0)),
 p AS (SELECT id, term, dl, count(*) AS tf FROM (SELECT id, len(ts) AS dl, unnest(ts) AS term FROM toks) WHERE term IN (SELECT term FROM q) GROUP BY id, term, dl),
 df AS (SELECT term, count(*) AS df FROM p GROUP BY term),
 s AS (SELECT query_id, id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS score
@@ -58,28 +57,29 @@ VECTORS = "(SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE)
 
 
 @query(f"""SELECT query_id, vec_id, rank, round(score, 6) AS score FROM (SELECT q.vec_id AS query_id, e.vec_id, list_cosine_similarity(e.v, q.v) AS score,
- row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(e.v, q.v) DESC, e.vec_id) AS rank FROM {VECTORS} e JOIN {VECTORS} q ON q.vec_id < 5 AND e.vec_id <> q.vec_id) WHERE rank <= 10""")
+ row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(e.v, q.v), 9) DESC, e.vec_id) AS rank FROM {VECTORS} e JOIN {VECTORS} q ON q.vec_id % 20 = 0 AND e.vec_id <> q.vec_id) WHERE rank <= 10""")
 def knn_topk(spark, d):
     e = corpus.table(spark, d, "embeddings").select("vec_id", "embedding")
-    q = e.filter("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec"))
+    q = e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec"))
     return S.knn(e, q, 10).select("query_id", "vec_id", "rank", F.round("score", 6).alias("score"))
 
 
 @query(f"""SELECT query_id, vec_id, rank, round(score, 6) AS score FROM (SELECT q.vec_id AS query_id, e.vec_id, list_cosine_similarity(e.v, q.v) AS score,
- row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(e.v, q.v) DESC, e.vec_id) AS rank FROM {VECTORS} e JOIN {VECTORS} q ON q.vec_id < 5 AND e.vec_id <> q.vec_id AND e.label IN (1, 2)) WHERE rank <= 5""")
+ row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(e.v, q.v), 9) DESC, e.vec_id) AS rank FROM {VECTORS} e JOIN {VECTORS} q ON q.vec_id % 20 = 0 AND e.vec_id <> q.vec_id AND e.label IN (1, 2)) WHERE rank <= 5""")
 def knn_filtered(spark, d):
     e = corpus.table(spark, d, "embeddings")
-    q = e.filter("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec"))
+    q = e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec"))
     return S.knn(e.filter("label in (1, 2)").select("vec_id", "embedding"), q, 5).select("query_id", "vec_id", "rank", F.round("score", 6).alias("score"))
 
 
 @query(f"""SELECT vec_id, round(max(score * w), 6) AS score FROM (SELECT e.vec_id, list_cosine_similarity(e.v, q.v) AS score, CASE WHEN q.vec_id = 0 THEN 1.0 ELSE 0.7 END AS w
- FROM {VECTORS} e JOIN {VECTORS} q ON q.vec_id < 4 AND e.vec_id <> q.vec_id) GROUP BY vec_id""")
+ FROM {VECTORS} e JOIN {VECTORS} q ON q.vec_id % 20 = 0 AND e.vec_id <> q.vec_id) GROUP BY vec_id""")
 def knn_multi_variant_max(spark, d):
+    """Every twentieth vector is a variant of one query: the first weighs most."""
     e = corpus.table(spark, d, "embeddings").select("vec_id", "embedding")
-    q = e.filter("vec_id < 4").select(F.col("vec_id").alias("q"), F.col("embedding").alias("qvec"), F.when(F.col("vec_id") == 0, 1.0).otherwise(0.7).alias("w"))
-    pairs = e.crossJoin(F.broadcast(q)).filter("vec_id <> q")  # four query rows
-    return pairs.groupBy("vec_id").agg(F.round(F.max(S.cosine(F.col("embedding"), F.col("qvec")) * F.col("w")), 6).alias("score"))
+    q = e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec"))
+    weighed = S.against_all(e, q).withColumn("score", F.col("score") * F.when(F.col("query_id") == 0, 1.0).otherwise(0.7))
+    return weighed.groupBy("vec_id").agg(F.round(F.max("score"), 6).alias("score"))
 
 
 _HOPS = f"""WITH RECURSIVE e AS (SELECT src, dst FROM {RELATIONS} UNION ALL SELECT dst, src FROM {RELATIONS}),
@@ -227,8 +227,8 @@ def _field(name: str, column: str) -> str:
  FROM {name}_p JOIN {name}_d USING (term) JOIN q USING (term) CROSS JOIN (SELECT count(*) AS n, avg(len(ts)) AS avgdl FROM {name}_t) GROUP BY query_id, id)"""
 
 
-@query(rf"""WITH q AS (SELECT DISTINCT query_id, unnest(regexp_extract_all(lower(array_to_string(list_slice(string_split(text, ' '), 1, 8), ' ')), '[\p{{L}}\p{{N}}_]+')) AS term
- FROM (SELECT item_id AS query_id, text FROM benchmark WHERE item_id < 20)), {_field("a", "title")}, {_field("b", "content")}
+@query(rf"""WITH q AS (SELECT DISTINCT query_id, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+')) AS term
+ FROM (SELECT item_id AS query_id, text FROM benchmark WHERE item_id % 20 = 0)), {_field("a", "title")}, {_field("b", "content")}
 SELECT query_id, id, round(max(score), 6) AS score FROM (SELECT query_id, id, 2 * score AS score FROM a UNION ALL SELECT query_id, id, score FROM b) GROUP BY query_id, id""")
 def bm25_title_boost(spark, d):
     docs = corpus.documents(spark, d).select("document_id", "title", "content")
