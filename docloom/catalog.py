@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from docloom.plans import analytics, enrichment, parsing, retrieval
+from docloom.plans import analytics, enrichment, parsing, retrieval, service
 
-_MODULES = (analytics, enrichment, retrieval, parsing)
+_MODULES = (analytics, enrichment, retrieval, service, parsing)
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: sql for m in _MODULES for k, sql in m.ORACLES.items()}

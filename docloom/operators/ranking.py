@@ -23,6 +23,17 @@ def rrf(hits: DataFrame, weights: dict[str, float] | None = None, k: int = RRF_K
     return fused.withColumn("fused_rank", F.row_number().over(order))
 
 
+def score_fusion(hits: DataFrame, weights: dict[str, float]) -> DataFrame:
+    """hits (query_id, channel, id, score) -> score: each channel's scores at 0 to 1 within their query, times
+    the channel's weight. Where all scores of a channel are the same they count as 1."""
+    ends = hits.groupBy("query_id", "channel").agg(F.min("score").alias("lo"), F.max("score").alias("hi"))
+    w = F.lit(0.0)
+    for name, value in weights.items():
+        w = F.when(F.col("channel") == name, F.lit(value)).otherwise(w)
+    level = F.when(F.col("hi") > F.col("lo"), (F.col("score") - F.col("lo")) / (F.col("hi") - F.col("lo"))).otherwise(1.0)
+    return hits.join(ends, ["query_id", "channel"]).groupBy("query_id", "id").agg(F.sum(w * level).alias("score"))
+
+
 def by_document(chunks: DataFrame, per_document: int = 3) -> DataFrame:
     """(query_id, document_id, chunk_index, score) -> total score, best chunks, relevance 0..100.
 

@@ -112,6 +112,16 @@ def k_hop(edges: DataFrame, start: DataFrame, hops: int) -> DataFrame:
     return reached
 
 
+def directed_hops(edges: DataFrame, start: DataFrame, hops: int) -> DataFrame:
+    """origin, id, steps: every node reached from each start node along the edges, by each way of at most ``hops`` steps."""
+    level = start.select(F.col("id").alias("origin"), "id", F.lit(0).alias("steps"))
+    found = None
+    for n in range(1, hops + 1):
+        level = level.join(edges.select(F.col("src").alias("id"), "dst"), "id").select("origin", F.col("dst").alias("id"), F.lit(n).alias("steps"))
+        found = level if found is None else found.unionByName(level)
+    return found
+
+
 def shortest_paths(edges: DataFrame, start: DataFrame, hops: int) -> DataFrame:
     """id, path, distance: a shortest undirected path to every node within ``hops`` of the start nodes.
 
