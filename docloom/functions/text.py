@@ -52,6 +52,44 @@ def language(text: Column, size: int = 2000) -> Column:
     )
 
 
+def language_shares(text: Column) -> Column:
+    """(language, confidence) by the shares of CJK, Latin and other letters in the whole text."""
+    s = F.coalesce(text, F.lit(""))
+    count = lambda p: F.length(F.regexp_replace(s, p, "")).cast("double")
+    cjk, latin = count(r"[^\x{4e00}-\x{9fff}\x{3040}-\x{30ff}]"), count("[^A-Za-z]")
+    other = count(r"[\x00-\x7f\x{4e00}-\x{9fff}\x{3040}-\x{30ff}]")
+
+    def decide(n: Column) -> Column:
+        whole = n["c"] + n["l"] + n["o"]
+        c, l = n["c"] / F.nullif(whole, F.lit(0.0)), n["l"] / F.nullif(whole, F.lit(0.0))
+        both = lambda name, sure: F.struct(F.lit(name).alias("language"), sure.cast("double").alias("confidence"))
+        return (
+            F.when(whole == 0, both("unknown", F.lit(0.0)))
+            .when((c > 0.3) & (l > 0.3), both("mixed", F.lit(0.6)))
+            .when(c > 0.5, F.when(s.rlike(r"[\x{3040}-\x{30ff}]"), both("ja", c)).otherwise(both("zh", c)))
+            .when(l > 0.5, both("en", l))
+            .otherwise(both("unknown", F.lit(0.5)))
+        )
+
+    return F.transform(F.array(F.struct(cjk.alias("c"), latin.alias("l"), other.alias("o"))), decide)[0]
+
+
+#: What begins a top-level part of code. Fixed values.
+_DECLARATIONS = {
+    "go": r"(?:func|type|var|const)\s",
+    "python": r"(?:def|class|async def|@)\s?",
+    "javascript": r"(?:function|class|const|let|var|export)\s",
+}
+
+
+def code_sections(code: Column, language: str) -> Column:
+    """Code split before each line that begins a top-level declaration; what stands before the first of
+    them is a part of its own. Other languages are split at blank lines. An array without empty parts."""
+    start = _DECLARATIONS.get(language)
+    parts = F.split(code, rf"(?m)(?=^{start})" if start else r"\n\n+")
+    return F.filter(F.transform(parts, lambda p: F.regexp_replace(p, r"\A\s+|\s+\z", "")), lambda p: p != "")
+
+
 def query_language(text: Column) -> Column:
     """zh where Chinese signs outnumber Latin letters, en where there are such letters, else unknown."""
     count = lambda p: F.length(F.regexp_replace(text, p, ""))

@@ -67,6 +67,11 @@ def top_k(df: DataFrame, by: list[str], order: Column, tie: str, k: int) -> Data
     return df.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+def code_point(char: Column) -> Column:
+    """The Unicode number of a character."""
+    return F.conv(F.hex(F.encode(char, "UTF-32")), 16, 10).cast("bigint")
+
+
 def dot(x: Column, y: Column) -> Column:
     return F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
 
