@@ -233,12 +233,12 @@ def summary_chunk_blend(spark, d):
     return part.join(whole, "document_id").select("document_id", "chunk_index", F.round(0.3 * F.col("whole") + 0.7 * F.col("part"), 6).alias("score"))
 
 
-@query("""SELECT event_id, round((0.5::DOUBLE * CASE WHEN event_type = 'error' THEN 1 ELSE 0 END + 0.3::DOUBLE * CASE WHEN value > 100 THEN 1 ELSE 0 END + 0.2::DOUBLE * least(value / 500, 1)) * (1 + CAST(json_extract(props, '$.k') AS BIGINT) / 1000.0::DOUBLE), 6) AS score FROM events""")
+@query("""SELECT event_id, round((0.5::DOUBLE * CASE WHEN event_type = 'error' THEN 1 ELSE 0 END + 0.3::DOUBLE * CASE WHEN value > 100 THEN 1 ELSE 0 END + 0.2::DOUBLE * least(value / 500, 1)) * (1 + CAST(json_extract(props, '$.k') AS BIGINT) / 1000.0::DOUBLE), 9) AS score FROM events""")
 def experience_blend(spark, d):
     """Error match, keyword and semantic shares, raised by how well a card has worked."""
     k = F.from_json("props", "k bigint")["k"]
     s = 0.5 * F.when(F.col("event_type") == "error", 1).otherwise(0) + 0.3 * F.when(F.col("value") > 100, 1).otherwise(0) + 0.2 * F.least(F.col("value") / 500, F.lit(1.0))
-    return corpus.table(spark, d, "events").select("event_id", F.round(s * (1 + k / 1000.0), 6).alias("score"))
+    return corpus.table(spark, d, "events").select("event_id", F.round(s * (1 + k / 1000.0), 9).alias("score"))
 
 
 @query("SELECT event_id, [user_id, event_id] AS ids, coalesce(json_extract_string(props, '$.name'), 'none') AS name, coalesce(CAST(json_extract(props, '$.k') AS BIGINT), 0) AS k FROM events")
