@@ -396,6 +396,23 @@ def test_embedding_dedup_brute_force(spark):
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_forest_splits_and_finds(spark, monkeypatch):
+    """Small leaves and groups, so that upper splits and trees do cut; one stray vector has another length."""
+    monkeypatch.setattr(embedding_dedup, "LEAF", 32)
+    monkeypatch.setattr(embedding_dedup, "GROUP", 300)
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((1500, 48))
+    x[1::2] = x[0::2] + 0.2 * rng.standard_normal(x[1::2].shape)
+    rows = [(i, v.astype(np.float32).tolist(), 1) for i, v in enumerate(x)] + [(5000, [1.0] * 90, 1), (5001, [1.0] * 90, 1)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int")
+    got = {r.vec_id: r.n_links for r in embedding_dedup.near_duplicates(df).collect()}
+    u = np.array([r[1] for r in rows[:1500]], float)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    want = (u @ u.T >= 0.93).sum(axis=1) - 1
+    assert all(got[i] <= want[i] for i in range(1500)) and got[5000] == got[5001] == 1
+    assert sum(got[i] for i in range(1500)) >= 0.9 * want.sum() > 1000
+
+
 def test_ann_recall_and_ties(spark):
     rows, df = _vectors(spark)
     out = ann.nearest_neighbours(df, F.col("id") % 20 == 0).collect()
