@@ -108,12 +108,12 @@ def language_confidence(spark, d):
 
 
 @query("""SELECT conv_id, turn, CASE WHEN nav AND ask THEN 'navigate_and_search' WHEN nav AND long THEN 'jump_and_summarize' WHEN nav THEN 'navigate' WHEN ask THEN 'search' ELSE 'outline' END AS strategy,
- CASE WHEN ask AND long THEN 'hybrid' WHEN long THEN 'external' ELSE 'knowledge_base' END AS route FROM (SELECT conv_id, turn, turn % 2 = 0 AS nav, contains(text, '?') OR contains(text, 'the') AS ask, length(text) > 200 AS long FROM conversations)""")
+ CASE WHEN ask AND long THEN 'hybrid' WHEN long THEN 'external' ELSE 'internal' END AS route FROM (SELECT conv_id, turn, turn % 2 = 0 AS nav, contains(text, '?') OR contains(text, 'the') AS ask, length(text) > 200 AS long FROM conversations)""")
 def intent_routing(spark, d):
     """Primary and secondary intent to one of five strategies, and to where the answer is looked for."""
     nav, ask, long = F.col("turn") % 2 == 0, F.contains("text", F.lit("?")) | F.contains("text", F.lit("the")), F.length("text") > 200
     strategy = F.when(nav & ask, "navigate_and_search").when(nav & long, "jump_and_summarize").when(nav, "navigate").when(ask, "search").otherwise("outline")
-    route = F.when(ask & long, "hybrid").when(long, "external").otherwise("knowledge_base")
+    route = F.when(ask & long, "hybrid").when(long, "external").otherwise("internal")
     return corpus.table(spark, d, "conversations").select("conv_id", "turn", strategy.alias("strategy"), route.alias("route"))
 
 

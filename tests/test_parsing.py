@@ -7,14 +7,28 @@ import pytest
 from docloom.functions import markdown as M
 from docloom.sources import html, office
 
-DOC = "# A\n\ntext here\nmore\n\n## B\n\n- one\n\n- two\n\n```go\nfunc main() {}\n```\n\n| a | b |\n|---|---|\n| 1 | 2 |\n\n> quoted\nstill\n\n---\n\nlast"
+#: Kind and text of blocks, in the order in which they stand in the document.
+PARTS = [
+    ("quote", "> Measure twice,\ncut once."),
+    ("table", "| tool | weight |\n| :--- | ---: |\n| saw | 1.5 |\n| plane | 2 |"),
+    ("heading", "### Workshop"),
+    ("list", "1. clamp\n2. glue\n\n3. wait"),
+    ("rule", "* * *"),
+    ("paragraph", "Oak splits along the grain;\nash bends."),
+    ("code", "~~~sh\necho ```\n\nls\n~~~"),
+    ("heading", "# Store"),
+    ("code", "```\nnever closed"),
+]
 
 
 def test_block_sequence():
-    kinds = [b.kind for b in M.blocks(DOC)]
-    assert kinds == ["heading", "paragraph", "heading", "list", "code", "table", "quote", "rule", "paragraph"]
-    for b in M.blocks(DOC):
-        assert DOC.encode()[b.start : b.end].decode() == b.text
+    doc = "\n\n".join(text for _, text in PARTS)
+    got = M.blocks(doc)
+    assert [(b.kind, b.text) for b in got] == PARTS
+    at = 0
+    for b, (_, text) in zip(got, PARTS, strict=True):
+        assert (b.start, b.end) == (at, at + len(text.encode()))
+        at = b.end + 2
 
 
 @pytest.mark.parametrize(("rows", "made"), [(2, 1), (10, 1), (11, 11), (100, 100), (101, 102)])
