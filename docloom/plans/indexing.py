@@ -139,7 +139,7 @@ def toc_node_count(spark, d):
     return below.groupBy(F.col("ancestor").alias("root")).agg((F.count("*") + 1).alias("nodes"))
 
 
-@query(f"""SELECT n_name AS concept, count(DISTINCT c_custkey) AS entities, count(DISTINCT c_mktsegment) AS concepts, 0.7 AS score FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name""")
+@query(f"""SELECT n_name AS concept, count(DISTINCT c_custkey) AS entities, count(DISTINCT c_mktsegment) AS concepts, 0.7::DOUBLE AS score FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name""")
 def graph_info(spark, d):
     """Entities and distinct concepts around a node, at one constant score."""
     j = corpus.table(spark, d, "customer").join(corpus.table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
@@ -225,7 +225,7 @@ def hashed_embedding(spark, d):
     return n.join(norm, "item_id").select("item_id", F.col("bucket").cast("bigint").alias("bucket"), F.round(F.col("n") / F.col("norm"), 6).alias("value"))
 
 
-@query(f"""SELECT document_id, chunk_index, round(0.3 * whole + 0.7 * part, 6) AS score FROM (SELECT document_id, max(CASE WHEN contains(lower(content), 'the') THEN 1.0 ELSE 0.0 END) AS whole FROM {DOCS} GROUP BY document_id) JOIN
+@query(f"""SELECT document_id, chunk_index, round(0.3::DOUBLE * whole + 0.7::DOUBLE * part, 6) AS score FROM (SELECT document_id, max(CASE WHEN contains(lower(content), 'the') THEN 1.0 ELSE 0.0 END) AS whole FROM {DOCS} GROUP BY document_id) JOIN
  (SELECT document_id, chunk_index, CASE WHEN starts_with(lower(content), 'the') THEN 1.0 ELSE 0.0 END AS part FROM {CHUNKS}) USING (document_id)""")
 def summary_chunk_blend(spark, d):
     whole = corpus.documents(spark, d).select("document_id", F.when(F.contains(F.lower("content"), F.lit("the")), 1.0).otherwise(0.0).alias("whole"))

@@ -140,14 +140,14 @@ def text_match_forms(spark, d):
     return corpus.chunks(spark, d).select("document_id", "chunk_index", *[c.alias(k) for k, c in forms.items()]).filter("phrase or prefix or wildcard")
 
 
-@query(f"""SELECT document_id, round(sum(w), 6) AS score FROM (SELECT document_id, 1.0 AS w FROM {DOCS} WHERE contains(lower(content), 'license') UNION ALL SELECT document_id, 1.5 FROM {DOCS} WHERE contains(lower(title), 'the')) GROUP BY document_id""")
+@query(f"""SELECT document_id, round(sum(w), 6) AS score FROM (SELECT document_id, 1.0::DOUBLE AS w FROM {DOCS} WHERE contains(lower(content), 'license') UNION ALL SELECT document_id, 1.5 FROM {DOCS} WHERE contains(lower(title), 'the')) GROUP BY document_id""")
 def boosted_clauses(spark, d):
     docs = corpus.documents(spark, d)
     score = F.when(F.lower("content").contains("license"), 1.0).otherwise(0.0) + F.when(F.lower("title").contains("the"), 1.5).otherwise(0.0)
     return docs.select("document_id", F.round(score, 6).alias("score")).filter("score > 0")
 
 
-@query("""WITH v AS (SELECT item_id AS query_id, text AS variant, 1.0 AS weight, 0 AS i FROM benchmark UNION ALL SELECT item_id, lower(text), 0.7, 1 FROM benchmark UNION ALL SELECT item_id, split_part(text, ' ', 1), 0.5, 2 FROM benchmark)
+@query("""WITH v AS (SELECT item_id AS query_id, text AS variant, 1.0::DOUBLE AS weight, 0 AS i FROM benchmark UNION ALL SELECT item_id, lower(text), 0.7, 1 FROM benchmark UNION ALL SELECT item_id, split_part(text, ' ', 1), 0.5, 2 FROM benchmark)
  SELECT query_id, i, variant, weight FROM v""")
 def query_variants(spark, d):
     """The question itself before its variants, whose weights are held in 0.5 to 1.0."""
@@ -222,7 +222,7 @@ def outline_text(spark, d):
     return kids.select(F.col("r_name").alias("title"), F.concat(F.lit("- "), "r_name", F.lit(" (Level 1)"), F.array_join(F.col("kids")["line"], "")).alias("outline"))
 
 
-@query("SELECT n_name AS title, count(*) AS chunks, min(c_custkey) AS first_chunk, 1.0 AS score FROM nation JOIN customer ON contains(c_name, right('0' || n_nationkey, 2)) AND c_nationkey = n_nationkey GROUP BY n_name")
+@query("SELECT n_name AS title, count(*) AS chunks, min(c_custkey) AS first_chunk, 1.0::DOUBLE AS score FROM nation JOIN customer ON contains(c_name, right('0' || n_nationkey, 2)) AND c_nationkey = n_nationkey GROUP BY n_name")
 def toc_chunk_ids(spark, d):
     """A heading's chunks: those of its document whose section title contains it."""
     heads = corpus.table(spark, d, "nation").select("n_nationkey", F.col("n_name").alias("title"), F.right(F.concat(F.lit("0"), F.col("n_nationkey").cast("string")), F.lit(2)).alias("mark"))
@@ -306,7 +306,7 @@ def feedback_signals(spark, d):
     return corpus.table(spark, d, "events").groupBy("user_id").agg(F.count("*").alias("shown"), F.sum((kind == "purchase").cast("bigint")).alias("verified"), F.round(F.avg(F.when(kind == "error", 0.0).otherwise(1.0)), 6).alias("success"))
 
 
-@query("""SELECT text_hash, hits, round(hits * n * 0.001, 6) AS saved FROM (SELECT md5(text) AS text_hash, count(*) - 1 AS hits, length(any_value(text)) AS n FROM conversations GROUP BY text) ORDER BY hits DESC, text_hash LIMIT 10""")
+@query("""SELECT text_hash, hits, round(hits * n * 0.001::DOUBLE, 6) AS saved FROM (SELECT md5(text) AS text_hash, count(*) - 1 AS hits, length(any_value(text)) AS n FROM conversations GROUP BY text) ORDER BY hits DESC, text_hash LIMIT 10""")
 def cache_statistics(spark, d):
     """The ten cached answers with most hits, and what they saved."""
     c = corpus.table(spark, d, "conversations").groupBy("text").agg((F.count("*") - 1).alias("hits"))
@@ -325,7 +325,7 @@ def usage_cost_by_pattern(spark, d):
     return priced.groupBy("service").agg(F.round(F.sum((F.col("input_tokens") * F.col("i") + F.col("output_tokens") * F.col("o")) / 1000), 6).alias("cost"))
 
 
-@query("""SELECT conv_id, turn, CASE WHEN role = 'user' THEN 'concept_query' WHEN role = 'assistant' THEN 'factual' ELSE 'code_search' END AS intent, 0.8 AS confidence FROM conversations""")
+@query("""SELECT conv_id, turn, CASE WHEN role = 'user' THEN 'concept_query' WHEN role = 'assistant' THEN 'factual' ELSE 'code_search' END AS intent, 0.8::DOUBLE AS confidence FROM conversations""")
 def analysis_defaults(spark, d):
     """A model's analysis parsed; a missing or zero confidence is 0.8, and intents go to the router's words."""
     words = F.create_map(*[F.lit(x) for x in ("navigation", "concept_query", "content_search", "code_search", "factual", "factual")])
