@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -87,9 +88,9 @@ def sliding_chunks_boundary(spark, d):
 def toc_flatten(spark, d):
     """Headings with their parent: the last earlier heading of a smaller level on the page."""
     heads = md_blocks(spark, d).filter("kind = 'heading'").select("page_id", "i", F.length(F.regexp_extract("content", "^ *(#+)", 1)).alias("level"), F.regexp_replace("content", r"^[ #]+", "").alias("title"))
-    up = heads.select(F.col("page_id").alias("pp"), F.col("i").alias("pi"), F.col("level").alias("pl"))
-    key = (F.col("page_id") == F.col("pp")) & (F.col("pi") < F.col("i")) & (F.col("pl") < F.col("level"))
-    return heads.join(up, key, "left").groupBy("page_id", "i", "level", "title").agg(F.max("pi").alias("parent"))
+    before = Window.partitionBy("page_id").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
+    last = [F.when(F.col("level") > k, F.max(F.when(F.col("level") == k, F.col("i"))).over(before)) for k in range(1, 6)]
+    return heads.select("page_id", "i", "level", "title", F.greatest(*last).alias("parent"))
 
 
 _FAMILY = T.ArrayType(T.StructType().add("parent", T.IntegerType()).add("child", T.IntegerType()).add("content", T.StringType()).add("start", T.IntegerType()).add("stop", T.IntegerType()))
