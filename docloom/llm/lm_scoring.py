@@ -1,7 +1,8 @@
-"""Document likelihoods: word counts of the corpus, and a subword lattice for what they don't cover."""
+"""Document likelihoods: a lattice of subword pieces and of words with their context, summed over all paths."""
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterable
 from dataclasses import dataclass
@@ -9,6 +10,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,20 +19,28 @@ from docloom.llm.common import (
     blocks_of,
     crc_bucket,
     crc_fold,
+    from_deltas,
     materialize,
+    mix64,
     pack,
     shuffle_partitions,
     text_bytes,
     unpack,
     unpack_array,
+    zigzag_deltas,
 )
 
 FOLDS, HELD_OUT = 7, 2
-EM_ROUNDS = 2
-#: Words of a document's own past weigh against the corpus model as so many words.
-CACHE_PRIOR = 1000.0
-#: The vocabulary file ranks its pieces; a piece of rank r starts with a weight of 1 / (r + _ZIPF).
-_ZIPF = 10.0
+#: a and b of the weight a * n ** b that the shorter run has against n sightings of what stands before.
+#: These and the vocabulary's two constants were chosen on a fold of training documents, never on held-out ones.
+PAIRS, TRIPLES = (30.0, 0.7), (1.0, 0.9)
+#: Runs of about so many bytes of text are summed in one group.
+RANGE_BYTES = 16 << 20
+#: The vocabulary file ranks its pieces; a piece of rank r weighs (r + _ZIPF) ** -_POWER, and a word has
+#: _PER_WORD pieces in the mean.
+_ZIPF, _POWER, _PER_WORD = 10.0, 1.0, 4.0
+#: Fewer words of one length are advanced one by one.
+_FEW = 64
 _BASE = 0x9E3779B97F4A7C55
 _FILTER_BITS = 22
 
@@ -72,6 +82,8 @@ class Pieces:
         self.starts_word[[self.bare, *first.values()]] = True
         self.tables = [self._table(first), self._table(inner)]
         self.longest = max(map(len, [*first, *inner]), default=1)
+        self.rank[self.byte] = n  # single bytes have no score of their own: they come last
+        self.first, self.inner, self.sizes = first, inner, sorted({len(x) for x in inner})
 
     @staticmethod
     def _table(pieces: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -114,47 +126,63 @@ class Weights:
     more: float
 
 
-def start_weights(p: Pieces) -> Weights:
-    return learned(p, 1.0 / (np.maximum(p.rank, 0) + _ZIPF), 2.0)
-
-
-def learned(p: Pieces, counts: np.ndarray, per_word: float) -> Weights:
-    counts = counts + 1e-3
+def vocabulary_weights(p: Pieces) -> Weights:
+    """The vocabulary's own scores as probabilities: they are ranks, so a power of the rank."""
+    share = (np.maximum(p.rank, 0) + _ZIPF) ** -_POWER
     log = np.empty(p.size)
     for side in (p.starts_word, ~p.starts_word):
-        log[side] = np.log(counts[side] / counts[side].sum())
-    stop = min(max(1.0 / per_word, 0.01), 0.99)
-    return Weights(log, float(np.log(stop)), float(np.log1p(-stop)))
+        log[side] = np.log(share[side] / share[side].sum())
+    return Weights(log, float(np.log(1 / _PER_WORD)), float(np.log1p(-1 / _PER_WORD)))
 
 
-def lattice(words: list[bytes], p: Pieces, w: Weights, expect: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
+def lattice(words: list[bytes], p: Pieces, w: Weights) -> np.ndarray:
     """Natural-log probabilities of words, summed over all their segmentations in log space.
 
     Words of one length are advanced together: at every end position, each piece that ends there
-    adds to the forward sum. With ``expect``, also the expected number of uses of each piece.
+    adds to the forward sum. Where few words have a length, each is advanced by itself.
     """
     out = np.zeros(len(words))
-    uses = np.zeros(p.size) if expect else None
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     order = np.argsort(lengths, kind="stable")
     cuts = np.flatnonzero(np.diff(lengths[order], prepend=-1))
     for a, z in zip(cuts.tolist(), [*cuts[1:].tolist(), len(words)], strict=True):
         n = int(lengths[order[a]])
-        step = max(1, 400_000 // (n + 1))
+        if z - a < _FEW:
+            for k in order[a:z].tolist():
+                out[k] = _one_word(words[k], p, w)
+            continue
+        step = max(_FEW, 400_000 // (n + 1))
         for i in range(a, z, step):
             at = order[i : min(i + step, z)]
-            out[at] = _same_length([words[k] for k in at.tolist()], n, p, w, uses)
-    return out, uses
+            out[at] = _same_length([words[k] for k in at.tolist()], n, p, w)
+    return out
 
 
-def _same_length(words: list[bytes], n: int, p: Pieces, w: Weights, uses: np.ndarray | None) -> np.ndarray:
+def _one_word(word: bytes, p: Pieces, w: Weights) -> float:
+    """The same for one word; linear in its length, so that texts without spaces stay in bounds."""
+    log, more, inner, first, sizes = w.log, w.more, p.inner, p.first, p.sizes
+    forward = [float(log[p.bare])]
+    for j in range(1, len(word) + 1):
+        paths = [forward[j - 1] + more + float(log[p.byte[word[j - 1]]])]
+        if j <= p.longest and (piece := first.get(word[:j])) is not None:
+            paths.append(float(log[piece]))
+        for k in sizes:
+            if k > j:
+                break
+            if (piece := inner.get(word[j - k : j])) is not None:
+                paths.append(forward[j - k] + more + float(log[piece]))
+        top = max(paths)
+        forward.append(top + math.log(sum(math.exp(x - top) for x in paths)))
+    return forward[-1] + w.stop
+
+
+def _same_length(words: list[bytes], n: int, p: Pieces, w: Weights) -> np.ndarray:
     raw = np.frombuffer(b"".join(words), np.uint8).reshape(len(words), n).T
     prefix = np.zeros((n + 1, len(words)), np.uint64)
     for j in range(n):
         prefix[j + 1] = prefix[j] * np.uint64(_BASE) + (raw[j].astype(np.uint64) + np.uint64(1))
     forward = np.full((n + 1, len(words)), -np.inf)
     forward[0] = w.log[p.bare]  # the bare mark, then pieces within the word
-    arcs = []  # (from or -1, to, words, pieces)
     power = [1]
     for _ in range(p.longest):
         power.append(power[-1] * _BASE % (1 << 64))
@@ -163,35 +191,15 @@ def _same_length(words: list[bytes], n: int, p: Pieces, w: Weights, uses: np.nda
             piece = p.find(prefix[j], False)
             who = np.flatnonzero(piece >= 0)
             if len(who):
-                if uses is not None:
-                    arcs.append((-1, j, who, piece[who]))
                 forward[j, who] = w.log[piece[who]]
         for i in range(max(0, j - p.longest), j):
             piece = p.find(prefix[j] - prefix[i] * np.uint64(power[j - i]), True)
             if i == j - 1:  # a byte is always an arc; where a piece is that byte, both count
-                single = p.byte[raw[i]]
-                if uses is not None:
-                    arcs.append((i, j, np.arange(len(words)), single))
-                forward[j] = np.logaddexp(forward[j], forward[i] + w.more + w.log[single])
+                forward[j] = np.logaddexp(forward[j], forward[i] + w.more + w.log[p.byte[raw[i]]])
             who = np.flatnonzero(piece >= 0)
             if len(who):
-                if uses is not None:
-                    arcs.append((i, j, who, piece[who]))
                 forward[j, who] = np.logaddexp(forward[j, who], forward[i, who] + w.more + w.log[piece[who]])
-    total = forward[n] + w.stop
-    if uses is not None:
-        backward = np.full((n + 1, len(words)), -np.inf)
-        backward[n] = w.stop
-        for i, j, who, piece in reversed(arcs):
-            step = w.log[piece] + backward[j, who]
-            if i < 0:
-                share = np.exp(step - total[who])
-            else:
-                share = np.exp(forward[i, who] + w.more + step - total[who])
-                backward[i, who] = np.logaddexp(backward[i, who], w.more + step)
-            uses += np.bincount(piece, share, len(uses))
-        uses[p.bare] += float(np.exp(w.log[p.bare] + backward[0] - total).sum())
-    return total
+    return forward[n] + w.stop
 
 
 @dataclass
@@ -220,13 +228,30 @@ def _table_words(table: pa.Table, held_out: int | None) -> tuple[list, list[list
     return ids, words, np.array([f != held_out for f in fold], bool), order
 
 
-def seen_before(at: np.ndarray) -> np.ndarray:
-    """For each place, how many earlier places hold the same value."""
-    order = np.argsort(at, kind="stable")
-    new = np.flatnonzero(np.diff(at[order], prepend=-1))
-    out = np.empty(len(at), np.int64)
-    out[order] = np.arange(len(at)) - np.repeat(new, np.diff(np.append(new, len(at))))
-    return out
+def token_runs(at: list[np.ndarray], words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each token of all documents, its end included: hashes of the runs of two and of three tokens that
+    it closes (before a document stand two opening marks), its document, and its word (the end: one past all)."""
+    known = np.fromiter((xxhash.xxh3_64_intdigest(x) for x in words), np.uint64, len(words))
+    known = np.append(known, np.array([1, 2], np.uint64))  # the end, the opening mark
+    n = len(words)
+    flat = np.concatenate([x for a in at for x in ([n + 1, n + 1], a, [n])]).astype(np.int64)
+    doc = np.repeat(np.arange(len(at)), [len(a) + 3 for a in at])
+    h = mix64(known[flat])
+    two = mix64(np.roll(h, 1) * np.uint64(_BASE) + h)
+    three = mix64(np.roll(two, 1) * np.uint64(_BASE) + h + np.uint64(3))
+    real = flat <= n
+    return two[real], three[real], doc[real], flat[real]
+
+
+def run_bucket(keys: np.ndarray, n: int) -> np.ndarray:
+    """The range, of n, that a hash falls into; rises with the hash."""
+    return ((keys >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
+
+
+def mixed(count: np.ndarray, after: np.ndarray, log: np.ndarray, weight: tuple[float, float]) -> np.ndarray:
+    """Log10 of (count + k p) / (after + k), where log is log10 p and k = weight[0] * after ** weight[1]."""
+    k = weight[0] * np.maximum(after, 1.0) ** weight[1]
+    return np.where(count > 0, np.log10(count + k * 10**log), np.log10(k) + log) - np.log10(after + k)
 
 
 def score_documents(
@@ -235,19 +260,18 @@ def score_documents(
     text_col: str = "text",
     held_out: int | None = HELD_OUT,
     vocabulary: str | None = None,
-    em_rounds: int = EM_ROUNDS,
-    cache_prior: float = CACHE_PRIOR,
 ) -> DataFrame:
-    """Log10 likelihood of every document under a model of the training documents.
-
-    Tokens are the words of the lower-cased text (A-Z) and one end per document. The model mixes
-    corpus counts with a subword model by absolute discounting, so that it sums to one: a token has
-    (count - D) / N, and the mass D V / N that this leaves is spread over words by the marginal
-    probability of the word's subword lattice. The lattice's pieces are those of an existing
-    vocabulary; their weights start from its ranks and are fitted by expectation maximisation to
-    the distinct words of the training documents. A document's probability is the product over its
-    tokens in order; the word at place i has (K p + c) / (K + i), where p is its probability above,
-    c how often it stood among the i words before it, and K is ``cache_prior``.
+    """Log10 marginal likelihood of every document over all paths of its lattice.
+
+    Tokens are the words of the lower-cased text (A-Z) and one end per document. Between two word
+    borders the lattice has every sequence of pieces of an existing vocabulary, weighted by the
+    vocabulary's own scores, and arcs that cross the whole word, weighted by what the training
+    documents hold. As pieces end at word borders, the forward sum of a document is the product of
+    the sums between its borders. There, pieces and the word's count come together by absolute
+    discounting: p1 = (count - D) / N + (D V / N) * (sum over segmentations into pieces). Arcs that
+    know the word before, and the two before, refine it: p2 = (count(u w) + k p1) / (count(u) + k),
+    p3 = (count(t u w) + k p2) / (count(t u) + k), with k = a * (count of what stands before) ** b
+    and (a, b) of PAIRS or TRIPLES. Every step sums to one over all words and the end.
 
     Returns per row of ``docs``: the id, held_out, n_tokens, n_known, train_tokens, base_score (with
     add-one counts) and score. Null and empty texts consist of the end alone. A null id falls in
@@ -255,8 +279,9 @@ def score_documents(
     training documents the lattice alone decides. No rows give no rows.
 
     Each block of documents sends its distinct words, with counts, to groups by hash; a group sums
-    them, and answers each block. No count table passes through the driver, only sums and the
-    weights of the vocabulary's pieces, whose number is fixed.
+    them, and answers each block. Runs of two and three tokens go the same way as 64-bit hashes, in
+    ranges of the hash; two runs of one hash would share a count, which touches ``score`` alone. No
+    count table passes through the driver, only sums.
     """
     spark = docs.sparkSession
     path = vocabulary or public_vocabulary()
@@ -325,34 +350,12 @@ def score_documents(
     ends = named.filter(fold != held_out).count() if held_out is not None else named.count()
     c = Counts(sums[0] + ends, sums[1] + (ends > 0), sums[2], sums[3], ends)
 
-    weights = start_weights(_pieces(path))
-    for _ in range(em_rounds if sums[1] else 0):
-
-        def expected(batches: Iterable[pa.RecordBatch], weights: Weights = weights) -> Iterable[pa.RecordBatch]:
-            p = _pieces(path)
-            for b in batches:
-                for row in b.to_pylist():
-                    count = unpack_array(row["counts"], "<i8")
-                    words = [x for x, k in zip(unpack(row["data"]).split(b" "), count.tolist(), strict=True) if k]
-                    _, uses = lattice(words, p, weights, expect=True)
-                    ids = np.flatnonzero(uses > 0)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.append(ids, -1)), pa.array(np.append(uses[ids], float(len(words))))], names=["piece", "uses"]
-                    )
-
-        got = known.select("data", "counts").mapInArrow(expected, "piece bigint, uses double")
-        got = got.groupBy("piece").agg(F.sum("uses").alias("uses")).toPandas()  # a row per piece at most
-        uses = np.zeros(_pieces(path).size)
-        real = got[got["piece"] >= 0]
-        uses[real["piece"].to_numpy()] = real["uses"].to_numpy()
-        weights = learned(_pieces(path), uses, float(uses.sum() / max(got[got["piece"] < 0]["uses"].sum(), 1.0)))
-
     def answer(table: pa.Table) -> pa.Table:
         p = _pieces(path)
         rows = table.to_pylist()
         own = next(r for r in rows if r["block"] == -1)
         words, count = unpack(own["data"]).split(b" "), unpack_array(own["counts"], "<i8")
-        sub, _ = lattice(words, p, weights)
+        sub = lattice(words, p, vocabulary_weights(p))
         if c.tokens:
             d = c.discount
             prob = np.maximum(count - d, 0) / c.tokens + d * c.types / c.tokens * np.exp(sub)
@@ -375,6 +378,45 @@ def score_documents(
         .applyInArrow(answer, "block int, bucket int, counts binary, logs binary")
     )
 
+    def runs(table: pa.Table) -> pa.Table:
+        """Each block's distinct runs of two and three tokens with their training counts, cut by range of hash."""
+        _, words, train, _ = _table_words(table, held_out)
+        index: dict[bytes, int] = {}
+        at = [np.fromiter((index.setdefault(x, len(index)) for x in w), np.int64, len(w)) for w in words]
+        two, three, doc, _ = token_runs(at, list(index))
+        keys, place = np.unique(np.concatenate((two, three)), return_inverse=True)
+        count = np.bincount(place[np.tile(train[doc], 2)], minlength=len(keys))
+        used, start = np.unique(run_bucket(keys, ranges), return_index=True)
+        spans = list(zip(used.tolist(), start.tolist(), [*start[1:].tolist(), len(keys)], strict=True))
+        return pa.table(
+            {
+                "block": pa.array([table.column("block")[0].as_py()] * len(spans), pa.int32()),
+                "bucket": pa.array([k for k, _, _ in spans], pa.int32()),
+                "words": pa.array([zigzag_deltas(keys[i:j].view(np.int64)) for _, i, j in spans], pa.binary()),
+                "counts": pa.array([pack(count[i:j].astype("<i4")) for _, i, j in spans], pa.binary()),
+            }
+        )
+
+    def sum_runs(table: pa.Table) -> pa.Table:
+        keys = [from_deltas(x).view(np.uint64) for x in table.column("words").to_pylist()]
+        own = np.concatenate([unpack_array(x, "<i4") for x in table.column("counts").to_pylist()])
+        distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
+        total = np.bincount(place, own, len(distinct)).astype("<i8")[place]
+        ends = np.cumsum([len(k) for k in keys]).tolist()
+        return pa.table(
+            {
+                "block": table.column("block"),
+                "bucket": pa.array(-1 - table.column("bucket").to_numpy(), pa.int32()),
+                "counts": pa.array([pack(total[i:j]) for i, j in zip([0, *ends[:-1]], ends, strict=True)], pa.binary()),
+                "logs": pa.array([None] * len(keys), pa.binary()),
+            }
+        )
+
+    ranges = max(shuffle_partitions(spark), size // RANGE_BYTES + 1)
+    run_rows = blocks.groupBy("block").applyInArrow(runs, "block int, bucket int, words binary, counts binary")
+    summed = run_rows.groupBy("bucket").applyInArrow(sum_runs, "block int, bucket int, counts binary, logs binary")
+    answers = answers.unionByName(summed)
+
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
         ids, words, train, order = _table_words(left, held_out)
         index: dict[bytes, int] = {}
@@ -383,17 +425,25 @@ def score_documents(
         by_bucket = np.argsort(bucket, kind="stable")
         dealt = bucket[by_bucket]
         count, log = np.zeros(len(index), np.int64), np.zeros(len(index))
+        two, three, doc, token = token_runs(at, list(index))
+        keys, place = np.unique(np.concatenate((two, three)), return_inverse=True)
+        in_range, run_count = run_bucket(keys, ranges), np.zeros(len(keys), np.int64)
         for r in right.to_pylist():
-            x = by_bucket[slice(*np.searchsorted(dealt, [r["bucket"], r["bucket"] + 1]))]
+            k = r["bucket"]
+            if k < 0:
+                run_count[slice(*np.searchsorted(in_range, [-1 - k, -k]))] = unpack_array(r["counts"], "<i8")
+                continue
+            x = by_bucket[slice(*np.searchsorted(dealt, [k, k + 1]))]
             count[x], log[x] = unpack_array(r["counts"], "<i8"), unpack_array(r["logs"], "<f8")
         base = np.log10(count + 1.0)
         end = np.log10((c.docs - c.discount) / c.tokens) if c.docs else np.log10(0.5)
         whole = np.log10(c.tokens + c.types + 1.0)
         size = np.array([len(a) + 1 for a in at], np.int64)
-        spread = lambda a: np.log10(cache_prior + np.arange(len(a)))
-        past = lambda a: np.log10(np.maximum(seen_before(a), 1e-300))
-        prior, ln10 = np.log10(cache_prior), np.log(10)
-        own = [(np.logaddexp((prior + log[a]) * ln10, past(a) * ln10) / ln10 - spread(a)).sum() for a in at]
+        n_two, n_three = run_count[place[: len(two)]], run_count[place[len(two) :]]
+        opens = np.diff(doc, prepend=-1) > 0  # the first token of each document
+        after = np.where(opens, c.docs, np.append(count, 0)[np.roll(token, 1)])
+        after_two = np.where(opens, c.docs, np.roll(n_two, 1))
+        own = mixed(n_three, after_two, mixed(n_two, after, np.append(log, end)[token], PAIRS), TRIPLES)
         return pa.table(
             {
                 "id": left.column("id").take(pa.array(order, pa.int64())),
@@ -402,7 +452,7 @@ def score_documents(
                 "n_known": pa.array(np.array([int((count[a] > 0).sum()) for a in at], np.int64) + (c.docs > 0)),
                 "train_tokens": pa.array(np.full(len(at), c.tokens, np.int64)),
                 "base_score": pa.array(np.array([base[a].sum() for a in at]) + np.log10(c.docs + 1.0) - size * whole),
-                "score": pa.array(np.array(own, np.float64) + end),
+                "score": pa.array(np.bincount(doc, own, len(at))),
             }
         )
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime
 import hashlib
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -500,11 +501,50 @@ def test_lm_scoring(spark, docs, none):
     assert all(np.isfinite(r.score) and r.score < 0 for r in rows)
     assert lm_scoring.score_documents(none).count() == 0
 
+    runs = {k: Counter() for k in (1, 2, 3)}
+    before = {k: Counter() for k in (2, 3)}
+    for r in src:
+        if not held(r.doc_id):
+            s = ["open", "open", *(r.text or "").encode().lower().split(), "end"]
+            for i in range(2, len(s)):
+                for k in (1, 2, 3):
+                    runs[k][tuple(s[i - k + 1 : i + 1])] += 1
+                    if k > 1:
+                        before[k][tuple(s[i - k + 1 : i])] += 1
+    words = [x for (x,) in runs[1] if x != "end"]
+    once, twice = (sum(runs[1][x,] == m for x in words) for m in (1, 2))
+    d = once / (once + 2 * twice) if once else 0.5
+    every = sorted({x for r in src for x in (r.text or "").encode().lower().split()})
+    p = lm_scoring._pieces(lm_scoring.public_vocabulary())
+    sub = dict(zip(every, lm_scoring.lattice(every, p, lm_scoring.vocabulary_weights(p)), strict=True))
+
+    def score(text):
+        s, out = ["open", "open", *(text or "").encode().lower().split(), "end"], 0.0
+        for i in range(2, len(s)):
+            prob = (max(runs[1][s[i],] - d, 0) + (d * v * np.exp(sub[s[i]]) if s[i] != "end" else 0)) / n
+            for k, (a, b) in ((2, lm_scoring.PAIRS), (3, lm_scoring.TRIPLES)):
+                m = before[k][tuple(s[i - k + 1 : i])]
+                w = a * max(m, 1) ** b
+                prob = (runs[k][tuple(s[i - k + 1 : i + 1])] + w * prob) / (m + w)
+            out += np.log10(prob)
+        return out
+
+    assert np.allclose(sorted(r.score for r in rows), sorted(score(r.text) for r in src), rtol=1e-9)
+
+
+def test_lattice_one_by_one_and_long_words():
+    p = lm_scoring._pieces(lm_scoring.public_vocabulary())
+    w = lm_scoring.vocabulary_weights(p)
+    words = [f"x{i:02d}the".encode() for i in range(lm_scoring._FEW + 1)]
+    assert np.allclose(lm_scoring.lattice(words, p, w), [lm_scoring._one_word(x, p, w) for x in words])
+    long = lm_scoring.lattice([b"abcdefgh" * 20_000], p, w)
+    assert np.isfinite(long).all() and long[0] < -1e5
+
 
 def test_lattice_brute_force():
     p = lm_scoring._pieces(lm_scoring.public_vocabulary())
-    w = lm_scoring.start_weights(p)
-    ids = {lm_scoring._hash(x): x for x in [b"a"]}
+    w = lm_scoring.vocabulary_weights(p)
+    ids ={lm_scoring._hash(x): x for x in [b"a"]}
     assert ids
     inner, first = _piece_maps(p)
 
@@ -515,7 +555,7 @@ def test_lattice_brute_force():
 
     words = [b"the", b"thnd,", "éa".encode(), b"zq"]
     want = [np.log(sum(np.exp(w.log[first[x[:k]]]) * rest(x[k:]) for k in range(len(x) + 1) if x[:k] in first)) for x in words]
-    assert np.allclose(lm_scoring.lattice(words, p, w)[0], want)
+    assert np.allclose(lm_scoring.lattice(words, p, w), want)
 
 
 def _piece_maps(p):
