@@ -10,11 +10,11 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.llm.common import (
+    Words,
     block_order,
     blocks_of,
     crc_bucket,
@@ -27,6 +27,7 @@ from docloom.llm.common import (
     text_bytes,
     unpack,
     unpack_array,
+    words_of,
     zigzag_deltas,
 )
 
@@ -43,6 +44,8 @@ _ZIPF, _POWER, _PER_WORD = 10.0, 1.0, 4.0
 _FEW = 64
 _BASE = 0x9E3779B97F4A7C55
 _FILTER_BITS = 22
+#: Stand for the end of a document and for what stands before it, among the hashes of words.
+_END, _OPEN = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 
 
 def public_vocabulary() -> str:
@@ -217,30 +220,38 @@ class Counts:
         return self.once / (self.once + 2 * self.twice) if self.once else 0.5
 
 
-def _table_words(table: pa.Table, held_out: int | None) -> tuple[list, list[list[bytes]], np.ndarray, list[int]]:
+def _table_words(table: pa.Table, held_out: int | None) -> tuple[list, Words, np.ndarray, list[int]]:
     """Ids, lower-cased words and training flags of a block's rows, in the block's fixed order."""
     ids = table.column("id").to_pylist()
     texts = [None if z is None else unpack(z) for z in table.column("t").to_pylist()]
     order = block_order(ids, texts)
     ids = [ids[i] for i in order]
-    words = [(texts[i] or b"").lower().split() for i in order]
+    words = words_of([(texts[i] or b"").lower() for i in order])
     fold = [zlib.crc32(("null" if i is None else str(i)).encode()) % FOLDS for i in ids]
     return ids, words, np.array([f != held_out for f in fold], bool), order
 
 
-def token_runs(at: list[np.ndarray], words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _distinct(w: Words) -> tuple[np.ndarray, list[bytes]]:
+    """Each word's number, and the distinct words by number."""
+    code = w.codes()
+    first = np.zeros(int(code.max(initial=-1)) + 1, np.int64)
+    first[code[::-1]] = np.arange(len(code))[::-1]
+    return code, [w.buf[a:z] for a, z in zip(w.start[first].tolist(), w.end[first].tolist(), strict=True)]
+
+
+def token_runs(w: Words, docs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each token of all documents, its end included: hashes of the runs of two and of three tokens that
-    it closes (before a document stand two opening marks), its document, and its word (the end: one past all)."""
-    known = np.fromiter((xxhash.xxh3_64_intdigest(x) for x in words), np.uint64, len(words))
-    known = np.append(known, np.array([1, 2], np.uint64))  # the end, the opening mark
-    n = len(words)
-    flat = np.concatenate([x for a in at for x in ([n + 1, n + 1], a, [n])]).astype(np.int64)
-    doc = np.repeat(np.arange(len(at)), [len(a) + 3 for a in at])
-    h = mix64(known[flat])
+    it closes (before a document stand two opening marks), and its document."""
+    size = np.bincount(w.doc, minlength=docs) + 3
+    stop = np.cumsum(size)
+    h = np.full(int(stop[-1]), _OPEN)
+    h[np.arange(len(w.doc)) + 3 * w.doc.astype(np.int64) + 2] = w.hash
+    h[stop - 1] = _END
+    real = np.ones(len(h), bool)
+    real[stop - size] = real[stop - size + 1] = False
     two = mix64(np.roll(h, 1) * np.uint64(_BASE) + h)
     three = mix64(np.roll(two, 1) * np.uint64(_BASE) + h + np.uint64(3))
-    real = flat <= n
-    return two[real], three[real], doc[real], flat[real]
+    return two[real], three[real], np.repeat(np.arange(docs), size)[real]
 
 
 def run_bucket(keys: np.ndarray, n: int) -> np.ndarray:
@@ -293,14 +304,8 @@ def score_documents(
 
     def scatter(table: pa.Table) -> pa.Table:
         _, words, train, _ = _table_words(table, held_out)
-        index: dict[bytes, int] = {}
-        seen: list[np.ndarray] = []
-        for w, counts in zip(words, train.tolist(), strict=True):
-            at = np.fromiter((index.setdefault(x, len(index)) for x in w), np.int64, len(w))
-            if counts:
-                seen.append(at)
-        count = np.bincount(np.concatenate(seen) if seen else np.zeros(0, np.int64), minlength=len(index))
-        distinct = list(index)
+        code, distinct = _distinct(words)
+        count = np.bincount(code[train[words.doc]], minlength=len(distinct))
         bucket = crc_bucket(distinct, n)
         order = np.argsort(bucket, kind="stable")
         cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1)).tolist()
@@ -381,11 +386,11 @@ def score_documents(
     def runs(table: pa.Table) -> pa.Table:
         """Each block's distinct runs of two and three tokens with their training counts, cut by range of hash."""
         _, words, train, _ = _table_words(table, held_out)
-        index: dict[bytes, int] = {}
-        at = [np.fromiter((index.setdefault(x, len(index)) for x in w), np.int64, len(w)) for w in words]
-        two, three, doc, _ = token_runs(at, list(index))
-        keys, place = np.unique(np.concatenate((two, three)), return_inverse=True)
-        count = np.bincount(place[np.tile(train[doc], 2)], minlength=len(keys))
+        two, three, doc = token_runs(words, len(train))
+        keys = np.unique(np.concatenate((two, three)))
+        known, times = np.unique(np.concatenate((two[train[doc]], three[train[doc]])), return_counts=True)
+        count = np.zeros(len(keys), np.int64)
+        count[np.searchsorted(keys, known)] = times
         used, start = np.unique(run_bucket(keys, ranges), return_index=True)
         spans = list(zip(used.tolist(), start.tolist(), [*start[1:].tolist(), len(keys)], strict=True))
         return pa.table(
@@ -399,15 +404,17 @@ def score_documents(
 
     def sum_runs(table: pa.Table) -> pa.Table:
         keys = [from_deltas(x).view(np.uint64) for x in table.column("words").to_pylist()]
-        own = np.concatenate([unpack_array(x, "<i4") for x in table.column("counts").to_pylist()])
-        distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
-        total = np.bincount(place, own, len(distinct)).astype("<i8")[place]
-        ends = np.cumsum([len(k) for k in keys]).tolist()
+        counts = [unpack_array(x, "<i4") for x in table.column("counts").to_pylist()]
+        distinct = np.unique(np.concatenate(keys))
+        places = [np.searchsorted(distinct, k) for k in keys]
+        total = np.zeros(len(distinct), np.int64)
+        for at, c in zip(places, counts, strict=True):
+            total[at] += c  # a block's runs are distinct
         return pa.table(
             {
                 "block": table.column("block"),
                 "bucket": pa.array(-1 - table.column("bucket").to_numpy(), pa.int32()),
-                "counts": pa.array([pack(total[i:j]) for i, j in zip([0, *ends[:-1]], ends, strict=True)], pa.binary()),
+                "counts": pa.array([pack(total[at]) for at in places], pa.binary()),
                 "logs": pa.array([None] * len(keys), pa.binary()),
             }
         )
@@ -419,13 +426,14 @@ def score_documents(
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
         ids, words, train, order = _table_words(left, held_out)
-        index: dict[bytes, int] = {}
-        at = [np.fromiter((index.setdefault(x, len(index)) for x in w), np.int64, len(w)) for w in words]
-        bucket = crc_bucket(list(index), n)
+        code, distinct = _distinct(words)
+        bucket = crc_bucket(distinct, n)
         by_bucket = np.argsort(bucket, kind="stable")
         dealt = bucket[by_bucket]
-        count, log = np.zeros(len(index), np.int64), np.zeros(len(index))
-        two, three, doc, token = token_runs(at, list(index))
+        count, log = np.zeros(len(distinct), np.int64), np.zeros(len(distinct))
+        two, three, doc = token_runs(words, len(ids))
+        token = np.full(len(doc), len(distinct), np.int64)  # the end: one past the words
+        token[np.arange(len(code)) + words.doc] = code
         keys, place = np.unique(np.concatenate((two, three)), return_inverse=True)
         in_range, run_count = run_bucket(keys, ranges), np.zeros(len(keys), np.int64)
         for r in right.to_pylist():
@@ -438,7 +446,7 @@ def score_documents(
         base = np.log10(count + 1.0)
         end = np.log10((c.docs - c.discount) / c.tokens) if c.docs else np.log10(0.5)
         whole = np.log10(c.tokens + c.types + 1.0)
-        size = np.array([len(a) + 1 for a in at], np.int64)
+        size = np.bincount(doc, minlength=len(ids))
         n_two, n_three = run_count[place[: len(two)]], run_count[place[len(two) :]]
         opens = np.diff(doc, prepend=-1) > 0  # the first token of each document
         after = np.where(opens, c.docs, np.append(count, 0)[np.roll(token, 1)])
@@ -449,10 +457,10 @@ def score_documents(
                 "id": left.column("id").take(pa.array(order, pa.int64())),
                 "held_out": pa.array(~train),
                 "n_tokens": pa.array(size),
-                "n_known": pa.array(np.array([int((count[a] > 0).sum()) for a in at], np.int64) + (c.docs > 0)),
-                "train_tokens": pa.array(np.full(len(at), c.tokens, np.int64)),
-                "base_score": pa.array(np.array([base[a].sum() for a in at]) + np.log10(c.docs + 1.0) - size * whole),
-                "score": pa.array(np.bincount(doc, own, len(at))),
+                "n_known": pa.array(np.bincount(doc, np.append(count, c.docs)[token] > 0, len(ids)).astype(np.int64)),
+                "train_tokens": pa.array(np.full(len(ids), c.tokens, np.int64)),
+                "base_score": pa.array(np.bincount(doc, np.append(base, np.log10(c.docs + 1.0))[token], len(ids)) - size * whole),
+                "score": pa.array(np.bincount(doc, own, len(ids))),
             }
         )
 
