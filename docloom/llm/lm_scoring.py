@@ -44,7 +44,9 @@ _ZIPF, _POWER, _PER_WORD = 10.0, 1.0, 4.0
 _FEW = 64
 _BASE = 0x9E3779B97F4A7C55
 _FILTER_BITS = 22
-#: Stand for the end of a document and for what stands before it, among the hashes of words.
+#: Bits of a run's key that its last token has.
+_LAST = np.uint64(18)
+#: Stand for the end of a document and for the marks around it, among the hashes of words.
 _END, _OPEN = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 
 
@@ -239,19 +241,21 @@ def _distinct(w: Words) -> tuple[np.ndarray, list[bytes]]:
     return code, [w.buf[a:z] for a, z in zip(w.start[first].tolist(), w.end[first].tolist(), strict=True)]
 
 
-def token_runs(w: Words, docs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each token of all documents, its end included: hashes of the runs of two and of three tokens that
-    it closes (before a document stand two opening marks), and its document."""
-    size = np.bincount(w.doc, minlength=docs) + 3
+def token_runs(w: Words, docs: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the runs of three tokens, and the document of each. A document's tokens, its end included, stand
+    after two opening marks and before a closing one; a key belongs to each token and to the closing mark.
+
+    The high bits of a key are a hash of the first two tokens, the low _LAST bits one of the third, so that
+    the keys of runs that begin alike lie together."""
+    size = np.bincount(w.doc, minlength=docs) + 4
     stop = np.cumsum(size)
     h = np.full(int(stop[-1]), _OPEN)
-    h[np.arange(len(w.doc)) + 3 * w.doc.astype(np.int64) + 2] = w.hash
-    h[stop - 1] = _END
+    h[np.arange(len(w.doc)) + 4 * w.doc.astype(np.int64) + 2] = w.hash
+    h[stop - 2] = _END
     real = np.ones(len(h), bool)
     real[stop - size] = real[stop - size + 1] = False
-    two = mix64(np.roll(h, 1) * np.uint64(_BASE) + h)
-    three = mix64(np.roll(two, 1) * np.uint64(_BASE) + h + np.uint64(3))
-    return two[real], three[real], np.repeat(np.arange(docs), size)[real]
+    two = mix64(np.roll(h, 2) * np.uint64(_BASE) + np.roll(h, 1))
+    return (two >> _LAST << _LAST | mix64(h) >> (np.uint64(64) - _LAST))[real], np.repeat(np.arange(docs), size)[real]
 
 
 def run_bucket(keys: np.ndarray, n: int) -> np.ndarray:
@@ -290,9 +294,11 @@ def score_documents(
     training documents the lattice alone decides. No rows give no rows.
 
     Each block of documents sends its distinct words, with counts, to groups by hash; a group sums
-    them, and answers each block. Runs of two and three tokens go the same way as 64-bit hashes, in
-    ranges of the hash; two runs of one hash would share a count, which touches ``score`` alone. No
-    count table passes through the driver, only sums.
+    them, and answers each block. Runs of three tokens go the same way as 64-bit keys, in ranges of the
+    key; the runs that begin with the same two tokens meet in one group, so pairs need not be sent. Runs
+    of one key share a count, which touches ``score`` alone: a pair that the corpus lacks meets another's
+    key with a chance of (distinct pairs) / 7e13, which is 1e-4 at 30 GB but some tenths at 100 TB, where
+    keys need more bits. No count table passes through the driver, only sums.
     """
     spark = docs.sparkSession
     path = vocabulary or public_vocabulary()
@@ -384,11 +390,11 @@ def score_documents(
     )
 
     def runs(table: pa.Table) -> pa.Table:
-        """Each block's distinct runs of two and three tokens with their training counts, cut by range of hash."""
+        """Each block's distinct runs of three tokens with their training counts, cut by range of key."""
         _, words, train, _ = _table_words(table, held_out)
-        two, three, doc = token_runs(words, len(train))
-        keys = np.unique(np.concatenate((two, three)))
-        known, times = np.unique(np.concatenate((two[train[doc]], three[train[doc]])), return_counts=True)
+        every, doc = token_runs(words, len(train))
+        keys = np.unique(every)
+        known, times = np.unique(every[train[doc]], return_counts=True)
         count = np.zeros(len(keys), np.int64)
         count[np.searchsorted(keys, known)] = times
         used, start = np.unique(run_bucket(keys, ranges), return_index=True)
@@ -403,6 +409,7 @@ def score_documents(
         )
 
     def sum_runs(table: pa.Table) -> pa.Table:
+        """For each block's runs: how often they are (counts), and how often their first two tokens (logs)."""
         keys = [from_deltas(x).view(np.uint64) for x in table.column("words").to_pylist()]
         counts = [unpack_array(x, "<i4") for x in table.column("counts").to_pylist()]
         distinct = np.unique(np.concatenate(keys))
@@ -410,12 +417,15 @@ def score_documents(
         total = np.zeros(len(distinct), np.int64)
         for at, c in zip(places, counts, strict=True):
             total[at] += c  # a block's runs are distinct
+        begin = np.flatnonzero(np.diff(distinct >> _LAST, prepend=np.uint64(0)) != 0)
+        begin = np.union1d(begin, [0])
+        alike = np.repeat(np.add.reduceat(total, begin), np.diff(np.append(begin, len(total))))
         return pa.table(
             {
                 "block": table.column("block"),
                 "bucket": pa.array(-1 - table.column("bucket").to_numpy(), pa.int32()),
                 "counts": pa.array([pack(total[at]) for at in places], pa.binary()),
-                "logs": pa.array([None] * len(keys), pa.binary()),
+                "logs": pa.array([pack(alike[at]) for at in places], pa.binary()),
             }
         )
 
@@ -431,15 +441,18 @@ def score_documents(
         by_bucket = np.argsort(bucket, kind="stable")
         dealt = bucket[by_bucket]
         count, log = np.zeros(len(distinct), np.int64), np.zeros(len(distinct))
-        two, three, doc = token_runs(words, len(ids))
+        runs_of, run_doc = token_runs(words, len(ids))
+        closing = np.diff(run_doc, append=len(ids)) > 0
+        doc = run_doc[~closing]
         token = np.full(len(doc), len(distinct), np.int64)  # the end: one past the words
         token[np.arange(len(code)) + words.doc] = code
-        keys, place = np.unique(np.concatenate((two, three)), return_inverse=True)
-        in_range, run_count = run_bucket(keys, ranges), np.zeros(len(keys), np.int64)
+        keys, place = np.unique(runs_of, return_inverse=True)
+        in_range, whole_run, first_two = run_bucket(keys, ranges), np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
         for r in right.to_pylist():
             k = r["bucket"]
             if k < 0:
-                run_count[slice(*np.searchsorted(in_range, [-1 - k, -k]))] = unpack_array(r["counts"], "<i8")
+                x = slice(*np.searchsorted(in_range, [-1 - k, -k]))
+                whole_run[x], first_two[x] = unpack_array(r["counts"], "<i8"), unpack_array(r["logs"], "<i8")
                 continue
             x = by_bucket[slice(*np.searchsorted(dealt, [k, k + 1]))]
             count[x], log[x] = unpack_array(r["counts"], "<i8"), unpack_array(r["logs"], "<f8")
@@ -447,10 +460,10 @@ def score_documents(
         end = np.log10((c.docs - c.discount) / c.tokens) if c.docs else np.log10(0.5)
         whole = np.log10(c.tokens + c.types + 1.0)
         size = np.bincount(doc, minlength=len(ids))
-        n_two, n_three = run_count[place[: len(two)]], run_count[place[len(two) :]]
+        n_three, after_two = whole_run[place[~closing]], first_two[place[~closing]]
+        n_two = first_two[np.roll(place, -1)[~closing]]  # what the next run begins with
         opens = np.diff(doc, prepend=-1) > 0  # the first token of each document
         after = np.where(opens, c.docs, np.append(count, 0)[np.roll(token, 1)])
-        after_two = np.where(opens, c.docs, np.roll(n_two, 1))
         own = mixed(n_three, after_two, mixed(n_two, after, np.append(log, end)[token], PAIRS), TRIPLES)
         return pa.table(
             {
