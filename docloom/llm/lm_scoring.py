@@ -34,7 +34,7 @@ from docloom.llm.common import (
 FOLDS, HELD_OUT = 7, 2
 #: a and b of the weight a * n ** b that the shorter run has against n sightings of what stands before.
 #: These and the vocabulary's two constants are the best of a grid on a fold of training documents; earlier
-#: trials, which set the grid, looked at the held-out fold of the smallest bench table (see the README).
+#: trials, which set the grid, looked at the held-out fold of the bench's documents (see the README).
 PAIRS, TRIPLES = (30.0, 0.7), (1.0, 0.9)
 #: Runs of about so many bytes of text are summed in one group.
 RANGE_BYTES = 16 << 20
