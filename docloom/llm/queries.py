@@ -6,6 +6,7 @@ from docloom.llm import (
     ann,
     embedding_dedup,
     lm_scoring,
+    merkle_manifest,
     packing,
     pii,
     sentencepiece_codec,
@@ -26,5 +27,6 @@ QUERIES = {
     "op8_sentencepiece": sentencepiece_codec.op8_sentencepiece,
     "op9_lm_scoring": lm_scoring.op9_lm_scoring,
     "op10_ann": ann.op10_ann,
+    "op12_merkle_manifest": merkle_manifest.op12_merkle_manifest,
 }
-ORACLES = {"op5_url_filter": url_filter.ORACLE_SQL}
+ORACLES = {"op5_url_filter": url_filter.ORACLE_SQL, "op12_merkle_manifest": merkle_manifest.ORACLE_SQL}
