@@ -14,6 +14,7 @@ from docloom.llm import (
     substring_dedup,
     toxicity,
     url_filter,
+    vector_codes,
 )
 
 QUERIES = {
@@ -28,5 +29,10 @@ QUERIES = {
     "op9_lm_scoring": lm_scoring.op9_lm_scoring,
     "op10_ann": ann.op10_ann,
     "op12_merkle_manifest": merkle_manifest.op12_merkle_manifest,
+    "op13_vector_codes": vector_codes.op13_vector_codes,
+}
+ORACLES = {
+    "op5_url_filter": url_filter.ORACLE_SQL,
+    "op12_merkle_manifest": merkle_manifest.ORACLE_SQL,
+    "op13_vector_codes": vector_codes.ORACLE_SQL,
 }
-ORACLES = {"op5_url_filter": url_filter.ORACLE_SQL, "op12_merkle_manifest": merkle_manifest.ORACLE_SQL}

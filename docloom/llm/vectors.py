@@ -54,3 +54,28 @@ def random_leaves(x: np.ndarray, seed: int, limit: int, spill: float, dense: flo
         half, over = len(at) // 2, int(len(at) * spill)
         todo += [at[order[: half + over]], at[order[half - over :]]]
     return leaves
+
+
+#: Components of integer vectors are held within this bound, beyond which no product of theirs fits a long.
+_MOST = 2.0**62
+
+
+def is_finite(vec: Column) -> Column:
+    """Not null, without null or non-finite components. Zero and empty vectors pass."""
+    fine = F.forall(vec, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return vec.isNotNull() & F.coalesce(fine, F.lit(False))
+
+
+def integers(vec: Column, scale: int) -> Column:
+    """floor(scale * x) of every component x, taken as double, as a long between -2^62 and 2^62."""
+    return F.transform(vec, lambda x: F.floor(F.least(F.greatest(x.cast("double") * scale, F.lit(-_MOST)), F.lit(_MOST))))
+
+
+def padded_rows(col: pa.ChunkedArray | pa.Array, width: int) -> np.ndarray:
+    """Rows of a list column of integers, filled up with zeros to ``width``."""
+    if isinstance(col, pa.ChunkedArray):
+        col = col.combine_chunks()
+    sizes = np.diff(col.offsets.to_numpy())
+    out = np.zeros((len(col), width), np.int64)
+    out[np.arange(width) < sizes[:, None]] = col.flatten().to_numpy()
+    return out
