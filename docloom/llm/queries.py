@@ -9,6 +9,7 @@ from docloom.llm import (
     merkle_manifest,
     packing,
     pii,
+    pivot_search,
     sentencepiece_codec,
     simhash,
     substring_dedup,
@@ -28,11 +29,13 @@ QUERIES = {
     "op8_sentencepiece": sentencepiece_codec.op8_sentencepiece,
     "op9_lm_scoring": lm_scoring.op9_lm_scoring,
     "op10_ann": ann.op10_ann,
+    "op11_pivot_search": pivot_search.op11_pivot_search,
     "op12_merkle_manifest": merkle_manifest.op12_merkle_manifest,
     "op13_vector_codes": vector_codes.op13_vector_codes,
 }
 ORACLES = {
     "op5_url_filter": url_filter.ORACLE_SQL,
+    "op11_pivot_search": pivot_search.ORACLE_SQL,
     "op12_merkle_manifest": merkle_manifest.ORACLE_SQL,
     "op13_vector_codes": vector_codes.ORACLE_SQL,
 }
