@@ -82,14 +82,15 @@ class _Block:
         at, scores, done, step = np.zeros(0, np.int64), np.zeros(0, self.x.dtype), 0, 4 * k
         while done < len(live) and bound[live[done]] >= beat:
             here = live[done : done + step]
-            at, scores = np.concatenate((at, here)), np.concatenate((scores, self.x[here] @ q))
+            new = self.x[here] @ q
+            at, scores = np.concatenate((at, here)), np.concatenate((scores, new if self.exact else np.clip(new, -_LONG, _LONG - 1)))
             top = np.lexsort((at, -scores))[:k] if self.exact else np.array(sorted(range(len(at)), key=lambda i: (-scores[i], at[i]))[:k])
             at, scores = at[top], scores[top]
             if len(at) == k:
                 beat = max(beat, scores[-1])
             done, step = done + step, 2 * step
         good = (scores >= beat).astype(bool)
-        return at[good], [max(-_LONG, min(int(s), _LONG - 1)) for s in scores[good]]
+        return at[good], [int(s) for s in scores[good]]
 
 
 def padded_floats(col: pa.ChunkedArray | pa.Array) -> np.ndarray:
