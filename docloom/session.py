@@ -1,8 +1,11 @@
-"""Session settings that the library expects."""
+"""Session settings that the library expects, and where it writes what tasks and later reads share."""
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
@@ -15,3 +18,23 @@ SETTINGS = {
 def build(master: str | None = None, **conf: str) -> SparkSession:
     b = SparkSession.builder.config(map={**SETTINGS, **conf})
     return (b.master(master) if master else b).getOrCreate()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir; one of our own only where none is set, as in tests."""
+    sc = spark.sparkContext
+    named = sc.getConf().get("spark.checkpoint.dir")
+    if not named and sc._jsc.sc().getCheckpointDir().isEmpty():
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    return named or sc._jsc.sc().getCheckpointDir().get()
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Compute once: the lineage is cut in the shared checkpoint folder, so a lost executor costs no more than its tasks."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
