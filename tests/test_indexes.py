@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pytest
-from docloom.indexes import inverted
+from docloom.indexes import clustered, inverted, trigrams
 from docloom.operators import retrieval as S
 from pyspark.sql import functions as F
 
@@ -108,3 +109,77 @@ def test_prefixes(spark, units, tmp_path):
     index = inverted.build(units, str(tmp_path / "i"), "id", ["content"], buckets=8)
     got = index.with_prefix(spark.createDataFrame([("o",), ("ol",), ("zz",)], "prefix string"))
     assert {(r.prefix, r.term) for r in got.collect()} == {("o", "over"), ("o", "old"), ("ol", "old")}
+
+
+# --- vectors --------------------------------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def vectors(spark):
+    rng = np.random.default_rng(2)
+    centres = rng.standard_normal((12, 16))
+    x = centres[rng.integers(0, 12, 1200)] + 0.35 * rng.standard_normal((1200, 16))
+    x[50:60] = x[50]  # equal vectors: ties by id
+    rows = [(i, [float(v) for v in y], i % 3) for i, y in enumerate(x)] + [(5000, None, 1)]
+    return spark.createDataFrame(rows, "id int, vec array<double>, kind int")
+
+
+@pytest.fixture(scope="module")
+def near(spark, vectors, tmp_path_factory):
+    path = str(tmp_path_factory.mktemp("v"))
+    clustered.build(vectors.filter("id < 800"), path, "id", "vec", ("kind",))
+    return clustered.build(vectors.filter("id >= 800"), path, "id", "vec", ("kind",), batch=1)
+
+
+def by_scan(vectors, k, where=lambda r: True):
+    rows = [r for r in vectors.collect() if r.vec is not None]
+    x = np.array([r.vec for r in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    want = {}
+    for q in range(0, 1200, 60):
+        scores = sorted((-round(float(x[i] @ x[q]), 9), r.id) for i, r in enumerate(rows) if r.id != q and where(r))[:k]
+        want |= {(q, i + 1): who for i, (_, who) in enumerate(scores)}
+    return want
+
+
+def asked(vectors):
+    return vectors.filter("id % 60 = 0 and vec is not null").select(F.col("id").alias("query_id"), F.col("vec").alias("qvec"))
+
+
+def test_vector_index_is_exact_and_prunes(spark, vectors, near):
+    found = near.search(asked(vectors), 5, probe=2)
+    assert {(r.query_id, r["rank"]): r.id for r in found.collect()} == by_scan(vectors, 5)
+    some = near.search(asked(vectors), 5, F.col("kind") == 1, probe=2)
+    assert {(r.query_id, r["rank"]): r.id for r in some.collect()} == by_scan(vectors, 5, lambda r: r.kind == 1)
+    plan = spark.read.parquet(f"{near.path}/vectors").filter(F.col("list").isin(1, 2) & (F.col("kind") == 1))._jdf.queryExecution().executedPlan().toString()
+    assert "kind" in plan.split("PushedFilters:")[1].split("]")[0] and "list" in plan.split("PartitionFilters:")[1].split("]")[0]
+
+
+def test_vector_index_recall_of_fewer_probes(vectors, near):
+    """Lists taken as smaller than they are: fewer are read, and nine in ten are still found."""
+    want = set(by_scan(vectors, 10).items())
+    got = {((r.query_id, r["rank"]), r.id) for r in near.search(asked(vectors), 10, cover=0.5, probe=2).collect()}
+    ids = lambda s: {(q, i) for (q, _), i in s}
+    assert len(ids(want) & ids(got)) >= 0.9 * len(want)
+
+
+def test_vector_index_least_score(vectors, near):
+    got = near.search(asked(vectors), 10, least=0.95).collect()
+    assert all(r.score >= 0.95 for r in got) and near.search(asked(vectors).limit(0), 3).count() == 0
+    assert near.search(asked(vectors), 10, F.col("kind") == 9).count() == 0
+
+
+# --- substrings -----------------------------------------------------------------------
+
+
+def test_trigram_index_equals_scan(spark, tmp_path):
+    texts = ["Straße nach Köln", "the RED fox", "red", "re", "", None, "100% sure_thing", "a.b.c", "日本語テスト", "xx\nyy", "the end", "aaa aaaa"]
+    hay = spark.createDataFrame([(i, t, texts[-1 - i]) for i, t in enumerate(texts)], "id int, title string, content string")
+    index = trigrams.build(hay.filter("id < 6"), str(tmp_path / "t"), "id", ["title", "content"], buckets=4, segment=2)
+    index = trigrams.build(hay.filter("id >= 6"), index.path, "id", ["title", "content"], batch=1, buckets=4, segment=3)
+    needles = ["red", "RE", "e", "straße", "0% s", "_th", ".", "b.c", "本語", "語テス", "x\ny", "zzz", "the e", "aaaa", "", None, "the fox"]
+    got = index.contains(spark.createDataFrame([(n,) for n in needles], "needle string"), hay, "id", ["title", "content"])
+    want = {(n, i) for n in needles if n for i, t in enumerate(texts) if any(x is not None and n.lower() in x.lower() for x in (t, texts[-1 - i]))}
+    rows = [(r.needle, r.id) for r in got.collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == want
+    assert got.columns == ["needle", "id", "title", "content"]
