@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from docloom.plans import analytics, enrichment, indexing, parsing, retrieval, search_indexes, service
+from docloom.plans import analytics, enrichment, indexing, parsing, retrieval, search_indexes, sections, service
 
-_MODULES = (analytics, enrichment, retrieval, service, indexing, parsing, search_indexes)
+_MODULES = (analytics, enrichment, retrieval, service, indexing, parsing, search_indexes, sections)
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: sql for m in _MODULES for k, sql in m.ORACLES.items()}

@@ -140,3 +140,13 @@ def resolved(rows: DataFrame, original: str, enrichments: list[str], source: str
     names = F.split(F.regexp_replace(source, "^(enrichment|composite):", ""), r"\+")
     parts = F.filter(F.transform(names, lambda n: F.element_at(known, n)), lambda p: p.isNotNull())
     return rows.withColumn("resolved", F.array_join(parts, "\n\n"))
+
+
+def keywords_by(rows: DataFrame, by: str, stop_words: list[str], k: int = 20) -> DataFrame:
+    """The k commonest words of each group (``by``, words: an array per row), of two letters or more and no stop words.
+
+    The group is a column of its own before the words are unfolded, so it is computed once a row."""
+    words = rows.select(by, F.explode("words").alias("keyword")).filter((F.length("keyword") >= 2) & ~F.col("keyword").isin(stop_words))
+    n = words.groupBy(by, "keyword").agg(F.count("*").alias("n"))
+    order = Window.partitionBy(by).orderBy(F.desc("n"), "keyword")
+    return n.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= k).drop("r")

@@ -86,10 +86,7 @@ def table_keywords(spark, d):
  WHERE length(keyword) >= 2 AND keyword NOT IN ({STOPS}) GROUP BY kind, keyword) WHERE r <= 20""")
 def keywords_by_kind(spark, d):
     """Keyword enrichment by the kind of chunk, without stop words."""
-    t = corpus.chunks(spark, d).select(_kind(F.col("content")).alias("kind"), F.explode(tokens(F.col("content"))).alias("keyword"))
-    n = t.filter((F.length("keyword") >= 2) & ~F.col("keyword").isin(T.STOP_WORDS)).groupBy("kind", "keyword").agg(F.count("*").alias("n"))
-    w = Window.partitionBy("kind").orderBy(F.desc("n"), "keyword")
-    return n.withColumn("r", F.row_number().over(w)).filter("r <= 20").drop("r")
+    return R.keywords_by(corpus.chunks(spark, d).select(_kind(F.col("content")).alias("kind"), tokens(F.col("content")).alias("words")), "kind", T.STOP_WORDS)
 
 
 @query(f"SELECT document_id, CASE WHEN length(content) > 200 THEN left(content, 200) || '...' ELSE content END AS preview FROM {DOCS}")
