@@ -55,6 +55,12 @@ def release() -> None:
         return  # another C library
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or the first of name1, name2, ... that is no column of ``df``, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    return next(n for i in range(len(taken) + 1) if (n := f"{name}{i or ''}") not in taken)
+
+
 def ascii_lower(col: Column) -> Column:
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 

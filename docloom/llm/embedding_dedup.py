@@ -48,15 +48,16 @@ def near_duplicates(
     a leaf of some tree; those at ``threshold`` or above are linked. Null, empty and zero vectors,
     those with a null or non-finite component, and rows without label link with nothing. Equal
     vectors are one class from the start: its members are linked with each other and share the
-    links of the class. A row with a null id has no links and no component. No rows give no rows.
+    links of the class. An id may come with several vectors, each with links of its own. A row with a null id has no links and no component. No rows give no rows.
 
     A link is counted in the first leaf that its two ends share, which each end's list of leaves
     tells, so pairs never leave their task; a leaf only sends counts and a spanning forest.
     """
-    kind = dict(vectors.dtypes)[id_col]
     rows = keyed(vectors, id_col, vec_col, label_col)
-    reps = materialize(rows.groupBy("label", "h", "vec").agg(F.min("id").alias("id"), F.count("*").alias("n")))
-    upper = _upper_splits(reps, trees, seed)
+    classes = rows.groupBy("label", "h", "vec").agg(F.min("id").alias("vec_id"), F.count("*").alias("n"))
+    # a number for each class, ascending with its least id: one id may stand for several vectors
+    reps = materialize(classes.repartitionByRange("vec_id").sortWithinPartitions("vec_id").withColumn("id", F.monotonically_increasing_id()))
+    kind, upper = "bigint", _upper_splits(reps, trees, seed)
 
     def plant(batches):
         """A row per tree with the upper group; rows close to a plane go to both of its sides."""
@@ -129,10 +130,12 @@ def near_duplicates(
 
     found = materialize(members.groupBy("leaf").applyInArrow(compare, f"id {kind}, links bigint, root {kind}"))
     joined = components(found.filter("id <> root").select(F.col("id").alias("u"), F.col("root").alias("v")))
+    least = reps.select(F.col("id").alias("least"), F.col("vec_id").alias("component_id"))
     classes = (
         reps.join(found.groupBy("id").agg(F.sum("links").alias("links")), "id", "left")
         .join(joined, F.col("id") == F.col("node"), "left")
-        .select("label", "h", "vec", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
+        .select("label", "h", "vec", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "id").alias("least"))
+        .join(least, "least")
     )
     linked = rows.join(classes, ["label", "h", "vec"]).select("id", "n_links", "component_id")
     label = F.col(label_col) if label_col else F.lit(0)

@@ -11,7 +11,7 @@ ROUNDS = 8
 
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 #: One alternation, most specific first; the named kinds are told apart again on the short matches.
-EMAIL = r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})*\.[A-Za-z]{2,24}"
+EMAIL = r"[\p{L}\p{M}\p{N}._%+-]{1,64}@[\p{L}\p{M}\p{N}-]{1,63}(?:\.[\p{L}\p{M}\p{N}-]{1,63})*\.[\p{L}\p{M}]{2,24}"
 IPV4 = rf"(?<![0-9.]){_OCTET}(?:\.{_OCTET}){{3}}(?![0-9]|\.[0-9])"
 DATE = (
     r"(?<![0-9A-Za-z-])(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2}(?![0-9-])"
@@ -67,17 +67,33 @@ def feistel(values: Column, radices: Column, key: str, tweak: Column, rounds: in
     return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), values, turn)
 
 
-def permute_symbols(text: Column, key: str, tweak: Column) -> Column:
-    """Permute ASCII strings of one pattern of digits, small letters, capitals and other signs, which stay."""
+#: Runs of letters and digits, by first code point and length: each sign moves within its run. Those of other scripts stay.
+#: Digits and letters of ASCII, Latin (small, capital, extended), Greek, Cyrillic, kana, Chinese, Hangul. Fixed values.
+RUNS = [
+    (48, 10), (97, 26), (65, 26), (224, 23), (248, 7), (192, 23), (216, 7), (256, 128), (945, 25), (913, 17),
+    (1072, 32), (1040, 32), (12353, 86), (12449, 90), (19968, 20992), (44032, 11172),
+]
 
-    def whole(codes: Column) -> Column:
-        def base(c: Column) -> Column:
-            return F.when(c.between(48, 57), 48).when(c.between(65, 90), 65).when(c.between(97, 122), 97).otherwise(c)
 
-        radix = F.transform(codes, lambda c: F.when(c.between(48, 57), 10).when(c.between(65, 90) | c.between(97, 122), 26).otherwise(1))
+def permute_symbols(text: Column, key: str, tweak: Column, runs: list[tuple[int, int]] = RUNS[:3]) -> Column:
+    """Permute texts of one pattern of signs: each within its run of ``runs`` (ASCII digits, small letters, capitals); others stay."""
+
+    def pick(c: Column, run: Column, other: Column) -> Column:
+        out = F.when(c.between(runs[0][0], runs[0][0] + runs[0][1] - 1), run(runs[0]))
+        for r in runs[1:]:
+            out = out.when(c.between(r[0], r[0] + r[1] - 1), run(r))
+        return out.otherwise(other)
+
+    def sign(c: Column) -> Column:
+        wide = F.decode(F.unhex(F.lpad(F.hex(c), 8, "0")), "UTF-32")
+        return F.char(c) if runs == RUNS[:3] else F.when(c < 128, F.char(c)).otherwise(wide)
+
+    def whole(codes: Column) -> Column:
+        radix = F.transform(codes, lambda c: pick(c, lambda r: F.lit(r[1]), F.lit(1)))
+        base = lambda c: pick(c, lambda r: F.lit(r[0]), c)
         values = F.transform(codes, lambda c: c - base(c))
         new = let(values, lambda v: let(radix, lambda r: feistel(v, r, key, tweak)))
-        return F.array_join(F.zip_with(codes, new, lambda c, v: F.char(base(c) + v)), "")
+        return F.array_join(F.zip_with(codes, new, lambda c, v: let(base(c) + v, sign)), "")
 
     return F.when(F.length(text) == 0, text).otherwise(let(F.transform(F.split(text, ""), F.ascii), whole))
 
@@ -229,7 +245,7 @@ def _email(m: Column, key: str) -> Column:
     Capitals count as their small letters, so an address stays linked however it is written."""
     at = F.instr(m, "@")
     domain = F.substring(m, at, F.length(m))
-    return F.concat(permute_symbols(F.substring(m, F.lit(1), at - 1), key, F.concat(F.lit("email"), F.lower(domain))), domain)
+    return F.concat(permute_symbols(F.substring(m, F.lit(1), at - 1), key, F.concat(F.lit("email"), F.lower(domain)), RUNS), domain)
 
 
 def kind_of(m: Column) -> Column:

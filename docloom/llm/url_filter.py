@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm.common import ascii_lower
+from docloom.llm.common import ascii_lower, free_name
 
 #: The rules of the registered query: (host, path, verdict).
 RULES = [
@@ -57,19 +57,20 @@ def judge_urls(
     )
     lengths = live.agg(F.sort_array(F.collect_set(F.length("r_path"))).alias("lengths"))
     dropped = [c for c in pages.columns if c.lower() in ("host", "path", "rule", "verdict")]
-    parts = pages.withColumns({"__host": url_host(F.col(url_col)), "__path": url_path(F.col(url_col))}).drop(*dropped)
-    labels = F.split("__host", r"\.", -1)
+    host, path, found = (free_name(pages, n) for n in ("url_host", "url_path", "url_rule"))
+    parts = pages.withColumns({host: url_host(F.col(url_col)), path: url_path(F.col(url_col))}).drop(*dropped)
+    labels = F.split("url_host", r"\.", -1)
     suffixes = F.transform(
         F.sequence(F.lit(1), F.size(labels)),
         lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."),
     )
     expressions = (
-        parts.select("__host", "__path")
+        parts.select(F.col(host).alias("url_host"), F.col(path).alias("url_path"))
         .distinct()
         .crossJoin(F.broadcast(lengths))  # one row
         .withColumn("host_part", F.explode(suffixes))
-        .withColumn("n", F.explode(F.filter("lengths", lambda n: n <= F.length("__path"))))
-        .withColumn("path_part", F.expr("substring(__path, 1, n)"))
+        .withColumn("n", F.explode(F.filter("lengths", lambda n: n <= F.length("url_path"))))
+        .withColumn("path_part", F.expr("substring(url_path, 1, n)"))
         .withColumn("digest", F.sha2(F.concat_ws("\x00", "host_part", "path_part"), 256))
         .withColumn("short", F.substring("digest", 1, PREFIX_HEX))
     )
@@ -83,17 +84,17 @@ def judge_urls(
     confirmed = F.filter("rules", lambda r: r["r_digest"] == F.col("digest"))
     best = (
         expressions.join(by_prefix, F.col("short") == F.col("r_short"))
-        .select("__host", "__path", F.array_max(F.transform(confirmed, lambda r: r["rank"])).alias("rank"))
-        .groupBy("__host", "__path")
-        .agg(F.max("rank").alias("best"))
+        .select("url_host", "url_path", F.array_max(F.transform(confirmed, lambda r: r["rank"])).alias("rank"))
+        .groupBy(F.col("url_host").alias(host), F.col("url_path").alias(path))
+        .agg(F.max("rank").alias(found))
     )
     kept = [c for c in pages.columns if c not in dropped]
-    return parts.join(best, ["__host", "__path"], "left").select(
+    return parts.join(best, [host, path], "left").select(
         *kept,
-        F.col("__host").alias("host"),
-        F.col("__path").alias("path"),
-        F.col("best.rule").alias("rule"),
-        F.coalesce("best.verdict", F.lit(default)).alias("verdict"),
+        F.col(host).alias("host"),
+        F.col(path).alias("path"),
+        F.col(f"{found}.rule").alias("rule"),
+        F.coalesce(f"{found}.verdict", F.lit(default)).alias("verdict"),
     )
 
 

@@ -630,3 +630,41 @@ def test_near_copies_keeps_rows_by_row(spark):
     got = [tuple(r) for r in corpus_pipeline.drop_near_copies(spark, df, "").collect()]
     assert sorted(map(repr, got)) == sorted(map(repr, [(1, PASSAGE), (1, other), (None, lone), *rows[6:]]))
     assert corpus_pipeline.drop_near_copies(spark, df.limit(0), "").count() == 0
+
+
+# --- faults that were found later ------------------------------------------------------
+
+
+def test_addresses_with_other_letters(spark):
+    """No part of an address stays in clear, each sign keeps its script, and different addresses stay different."""
+    names = ["jörg", "É.Dupont", "иван.Петров", "δοκιμή", "花子", "han한글", "émilie", "jörg", "jorg", "ärger-1"]
+    rows = [(i, f"to {n}@x.de, {n}@münchen.example end") for i, n in enumerate(names)]
+    got = {r.doc_id: (r.text, r.n) for r in pii.pseudonymize(spark.createDataFrame(rows, "doc_id int, text string"), count_col="n").collect()}
+    local = {i: t[3 : t.index("@")] for i, (t, _) in got.items()}
+    for i, n in enumerate(names):
+        assert got[i][1] == 2 and len(local[i]) == len(n) and got[i][0].endswith("@münchen.example end")
+        run = lambda c: next((r for r in pii.RUNS if r[0] <= ord(c) < r[0] + r[1]), c)
+        assert [run(c) for c in local[i]] == [run(c) for c in n]
+        assert sum(a != b for a, b in zip(local[i], n, strict=True)) >= 1
+    assert local[0] == local[7] and len(set(local.values())) == len(set(names))
+
+
+def test_urls_keep_columns_of_any_name(spark):
+    rows = [(1, "http://a.org/x", "h", "p", "b", "r"), (2, None, "h2", None, "b", "r")]
+    df = spark.createDataFrame(rows, "page_id int, url string, __host string, url_path string, url_rule string, best string")
+    got = {r.page_id: r for r in url_filter.judge_urls(df, url_filter.rules_frame(spark)).collect()}
+    assert (got[1]["__host"], got[1].url_path, got[1].url_rule, got[1].best, got[1].host, got[1].path, got[1].verdict) == ("h", "p", "b", "r", "a.org", "/x", "allow")
+    assert (got[2]["__host"], got[2].url_path, got[2].host, got[2].path) == ("h2", None, "", "")
+
+
+def test_keep_first_keeps_columns_of_any_name(spark):
+    rows = [(1, PASSAGE, "a", 5, 6), (2, PASSAGE, "b", 7, 8), (3, "other words " + " ".join(f"z{i}" for i in range(20)), "c", 9, 10)]
+    df = spark.createDataFrame(rows, "doc_id int, text string, __row string, nth_of_row int, row_hash int")
+    assert sorted(tuple(r) for r in near_copies.keep_first(df).collect()) == [rows[0], rows[2]]
+
+
+def test_one_id_with_several_vectors(spark):
+    """Each row of an id has the links of its own vector."""
+    rows = [(1, [1.0, 0.0], 0), (1, [0.0, 1.0], 0), (2, [1.0, 0.01], 0), (3, [0.01, 1.0], 0), (4, [-1.0, 0.0], 0), (1, [1.0, 0.0], 0), (9, [0.0, 1.0], 1)]
+    got = sorted(tuple(r) for r in embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id int, embedding array<double>, label int")).collect())
+    assert got == [(1, 1, 1, True), (1, 2, 1, True), (1, 2, 1, True), (2, 2, 1, False), (3, 1, 1, False), (4, 0, 4, True), (9, 0, 9, True)]
