@@ -38,3 +38,9 @@ def settle(df: DataFrame) -> DataFrame:
     """Compute once: the lineage is cut in the shared checkpoint folder, so a lost executor costs no more than its tasks."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder, in whatever store Spark reads."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)

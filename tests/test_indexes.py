@@ -183,3 +183,20 @@ def test_trigram_index_equals_scan(spark, tmp_path):
     rows = [(r.needle, r.id) for r in got.collect()]
     assert len(rows) == len(set(rows)) and set(rows) == want
     assert got.columns == ["needle", "id", "title", "content"]
+
+
+def test_an_index_is_built_once_and_again_if_it_went(spark, units):
+    import shutil
+
+    from docloom.plans import search_indexes
+
+    made = []
+
+    def make(path):
+        made.append(path)
+        return trigrams.build(units.limit(5), path, "id", ["content"], buckets=2)
+
+    one, two = (search_indexes.built(spark, "somewhere", "once", make) for _ in range(2))
+    assert one.path == two.path and len(made) == 1
+    shutil.rmtree(one.path)
+    assert search_indexes.built(spark, "somewhere", "once", make).path != one.path and len(made) == 2
