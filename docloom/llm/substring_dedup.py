@@ -1,4 +1,4 @@
-"""Repeated passages by prefix-partitioned (sparse) suffix trees over words.
+"""Repeated passages by prefix-partitioned suffixes over words.
 
 A suffix takes part with its first 13 words, a window. Windows are dealt to trees by a prefix that
 each finds in itself: the word 5-gram of least hash among its nine. Equal windows have equal
@@ -7,9 +7,9 @@ same, so they travel as one run. The bytes that each prefix draws are counted ov
 one that draws more than a tree may hold is lengthened word by word, up to the 13 words of the
 window, until what it draws fits. Prefixes are dealt to groups of a bounded size, one task each.
 
-In its group, a tree is a suffix array with the longest common prefixes of neighbours, taken on the
-words themselves. Neighbours with 13 words or more in common hang under one deep internal node, a
-maximal repeat; its least document keeps the passage.
+In its group, windows are sorted by prefix and by a hash of their 13 words, and those of one hash are
+compared word by word. So common prefixes are known as 13 words or none: equal windows are found, the
+nodes of lesser depth of a suffix tree are not made. The least document of equal windows keeps them.
 """
 
 from __future__ import annotations
