@@ -7,9 +7,10 @@ same, so they travel as one run. The bytes that each prefix draws are counted ov
 one that draws more than a tree may hold is lengthened word by word, up to the 13 words of the
 window, until what it draws fits. Prefixes are dealt to groups of a bounded size, one task each.
 
-In its group, windows are sorted by prefix and by a hash of their 13 words, and those of one hash are
-compared word by word. So common prefixes are known as 13 words or none: equal windows are found, the
-nodes of lesser depth of a suffix tree are not made. The least document of equal windows keeps them.
+In its group, words are numbered and suffixes are sorted by their words, so that the common prefixes of
+neighbours, 0 to 13 words, describe the suffix tree down to the depth of a window. Its nodes of that
+depth with several leaves are the repeats: their least document keeps the words. Windows that follow
+each other in a document join to maximal repeats when words are removed.
 """
 
 from __future__ import annotations
@@ -255,29 +256,38 @@ def prefix_lengths(docs: DataFrame, text_col: str, window: int = WINDOW, limit:
     return Lengths(gram[order], np.minimum(rows["words"].to_numpy(np.int64)[order] + 1, window))
 
 
+def suffix_array(code: np.ndarray, leaf: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of the suffixes at ``leaf`` by the numbers of their first ``window`` words, and how many
+    words each shares with the one before it there (0 to ``window``)."""
+    bits = max(int(code.max(initial=0)).bit_length(), 1)
+    per = 63 // bits  # words whose numbers fit one key
+    keys = []
+    for i in range(0, window, per):
+        key = np.zeros(len(leaf), np.int64)
+        for j in range(i, min(i + per, window)):
+            key = key << bits | code[leaf + j]
+        keys.append(key)
+    order = np.lexsort(keys[::-1])
+    array, common = leaf[order], np.zeros(len(leaf), np.int64)
+    live = np.arange(1, len(leaf))
+    for depth in range(window):
+        live = live[code[array[live] + depth] == code[array[live - 1] + depth]]
+        common[live] += 1
+    return order, common
+
+
 def _repeats(w: Words, owner: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     """The suffixes with at least ``window`` words, and for each whether a smaller owner has its window.
 
-    The suffix array sorts them by their prefixes, then their windows, by hash; the common prefixes of
-    neighbours are then taken on the words, so what hangs under one node has the same words."""
+    Words are numbered (one number for the same bytes only), the suffix array sorts suffixes by these
+    numbers, and common prefixes of neighbours give the tree: suffixes between two places where fewer
+    than d words are shared hang under one node of depth d or more. The nodes of depth ``window`` with
+    several leaves are the repeats; a leaf yields to the least owner under its node."""
     leaf = np.flatnonzero(_windows(w, window))
     who = owner[w.doc[leaf]]
-    path, head = gram_hash(w.hash, window)[leaf], gram_hash(w.hash, PREFIX)[leaf]
-    order = np.lexsort((path, head))
-    array = leaf[order]
-    common = np.zeros(len(array), np.int64)  # words that a suffix shares with the one before it
-    live = np.flatnonzero(np.concatenate(([False], path[order[1:]] == path[order[:-1]]))[: len(order)])
-    for _ in range(window):
-        live = live[w.same(array[live] + common[live], array[live - 1] + common[live])]
-        common[live] += 1
-    if int((common >= window).sum()) < int((np.diff(path[order]) == 0).sum()):  # two windows of one hash
-        table: dict[bytes, int] = {}
-        words = [b" ".join(w.buf[w.start[i] : w.end[i + window - 1]].split()) for i in leaf.tolist()]
-        path = np.array([table.setdefault(x, len(table)) for x in words])
-        order = np.argsort(path, kind="stable")
-        common = np.where(np.concatenate(([False], np.diff(path[order]) == 0)), window, 0)
-    node = common < window  # where a node, or a leaf by itself, begins
-    least = np.minimum.reduceat(who[order], np.flatnonzero(node))[np.cumsum(node) - 1] if len(order) else who
+    order, common = suffix_array(w.codes(), leaf, window)
+    begins = common < window
+    least = np.minimum.reduceat(who[order], np.flatnonzero(begins))[np.cumsum(begins) - 1] if len(order) else who
     repeated = np.zeros(len(leaf), bool)
     repeated[order] = least < who[order]
     return leaf, repeated

@@ -213,6 +213,25 @@ def test_frequent_prefixes_are_lengthened(spark):
     assert len(set(substring_dedup.prefix_lengths(df, "text", limit=900).words.tolist())) > 1  # some need more words than others
 
 
+def test_suffix_array_and_common_prefixes():
+    rng = np.random.default_rng(3)
+    passage = [f"p{i}" for i in range(20)]
+    texts = []
+    for i in range(60):
+        cut = int(rng.integers(1, 20))
+        texts.append(" ".join([*rng.choice(list("abcd"), 9), *passage[:cut], *rng.choice(list("abcd"), 14)]).encode())
+    w = substring_dedup.words_of(texts)
+    leaf, code = np.flatnonzero(substring_dedup._windows(w, 13)), w.codes()
+    order, common = substring_dedup.suffix_array(code, leaf, 13)
+    rows = [tuple(code[i : i + 13].tolist()) for i in leaf[order].tolist()]
+    assert rows == sorted(rows)
+    want = [0] + [next((k for k in range(13) if a[k] != b[k]), 13) for a, b in zip(rows, rows[1:], strict=False)]
+    assert common.tolist() == want
+    assert {0, 13} < set(want) and len(set(want)) > 8  # nodes of many depths
+    none = substring_dedup.suffix_array(np.zeros(0, np.int64), np.zeros(0, np.int64), 13)
+    assert [len(x) for x in none] == [0, 0]
+
+
 def test_colliding_words_do_not_repeat(spark, monkeypatch):
     rng = np.random.default_rng(5)
     words = ["".join(rng.choice(list("ab"), 6)) for _ in range(400)]
