@@ -45,8 +45,10 @@ _ZIPF, _POWER, _PER_WORD = 10.0, 1.0, 4.0
 _FEW = 64
 _BASE = 0x9E3779B97F4A7C55
 _FILTER_BITS = 22
-#: Bits of a run's key that its last token has.
-_LAST = np.uint64(18)
+#: The vocabulary's own weights count as much as the pieces of so many training words.
+_PRIOR = 1000.0
+#: Shares of pieces are summed as integers of this unit, so that the sum has one value in any order.
+_UNIT = 1 << 16
 #: Stand for the end of a document and for the marks around it, among the hashes of words.
 _END, _OPEN = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 
@@ -141,48 +143,100 @@ def vocabulary_weights(p: Pieces) -> Weights:
     return Weights(log, float(np.log(1 / _PER_WORD)), float(np.log1p(-1 / _PER_WORD)))
 
 
-def lattice(words: list[bytes], p: Pieces, w: Weights) -> np.ndarray:
-    """Natural-log probabilities of words, summed over all their segmentations in log space.
+def gathered_weights(p: Pieces, units: np.ndarray, words: int) -> Weights:
+    """The vocabulary's weights moved towards the pieces (``expected_pieces``) of ``words`` training words."""
+    own, seen = np.exp(vocabulary_weights(p).log), units / _UNIT
+    log = np.empty(p.size)
+    for side in (p.starts_word, ~p.starts_word):
+        log[side] = np.log((seen[side] + _PRIOR * own[side]) / (seen[side].sum() + _PRIOR))
+    per_word = (seen.sum() + _PRIOR * _PER_WORD) / (words + _PRIOR)
+    return Weights(log, float(np.log(1 / per_word)), float(np.log1p(-1 / per_word)))
 
-    Words of one length are advanced together: at every end position, each piece that ends there
-    adds to the forward sum. Where few words have a length, each is advanced by itself.
-    """
-    out = np.zeros(len(words))
+
+def expected_pieces(words: list[bytes], p: Pieces, w: Weights) -> np.ndarray:
+    """How often each piece is used, in units of 1 / _UNIT: over all segmentations of each word, by their probability.
+
+    Forward sums as in ``lattice``, then backward sums; an arc's share of its word is what passes through it."""
+    out = np.zeros(p.size, np.int64)
+    for which, n in _by_length(words):
+        if n is None:
+            _share_one(words[which[0]], p, w, out)
+        else:
+            _share_same_length([words[k] for k in which], n, p, w, out)
+    return out
+
+
+def _by_length(words: list[bytes]) -> Iterable[tuple[list[int], int | None]]:
+    """Places of words of one length, in parts of bounded size, with the length; single places with None
+    where few words have a length."""
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     order = np.argsort(lengths, kind="stable")
     cuts = np.flatnonzero(np.diff(lengths[order], prepend=-1))
     for a, z in zip(cuts.tolist(), [*cuts[1:].tolist(), len(words)], strict=True):
-        n = int(lengths[order[a]])
         if z - a < _FEW:
-            for k in order[a:z].tolist():
-                out[k] = _one_word(words[k], p, w)
+            yield from (([k], None) for k in order[a:z].tolist())
             continue
+        n = int(lengths[order[a]])
         step = max(_FEW, 400_000 // (n + 1))
-        for i in range(a, z, step):
-            at = order[i : min(i + step, z)]
-            out[at] = _same_length([words[k] for k in at.tolist()], n, p, w)
+        yield from ((order[i : min(i + step, z)].tolist(), n) for i in range(a, z, step))
+
+
+def lattice(words: list[bytes], p: Pieces, w: Weights) -> np.ndarray:
+    """Natural-log probabilities of words, summed over all their segmentations in log space.
+
+    Words of one length are advanced together: at every end position, each piece that ends there
+    adds to the forward sum. Where few words have a length, each is advanced by itself.
+    """
+    out = np.zeros(len(words))
+    for which, n in _by_length(words):
+        if n is None:
+            out[which] = _forward(words[which[0]], p, w)[-1] + w.stop
+        else:
+            out[which] = _forward_same_length([words[k] for k in which], n, p, w)[0][n] + w.stop
     return out
 
 
-def _one_word(word: bytes, p: Pieces, w: Weights) -> float:
-    """The same for one word; linear in its length, so that texts without spaces stay in bounds."""
-    log, more, inner, first, sizes = w.log, w.more, p.inner, p.first, p.sizes
+def _arcs(word: bytes, j: int, p: Pieces) -> list[tuple[int, int]]:
+    """Where the pieces that end at j start, and their numbers; -1 stands for pieces with the word mark."""
+    out = [(j - 1, int(p.byte[word[j - 1]]))]  # a byte is always an arc; where a piece is that byte, both count
+    if j <= p.longest and (piece := p.first.get(word[:j])) is not None:
+        out.append((-1, piece))
+    for k in p.sizes:
+        if k > j:
+            break
+        if (piece := p.inner.get(word[j - k : j])) is not None:
+            out.append((j - k, piece))
+    return out
+
+
+def _forward(word: bytes, p: Pieces, w: Weights) -> list[float]:
+    """Forward sums of one word; linear in its length, so that texts without spaces stay in bounds."""
+    log, more = w.log, w.more
     forward = [float(log[p.bare])]
     for j in range(1, len(word) + 1):
-        paths = [forward[j - 1] + more + float(log[p.byte[word[j - 1]]])]
-        if j <= p.longest and (piece := first.get(word[:j])) is not None:
-            paths.append(float(log[piece]))
-        for k in sizes:
-            if k > j:
-                break
-            if (piece := inner.get(word[j - k : j])) is not None:
-                paths.append(forward[j - k] + more + float(log[piece]))
+        paths = [float(log[x]) if i < 0 else forward[i] + more + float(log[x]) for i, x in _arcs(word, j, p)]
         top = max(paths)
         forward.append(top + math.log(sum(math.exp(x - top) for x in paths)))
-    return forward[-1] + w.stop
-
-
-def _same_length(words: list[bytes], n: int, p: Pieces, w: Weights) -> np.ndarray:
+    return forward
+
+
+def _share_one(word: bytes, p: Pieces, w: Weights, out: np.ndarray) -> None:
+    forward = _forward(word, p, w)
+    backward, total = [-math.inf] * (len(word) + 1), forward[-1] + w.stop
+    backward[-1] = w.stop
+    for j in range(len(word), 0, -1):
+        for i, x in _arcs(word, j, p):
+            step = float(w.log[x]) + backward[j]
+            if i >= 0:
+                step += w.more
+                backward[i] = float(np.logaddexp(backward[i], step))
+                step += forward[i]
+            out[x] += round(math.exp(step - total) * _UNIT)
+    out[p.bare] += round(math.exp(forward[0] + backward[0] - total) * _UNIT)
+
+
+def _forward_same_length(words: list[bytes], n: int, p: Pieces, w: Weights) -> tuple[np.ndarray, list[tuple]]:
+    """Forward sums by end position, and the arcs in the order of their use: start, end, which words, pieces."""
     raw = np.frombuffer(b"".join(words), np.uint8).reshape(len(words), n).T
     prefix = np.zeros((n + 1, len(words)), np.uint64)
     for j in range(n):
@@ -192,20 +246,38 @@ def _same_length(words: list[bytes], n: int, p: Pieces, w: Weights) -> np.ndarra
     power = [1]
     for _ in range(p.longest):
         power.append(power[-1] * _BASE % (1 << 64))
+    arcs, every = [], np.arange(len(words))
     for j in range(1, n + 1):
         if j <= p.longest:
             piece = p.find(prefix[j], False)
             who = np.flatnonzero(piece >= 0)
             if len(who):
                 forward[j, who] = w.log[piece[who]]
+                arcs.append((-1, j, who, piece[who]))
         for i in range(max(0, j - p.longest), j):
             piece = p.find(prefix[j] - prefix[i] * np.uint64(power[j - i]), True)
             if i == j - 1:  # a byte is always an arc; where a piece is that byte, both count
                 forward[j] = np.logaddexp(forward[j], forward[i] + w.more + w.log[p.byte[raw[i]]])
+                arcs.append((i, j, every, p.byte[raw[i]]))
             who = np.flatnonzero(piece >= 0)
             if len(who):
                 forward[j, who] = np.logaddexp(forward[j, who], forward[i, who] + w.more + w.log[piece[who]])
-    return forward[n] + w.stop
+                arcs.append((i, j, who, piece[who]))
+    return forward, arcs
+
+
+def _share_same_length(words: list[bytes], n: int, p: Pieces, w: Weights, out: np.ndarray) -> None:
+    forward, arcs = _forward_same_length(words, n, p, w)
+    backward, total = np.full(forward.shape, -np.inf), forward[n] + w.stop
+    backward[n] = w.stop
+    for i, j, who, piece in reversed(arcs):
+        step = w.log[piece] + backward[j, who]
+        if i >= 0:
+            step += w.more
+            backward[i, who] = np.logaddexp(backward[i, who], step)
+            step += forward[i, who]
+        np.add.at(out, piece, np.rint(np.exp(step - total[who]) * _UNIT).astype(np.int64))
+    out[p.bare] += int(np.rint(np.exp(forward[0] + backward[0] - total) * _UNIT).sum())
 
 
 @dataclass
@@ -242,12 +314,11 @@ def _distinct(w: Words) -> tuple[np.ndarray, list[bytes]]:
     return code, [w.buf[a:z] for a, z in zip(w.start[first].tolist(), w.end[first].tolist(), strict=True)]
 
 
-def token_runs(w: Words, docs: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the runs of three tokens, and the document of each. A document's tokens, its end included, stand
-    after two opening marks and before a closing one; a key belongs to each token and to the closing mark.
+def token_runs(w: Words, docs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The runs of three tokens: a hash of the first two (64 bits), one of the third (32 bits), and the document.
 
-    The high bits of a key are a hash of the first two tokens, the low _LAST bits one of the third, so that
-    the keys of runs that begin alike lie together."""
+    A document's tokens, its end included, stand after two opening marks and before a closing one; a run
+    belongs to each token and to the closing mark."""
     size = np.bincount(w.doc, minlength=docs) + 4
     stop = np.cumsum(size)
     h = np.full(int(stop[-1]), _OPEN)
@@ -256,7 +327,17 @@ def token_runs(w: Words, docs: int) -> tuple[np.ndarray, np.ndarray]:
     real = np.ones(len(h), bool)
     real[stop - size] = real[stop - size + 1] = False
     two = mix64(np.roll(h, 2) * np.uint64(_BASE) + np.roll(h, 1))
-    return (two >> _LAST << _LAST | mix64(h) >> (np.uint64(64) - _LAST))[real], np.repeat(np.arange(docs), size)[real]
+    return two[real], (mix64(h) >> np.uint64(32)).astype(np.uint32)[real], np.repeat(np.arange(docs), size)[real]
+
+
+def distinct_runs(two: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order of runs by key, where each distinct one begins in that order, and each run's place among them."""
+    order = np.lexsort((last, two))
+    a, b = two[order], last[order]
+    new = np.concatenate((np.ones(min(len(order), 1), bool), (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
+    place = np.empty(len(order), np.int64)
+    place[order] = np.cumsum(new) - 1
+    return order, np.flatnonzero(new), place
 
 
 def run_bucket(keys: np.ndarray, n: int) -> np.ndarray:
@@ -280,8 +361,9 @@ def score_documents(
     """Log10 marginal likelihood of every document over all paths of its lattice.
 
     Tokens are the words of the lower-cased text (A-Z) and one end per document. Between two word
-    borders the lattice has every sequence of pieces of an existing vocabulary, weighted by the
-    vocabulary's own scores, and arcs that cross the whole word, weighted by what the training
+    borders the lattice has every sequence of pieces of an existing vocabulary. The vocabulary's own
+    scores weight all segmentations of the distinct training words; the pieces' shares there, with the
+    vocabulary's weights as a prior, weight the pieces (one pass, ``gathered_weights``). Besides, there are arcs that cross the whole word, weighted by what the training
     documents hold. As pieces end at word borders, the forward sum of a document is the product of
     the sums between its borders. There, pieces and the word's count come together by absolute
     discounting: p1 = (count - D) / N + (D V / N) * (sum over segmentations into pieces). Arcs that
@@ -290,16 +372,17 @@ def score_documents(
     and (a, b) of PAIRS or TRIPLES. Every step sums to one over all words and the end.
 
     Returns per row of ``docs``: the id, held_out, n_tokens, n_known, train_tokens, base_score (with
-    add-one counts) and score. Null and empty texts consist of the end alone. A null id falls in
+    add-one counts), score, and unseen_score, the part of the score that tokens without a training count
+    have. Null and empty texts consist of the end alone. A null id falls in
     the fold of the text ``null``. Repeated rows are scored, and counted, each for itself. Without
     training documents the lattice alone decides. No rows give no rows.
 
     Each block of documents sends its distinct words, with counts, to groups by hash; a group sums
-    them, and answers each block. Runs of three tokens go the same way as 64-bit keys, in ranges of the
-    key; the runs that begin with the same two tokens meet in one group, so pairs need not be sent. Runs
-    of one key share a count, which touches ``score`` alone: a pair that the corpus lacks meets another's
-    key with a chance of (distinct pairs) / 7e13, which is 1e-4 at 30 GB but some tenths at 100 TB, where
-    keys need more bits. No count table passes through the driver, only sums.
+    them, and answers each block. Runs of three tokens go the same way as 96-bit keys, in ranges of the
+    key; the runs that begin with the same two tokens meet in one group, so pairs need not be sent. A key
+    has 64 bits for the first two tokens and 32 for the third: a run meets another's count, which touches
+    ``score`` alone, with a chance of (distinct pairs) / 1.8e19 + (what follows its pair) / 4.3e9. No count
+    table of the corpus passes through the driver, only sums and the shares of the vocabulary's pieces.
     """
     spark = docs.sparkSession
     path = vocabulary or public_vocabulary()
@@ -362,12 +445,26 @@ def score_documents(
     ends = named.filter(fold != held_out).count() if held_out is not None else named.count()
     c = Counts(sums[0] + ends, sums[1] + (ends > 0), sums[2], sums[3], ends)
 
+    def gather(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        """What each piece is used in the distinct training words of a group."""
+        p = _pieces(path)
+        for b in batches:
+            for row in b.to_pylist():
+                seen = unpack_array(row["counts"], "<i8") > 0
+                found = expected_pieces([x for x, y in zip(unpack(row["data"]).split(b" "), seen.tolist(), strict=True) if y], p, vocabulary_weights(p))
+                some = np.flatnonzero(found)
+                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(found[some])], names=["piece", "units"])
+
+    uses = known.select("data", "counts").mapInArrow(gather, "piece int, units bigint").groupBy("piece").agg(F.sum("units").alias("units")).collect()
+    units = np.zeros(_pieces(path).size, np.int64)  # as many rows as the vocabulary has pieces, at most
+    units[[r["piece"] for r in uses]] = [r["units"] for r in uses]
+
     def answer(table: pa.Table) -> pa.Table:
         p = _pieces(path)
         rows = table.to_pylist()
         own = next(r for r in rows if r["block"] == -1)
         words, count = unpack(own["data"]).split(b" "), unpack_array(own["counts"], "<i8")
-        sub = lattice(words, p, vocabulary_weights(p))
+        sub = lattice(words, p, gathered_weights(p, units, sums[1]))
         if c.tokens:
             d = c.discount
             prob = np.maximum(count - d, 0) / c.tokens + d * c.types / c.tokens * np.exp(sub)
@@ -393,45 +490,47 @@ def score_documents(
     def runs(table: pa.Table) -> pa.Table:
         """Each block's distinct runs of three tokens with their training counts, cut by range of key."""
         _, words, train, _ = _table_words(table, held_out)
-        every, doc = token_runs(words, len(train))
-        keys = np.unique(every)
-        known, times = np.unique(every[train[doc]], return_counts=True)
-        count = np.zeros(len(keys), np.int64)
-        count[np.searchsorted(keys, known)] = times
-        used, start = np.unique(run_bucket(keys, ranges), return_index=True)
-        spans = list(zip(used.tolist(), start.tolist(), [*start[1:].tolist(), len(keys)], strict=True))
+        two, last, doc = token_runs(words, len(train))
+        order, start, _ = distinct_runs(two, last)
+        count = np.add.reduceat(train[doc][order].astype(np.int64), start)
+        two, last = two[order[start]], last[order[start]]
+        used, begin = np.unique(run_bucket(two, ranges), return_index=True)
+        spans = list(zip(used.tolist(), begin.tolist(), [*begin[1:].tolist(), len(two)], strict=True))
         return pa.table(
             {
                 "block": pa.array([table.column("block")[0].as_py()] * len(spans), pa.int32()),
                 "bucket": pa.array([k for k, _, _ in spans], pa.int32()),
-                "words": pa.array([zigzag_deltas(keys[i:j].view(np.int64)) for _, i, j in spans], pa.binary()),
+                "twos": pa.array([zigzag_deltas(two[i:j].view(np.int64)) for _, i, j in spans], pa.binary()),
+                "lasts": pa.array([pack(last[i:j].astype("<u4")) for _, i, j in spans], pa.binary()),
                 "counts": pa.array([pack(count[i:j].astype("<i4")) for _, i, j in spans], pa.binary()),
             }
         )
 
     def sum_runs(table: pa.Table) -> pa.Table:
         """For each block's runs: how often they are (counts), and how often their first two tokens (logs)."""
-        keys = [from_deltas(x).view(np.uint64) for x in table.column("words").to_pylist()]
-        counts = [unpack_array(x, "<i4") for x in table.column("counts").to_pylist()]
-        distinct = np.unique(np.concatenate(keys))
-        places = [np.searchsorted(distinct, k) for k in keys]
-        total = np.zeros(len(distinct), np.int64)
-        for at, c in zip(places, counts, strict=True):
-            total[at] += c  # a block's runs are distinct
-        begin = np.flatnonzero(np.diff(distinct >> _LAST, prepend=np.uint64(0)) != 0)
-        begin = np.union1d(begin, [0])
+        twos = [from_deltas(x).view(np.uint64) for x in table.column("twos").to_pylist()]
+        ends = np.cumsum([len(x) for x in twos]).tolist()
+        two = np.concatenate(twos)
+        last = np.concatenate([unpack_array(x, "<u4") for x in table.column("lasts").to_pylist()])
+        count = np.concatenate([unpack_array(x, "<i4") for x in table.column("counts").to_pylist()]).astype(np.int64)
+        del twos
+        order, start, place = distinct_runs(two, last)
+        total = np.add.reduceat(count[order], start)
+        heads = two[order[start]]
+        begin = np.flatnonzero(np.concatenate(([True], heads[1:] != heads[:-1])))
         alike = np.repeat(np.add.reduceat(total, begin), np.diff(np.append(begin, len(total))))
+        spans = list(zip([0, *ends[:-1]], ends, strict=True))
         return pa.table(
             {
                 "block": table.column("block"),
                 "bucket": pa.array(-1 - table.column("bucket").to_numpy(), pa.int32()),
-                "counts": pa.array([pack(total[at]) for at in places], pa.binary()),
-                "logs": pa.array([pack(alike[at]) for at in places], pa.binary()),
+                "counts": pa.array([pack(total[place[i:j]]) for i, j in spans], pa.binary()),
+                "logs": pa.array([pack(alike[place[i:j]]) for i, j in spans], pa.binary()),
             }
         )
 
     ranges = max(shuffle_partitions(spark), size // RANGE_BYTES + 1)
-    run_rows = blocks.groupBy("block").applyInArrow(runs, "block int, bucket int, words binary, counts binary")
+    run_rows = blocks.groupBy("block").applyInArrow(runs, "block int, bucket int, twos binary, lasts binary, counts binary")
     summed = run_rows.groupBy("bucket").applyInArrow(sum_runs, "block int, bucket int, counts binary, logs binary")
     answers = answers.unionByName(summed)
 
@@ -442,13 +541,14 @@ def score_documents(
         by_bucket = np.argsort(bucket, kind="stable")
         dealt = bucket[by_bucket]
         count, log = np.zeros(len(distinct), np.int64), np.zeros(len(distinct))
-        runs_of, run_doc = token_runs(words, len(ids))
+        two, last, run_doc = token_runs(words, len(ids))
         closing = np.diff(run_doc, append=len(ids)) > 0
         doc = run_doc[~closing]
         token = np.full(len(doc), len(distinct), np.int64)  # the end: one past the words
         token[np.arange(len(code)) + words.doc] = code
-        keys, place = np.unique(runs_of, return_inverse=True)
-        in_range, whole_run, first_two = run_bucket(keys, ranges), np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
+        by_key, start, place = distinct_runs(two, last)
+        in_range = run_bucket(two[by_key[start]], ranges)
+        whole_run, first_two = np.zeros(len(start), np.int64), np.zeros(len(start), np.int64)
         for r in right.to_pylist():
             k = r["bucket"]
             if k < 0:
@@ -475,11 +575,12 @@ def score_documents(
                 "train_tokens": pa.array(np.full(len(ids), c.tokens, np.int64)),
                 "base_score": pa.array(np.bincount(doc, np.append(base, np.log10(c.docs + 1.0))[token], len(ids)) - size * whole),
                 "score": pa.array(np.bincount(doc, own, len(ids))),
+                "unseen_score": pa.array(np.bincount(doc, np.where(np.append(count, c.docs)[token] > 0, 0.0, own), len(ids))),
             }
         )
 
     out = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
-        finish, f"id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
+        finish, f"id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, unseen_score double"
     )
     return out.withColumnRenamed("id", id_col)
 

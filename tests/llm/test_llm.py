@@ -535,7 +535,8 @@ def test_lm_scoring(spark, docs, none):
     d = once / (once + 2 * twice) if once else 0.5
     every = sorted({x for r in src for x in (r.text or "").encode().lower().split()})
     p = lm_scoring._pieces(lm_scoring.public_vocabulary())
-    sub = dict(zip(every, lm_scoring.lattice(every, p, lm_scoring.vocabulary_weights(p)), strict=True))
+    units = lm_scoring.expected_pieces(words, p, lm_scoring.vocabulary_weights(p))
+    sub = dict(zip(every, lm_scoring.lattice(every, p, lm_scoring.gathered_weights(p, units, len(words))), strict=True))
 
     def score(text):
         s, out = ["open", "open", *(text or "").encode().lower().split(), "end"], 0.0
@@ -555,7 +556,11 @@ def test_lattice_one_by_one_and_long_words():
     p = lm_scoring._pieces(lm_scoring.public_vocabulary())
     w = lm_scoring.vocabulary_weights(p)
     words = [f"x{i:02d}the".encode() for i in range(lm_scoring._FEW + 1)]
-    assert np.allclose(lm_scoring.lattice(words, p, w), [lm_scoring._one_word(x, p, w) for x in words])
+    assert np.allclose(lm_scoring.lattice(words, p, w), [lm_scoring._forward(x, p, w)[-1] + w.stop for x in words])
+    one = np.zeros(p.size, np.int64)
+    for x in words:
+        lm_scoring._share_one(x, p, w, one)
+    assert np.abs(one - lm_scoring.expected_pieces(words, p, w)).max() <= len(words)  # but for rounding
     long = lm_scoring.lattice([b"abcdefgh" * 20_000], p, w)
     assert np.isfinite(long).all() and long[0] < -1e5
 
@@ -576,6 +581,27 @@ def test_lattice_brute_force():
     want = [np.log(sum(np.exp(w.log[first[x[:k]]]) * rest(x[k:]) for k in range(len(x) + 1) if x[:k] in first)) for x in words]
     assert np.allclose(lm_scoring.lattice(words, p, w), want)
 
+    def paths(s):  # the pieces of every segmentation of what follows, with its probability
+        if not s:
+            return [((), np.exp(w.stop))]
+        arcs = [(k, inner[s[:k]]) for k in range(1, len(s) + 1) if s[:k] in inner] + [(1, int(p.byte[s[0]]))]
+        return [((x, *rest), np.exp(w.more + w.log[x]) * q) for k, x in arcs for rest, q in paths(s[k:])]
+
+    share = np.zeros(p.size)
+    for word, total in zip(words, want, strict=True):
+        for k in range(len(word) + 1):
+            if word[:k] in first:
+                for rest, q in paths(word[k:]):
+                    for x in (first[word[:k]], *rest):
+                        share[x] += np.exp(w.log[first[word[:k]]]) * q / np.exp(total)
+    units = lm_scoring.expected_pieces(words, p, w)
+    assert np.abs(units / lm_scoring._UNIT - share).max() < 1e-3
+    g = lm_scoring.gathered_weights(p, units, len(words))
+    assert all(np.isclose(np.exp(g.log[side]).sum(), 1) for side in (p.starts_word, ~p.starts_word))
+    assert np.isclose(np.exp(g.stop) + np.exp(g.more), 1)
+    none = lm_scoring.gathered_weights(p, np.zeros(p.size, np.int64), 0)  # nothing gathered: the vocabulary alone
+    assert np.allclose(none.log, w.log) and np.isclose(none.stop, w.stop)
+
 
 def _piece_maps(p):
     import sentencepiece
