@@ -19,7 +19,6 @@ from docloom.llm.common import (
     blocks_of,
     crc_bucket,
     crc_fold,
-    from_deltas,
     materialize,
     mix64,
     pack,
@@ -28,7 +27,6 @@ from docloom.llm.common import (
     unpack,
     unpack_array,
     words_of,
-    zigzag_deltas,
 )
 
 FOLDS, HELD_OUT = 7, 2
@@ -315,7 +313,7 @@ def _distinct(w: Words) -> tuple[np.ndarray, list[bytes]]:
 
 
 def token_runs(w: Words, docs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The runs of three tokens: a hash of the first two (64 bits), one of the third (32 bits), and the document.
+    """The runs of three tokens: a hash of the first two (56 bits), one of the third (32 bits), and the document.
 
     A document's tokens, its end included, stand after two opening marks and before a closing one; a run
     belongs to each token and to the closing mark."""
@@ -327,7 +325,18 @@ def token_runs(w: Words, docs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     real = np.ones(len(h), bool)
     real[stop - size] = real[stop - size + 1] = False
     two = mix64(np.roll(h, 2) * np.uint64(_BASE) + np.roll(h, 1))
-    return two[real], (mix64(h) >> np.uint64(32)).astype(np.uint32)[real], np.repeat(np.arange(docs), size)[real]
+    return two[real] >> np.uint64(8), (mix64(h) >> np.uint64(32)).astype(np.uint32)[real], np.repeat(np.arange(docs), size)[real]
+
+
+def planes(values: np.ndarray) -> bytes:
+    """Packed by byte planes: first the lowest byte of every value, then the next, so that empty high bytes cost nothing."""
+    values = np.ascontiguousarray(values)
+    return pack(np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T))
+
+
+def from_planes(data: bytes, dtype: str) -> np.ndarray:
+    raw = unpack_array(data, "u1").reshape(np.dtype(dtype).itemsize, -1)
+    return np.ascontiguousarray(raw.T).view(dtype).ravel()
 
 
 def distinct_runs(two: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -341,8 +350,8 @@ def distinct_runs(two: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def run_bucket(keys: np.ndarray, n: int) -> np.ndarray:
-    """The range, of n, that a hash falls into; rises with the hash."""
-    return ((keys >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
+    """The range, of n, that a hash of 56 bits falls into; rises with the hash."""
+    return ((keys >> np.uint64(24)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
 
 
 def mixed(count: np.ndarray, after: np.ndarray, log: np.ndarray, weight: tuple[float, float]) -> np.ndarray:
@@ -378,10 +387,10 @@ def score_documents(
     training documents the lattice alone decides. No rows give no rows.
 
     Each block of documents sends its distinct words, with counts, to groups by hash; a group sums
-    them, and answers each block. Runs of three tokens go the same way as 96-bit keys, in ranges of the
+    them, and answers each block. Runs of three tokens go the same way as 88-bit keys, in ranges of the
     key; the runs that begin with the same two tokens meet in one group, so pairs need not be sent. A key
-    has 64 bits for the first two tokens and 32 for the third: a run meets another's count, which touches
-    ``score`` alone, with a chance of (distinct pairs) / 1.8e19 + (what follows its pair) / 4.3e9. No count
+    has 56 bits for the first two tokens and 32 for the third: a run meets another's count, which touches
+    ``score`` alone, with a chance of (distinct pairs) / 7.2e16 + (what follows its pair) / 4.3e9. No count
     table of the corpus passes through the driver, only sums and the shares of the vocabulary's pieces.
     """
     spark = docs.sparkSession
@@ -500,19 +509,19 @@ def score_documents(
             {
                 "block": pa.array([table.column("block")[0].as_py()] * len(spans), pa.int32()),
                 "bucket": pa.array([k for k, _, _ in spans], pa.int32()),
-                "twos": pa.array([zigzag_deltas(two[i:j].view(np.int64)) for _, i, j in spans], pa.binary()),
-                "lasts": pa.array([pack(last[i:j].astype("<u4")) for _, i, j in spans], pa.binary()),
-                "counts": pa.array([pack(count[i:j].astype("<i4")) for _, i, j in spans], pa.binary()),
+                "twos": pa.array([planes(np.diff(two[i:j], prepend=np.uint64(0))) for _, i, j in spans], pa.binary()),
+                "lasts": pa.array([planes(last[i:j].astype("<u4")) for _, i, j in spans], pa.binary()),
+                "counts": pa.array([planes(count[i:j].astype("<i4")) for _, i, j in spans], pa.binary()),
             }
         )
 
     def sum_runs(table: pa.Table) -> pa.Table:
         """For each block's runs: how often they are (counts), and how often their first two tokens (logs)."""
-        twos = [from_deltas(x).view(np.uint64) for x in table.column("twos").to_pylist()]
+        twos = [np.cumsum(from_planes(x, "<u8")) for x in table.column("twos").to_pylist()]
         ends = np.cumsum([len(x) for x in twos]).tolist()
         two = np.concatenate(twos)
-        last = np.concatenate([unpack_array(x, "<u4") for x in table.column("lasts").to_pylist()])
-        count = np.concatenate([unpack_array(x, "<i4") for x in table.column("counts").to_pylist()]).astype(np.int64)
+        last = np.concatenate([from_planes(x, "<u4") for x in table.column("lasts").to_pylist()])
+        count = np.concatenate([from_planes(x, "<i4") for x in table.column("counts").to_pylist()]).astype(np.int64)
         del twos
         order, start, place = distinct_runs(two, last)
         total = np.add.reduceat(count[order], start)
@@ -524,8 +533,8 @@ def score_documents(
             {
                 "block": table.column("block"),
                 "bucket": pa.array(-1 - table.column("bucket").to_numpy(), pa.int32()),
-                "counts": pa.array([pack(total[place[i:j]]) for i, j in spans], pa.binary()),
-                "logs": pa.array([pack(alike[place[i:j]]) for i, j in spans], pa.binary()),
+                "counts": pa.array([planes(total[place[i:j]]) for i, j in spans], pa.binary()),
+                "logs": pa.array([planes(alike[place[i:j]]) for i, j in spans], pa.binary()),
             }
         )
 
@@ -553,7 +562,7 @@ def score_documents(
             k = r["bucket"]
             if k < 0:
                 x = slice(*np.searchsorted(in_range, [-1 - k, -k]))
-                whole_run[x], first_two[x] = unpack_array(r["counts"], "<i8"), unpack_array(r["logs"], "<i8")
+                whole_run[x], first_two[x] = from_planes(r["counts"], "<i8"), from_planes(r["logs"], "<i8")
                 continue
             x = by_bucket[slice(*np.searchsorted(dealt, [k, k + 1]))]
             count[x], log[x] = unpack_array(r["counts"], "<i8"), unpack_array(r["logs"], "<f8")
