@@ -61,6 +61,13 @@ def best_field(units: DataFrame, queries: DataFrame, id_col: str, boosts: dict[s
     return reduce(DataFrame.unionByName, fields).groupBy("query_id", "id").agg(F.max("score").alias("score"))
 
 
+def weighted_clauses(units: DataFrame, clauses: dict[str, tuple[DataFrame, float]], id_col: str, text_col: str) -> DataFrame:
+    """query_id, id, score: the weighted sum of clauses. Each has questions of its own (query_id, text) and a weight; a unit
+    that fits some clauses only has their part."""
+    parts = [bm25_scores(units, asked, id_col, text_col).withColumn("score", F.col("score") * float(w)) for asked, w in clauses.values()]
+    return reduce(DataFrame.unionByName, parts).groupBy("query_id", "id").agg(F.sum("score").alias("score"))
+
+
 def top_k(df: DataFrame, by: list[str], order: Column, tie: str, k: int) -> DataFrame:
     """The k first rows of each group with their rank; Spark cuts groups before the shuffle."""
     w = Window.partitionBy(*by).orderBy(order, tie)
