@@ -13,6 +13,7 @@ from docloom.operators import retrieval as S
 from docloom.plans.analytics import CHUNKS, DOCS
 from docloom.plans.enrichment import STOPS
 from docloom.plans.retrieval import _bm25, _questions
+from docloom.session import settle
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -78,7 +79,7 @@ def routed_answers(spark, d):
     chunks = I.numbered_sections(corpus.chunks(spark, d), (n != 0) & (F.col("chunk_index") % 4 == n))
     units = corpus.chunks(spark, d).select(F.struct("document_id", "chunk_index").alias("unit"), "content")
     asked = _asked(spark, d).withColumn("keywords", I.keywords(F.col("text"), T.STOP_WORDS))
-    scores = S.bm25_scores(units, _questions(spark, d), "unit", "content").withColumnRenamed("query_id", "item")
+    scores = settle(S.bm25_scores(units, _questions(spark, d), "unit", "content").withColumnRenamed("query_id", "item"))  # read by several strategies
     scores = scores.join(asked.select("item", "query_id"), "item").select("query_id", "id.*", "score")
     return I.answers(asked, chunks, scores).withColumn("score", F.round("score", 6))
 
