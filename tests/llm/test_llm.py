@@ -475,6 +475,21 @@ def test_ann_graph_settles_and_grows(spark):
     assert a.k < b.k and a.starts < b.starts and a.beam < b.beam and a.entries < b.entries
 
 
+def test_ann_work_grows_little_faster_than_the_rows(spark):
+    """A hundred times the nodes may not cost a query many times the nodes scored; the graph has the recall by itself."""
+    a, b = ann.sizes(10_000), ann.sizes(1_000_000)
+    assert b.beam * b.k <= 4 * a.beam * a.k and b.k**2 <= 6 * a.k**2
+    x = np.random.default_rng(4).standard_normal((2500, 64))
+    nodes = spark.createDataFrame(_small(x), "id bigint, small binary")
+    asked = nodes.filter("id % 50 = 0").select(F.col("id").alias("q"), F.col("small").alias("qsmall"))
+    found: dict = {}
+    for r in ann.greedy_search(asked, nodes, ann.neighbour_graph(nodes)).collect():
+        found.setdefault(r.u, set()).add(r.v)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    true = {q: set(np.argsort(-(u @ u[q]))[1:6].tolist()) for q in found}
+    assert len(found) == 50 and sum(len(true[q] & found[q]) for q in found) >= 0.9 * 250
+
+
 def test_sentencepiece_round_trip_and_best(spark, docs):
     coded = sentencepiece_codec.encode_pieces(docs)
     back = sentencepiece_codec.decode_pieces(coded, out="again").select("text", "again").collect()
