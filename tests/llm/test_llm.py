@@ -680,6 +680,26 @@ def test_near_copies_brute_force(spark):
     assert kept == {min(g) for g in want.values()}
 
 
+def test_near_copies_come_from_simhash(spark, monkeypatch):
+    """Without any band, fingerprints within two bits link what they can reach, verified by the sets."""
+    rng = np.random.default_rng(12)
+    texts = []
+    for base in range(6):
+        words = [f"b{base}w{i}" for i in rng.integers(0, 5000, 1500)]
+        texts += [" ".join(words), " ".join([*words[:-1], "changed"])]
+    short = [" ".join(f"s{i}{j}" for j in range(6)) for i in range(4)]
+    df = spark.createDataFrame([*enumerate(texts + short), (99, None)], "doc_id bigint, text string")
+    sets = near_copies._shingles([t.encode() for t in texts])
+    fps = near_copies._fingerprints(sets)
+    for s, f in zip(sets, fps.tolist(), strict=True):
+        assert f == sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in s.tolist()) > len(s))
+    near = {i for i in range(0, 12, 2) if (int(fps[i]) ^ int(fps[i + 1])).bit_count() <= 2}
+    monkeypatch.setattr(near_copies, "_shared", lambda batches: (b.slice(0, 0) for b in batches))
+    root = {r.id: r.root for r in near_copies.near_copy_groups(df).collect()}
+    assert near and {i for i in range(0, 12, 2) if root[i] == root[i + 1]} == near
+    assert root.pop(99) is None and len(set(root.values())) == 16 - len(near)
+
+
 def test_near_copies_keeps_rows_by_row(spark):
     import corpus_pipeline
 
