@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime
 import hashlib
+import time
 import zlib
 from collections import Counter
 
@@ -748,3 +749,25 @@ def test_one_id_with_several_vectors(spark):
     rows = [(1, [1.0, 0.0], 0), (1, [0.0, 1.0], 0), (2, [1.0, 0.01], 0), (3, [0.01, 1.0], 0), (4, [-1.0, 0.0], 0), (1, [1.0, 0.0], 0), (9, [0.0, 1.0], 1)]
     got = sorted(tuple(r) for r in embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id int, embedding array<double>, label int")).collect())
     assert got == [(1, 1, 1, True), (1, 2, 1, True), (1, 2, 1, True), (2, 2, 1, False), (3, 1, 1, False), (4, 0, 4, True), (9, 0, 9, True)]
+
+
+def test_near_copies_leave_no_shuffle_files(spark):
+    """Rounds read only what was materialized, so their shuffles do not pile up until the driver collects garbage."""
+
+    def shuffles():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {f for i in range(files.size()) if (f := files.apply(i).getName()).startswith("shuffle_")}
+
+    texts = [" ".join([*(f"b{i // 4}w{j}" for j in range(60)), f"end{i}"]) for i in range(40)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, set_to = shuffles(), spark.conf.get(name, None)
+    groups = near_copies.near_copy_groups(df)
+    for _ in range(50):  # files go in the background
+        if shuffles() <= before:
+            break
+        time.sleep(0.1)
+    assert shuffles() <= before
+    assert spark.conf.get(name, None) == set_to
+    root = {r.id: r.root for r in groups.collect()}
+    assert len(set(root.values())) == 10 and all(root[i] == root[i - i % 4] for i in root)
