@@ -3,12 +3,16 @@
 An inner product is (|q|^2 + |c|^2 - |q - c|^2) / 2, and |q - c| is at least |d(q, p) - d(c, p)| for every pivot p.
 So the table bounds every score from above. Candidates are dealt into cells by their nearest pivot, large cells into
 blocks. A query first searches one block of its own cell, which gives a score to beat; then it goes to the blocks of
-those cells only whose range of distances lets them beat it. In a block candidates are evaluated from the highest bound
-down until the next bound is below the k-th score found.
+those cells only whose range of distances lets them beat it. In its own block candidates are evaluated from the highest
+bound down until the next bound is below the k-th score found. In the others there is a score to beat, and pivots together
+bound more than one by one: the parts of two vectors within the pivots' span give their share of the score, and what is
+left of them adds at most the product of its lengths. Matrix products bound many queries and a block at once so, and only
+pairs whose bound reaches the score to beat are evaluated.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable
 
 import numpy as np
@@ -22,6 +26,8 @@ from docloom.llm.vectors import integers, is_finite, padded_rows
 K, SCALE = 20, 64
 #: Pivots lie far from each other within a sample of at most SAMPLE vectors.
 PIVOTS, SAMPLE = 32, 4096
+#: The span is that of as many pivots as this share of the components, and of SPAN_MOST at most.
+SPAN, SPAN_MOST = 7 / 8, 256
 #: Most candidates, and about the most queries, that meet in one task at a time.
 BLOCK = 16_384
 _QUERIES = 128  # whose bounds are computed at once
@@ -29,6 +35,9 @@ _LONG = 1 << 63
 _LEAST = -_LONG
 #: More than the rounding of a distance kept in single precision, as a share of it.
 _ROUNDING = 2.0**-20
+#: From this share of pairs left on, one matrix product evaluates them faster than each by itself.
+_DENSE = 1 / 32
+_GATHERED = 1 << 22  # components of pairs evaluated by themselves, at a time
 
 
 def _norms(x: np.ndarray) -> np.ndarray:
@@ -52,17 +61,31 @@ def _far_apart(x: np.ndarray, n: int) -> np.ndarray:
     return x[chosen]
 
 
+def _span(pivots: np.ndarray) -> np.ndarray:
+    """Orthonormal columns whose span holds the pivots."""
+    return np.linalg.qr(pivots.astype(np.float64).T)[0]
+
+
+def _in_span(x: np.ndarray, span: np.ndarray) -> np.ndarray:
+    """Rows whose products are not below those of x: the part within the span, the length of the rest, room for rounding."""
+    y = x.astype(np.float64)
+    norms, inside = _norms(y), y @ span
+    rest = np.sqrt(np.maximum(norms - _norms(inside), 0) + 1e-10 * norms)
+    room = np.sqrt((span.shape[1] + 8) * 2.0**-23 * norms)
+    return np.column_stack((inside, rest, room)).astype(np.float32)
+
+
 class _Block:
     """Candidates of one block, by id (nulls last), then key: the order of ties."""
 
-    def __init__(self, table: pa.Table, width: int, exact: bool) -> None:
+    def __init__(self, table: pa.Table, width: int, dtype: type, span: np.ndarray | None) -> None:
         table = table.sort_by([("id", "ascending"), ("key", "ascending")])
         self.ids, self.keys = table.column("id"), table.column("key").to_numpy()
         x = padded_rows(table.column("v"), width)
         self.norms = _norms(x)
-        self.x = x.astype(np.float64 if exact else object)
-        self.far = padded_floats(table.column("far"))
-        self.exact = exact
+        self.x, self.exact = x.astype(dtype), dtype is not object
+        self.far = padded_floats(table.column("far")) if span is None and self.exact else None
+        self.flat = None if span is None else _in_span(x, span)
 
     def bounds(self, norms: np.ndarray, far: np.ndarray) -> np.ndarray:
         """No score of a query (row) with a candidate (column) is above this. Without exact floats nothing is ruled out."""
@@ -92,6 +115,34 @@ class _Block:
         good = (scores >= beat).astype(bool)
         return at[good], [int(s) for s in scores[good]]
 
+    def open(self, flat: np.ndarray, beats: np.ndarray) -> np.ndarray:
+        """Whether a query (row) may score ``beats`` at least with a candidate (column), by their parts in the span."""
+        return flat @ self.flat.T >= np.nextafter(beats.astype(np.float32), np.float32(-np.inf))[:, None]
+
+    def scan(self, x: np.ndarray, keys: np.ndarray, beats: np.ndarray, flat: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """As best, for all queries at once: numbers of queries, places and scores."""
+        left = self.open(flat, beats)
+        if np.count_nonzero(left) < _DENSE * left.size:
+            of, at = np.nonzero(left)
+            step = max(1, _GATHERED // x.shape[1])
+            parts = [slice(p, p + step) for p in range(0, max(1, len(of)), step)]
+            scores = np.concatenate([np.einsum("ij,ij->i", x[of[p]], self.x[at[p]]) for p in parts])
+        else:
+            every = x @ self.x.T
+            of, at = np.nonzero(left & (every >= beats.astype(every.dtype)[:, None]))
+            scores = every[of, at]
+        good = (scores >= beats[of]) & (self.keys[at] != keys[of])
+        of, at, scores = of[good], at[good], scores[good].astype(np.int64)
+        ends = np.cumsum(np.bincount(of, minlength=len(x)))
+        good = np.ones(len(of), bool)
+        for i, j in zip((ends - np.diff(ends, prepend=0)).tolist(), ends.tolist(), strict=True):
+            if j - i > k:
+                kth = np.partition(scores[i:j], j - i - k)[j - i - k]
+                above = scores[i:j] > kth
+                above[np.flatnonzero(scores[i:j] == kth)[: k - np.count_nonzero(above)]] = True
+                good[i:j] = above
+        return of[good], at[good], scores[good]
+
 
 def padded_floats(col: pa.ChunkedArray | pa.Array) -> np.ndarray:
     if isinstance(col, pa.ChunkedArray):
@@ -100,7 +151,7 @@ def padded_floats(col: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return flat.reshape(len(col), -1)
 
 
-def _searcher(width: int, exact: bool, k: int):
+def _searcher(width: int, dtype: type, k: int, span: np.ndarray | None):
     """Reads the candidates and then the queries of one block after the other."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
@@ -117,27 +168,28 @@ def _searcher(width: int, exact: bool, k: int):
                     waiting.append(b.slice(i, j - i))
                     continue
                 if waiting:
-                    block, waiting = _Block(pa.Table.from_batches(waiting), width, exact), []
+                    block, waiting = _Block(pa.Table.from_batches(waiting), width, dtype, span), []
                 if block is not None:
                     for at in range(i, j, _QUERIES):
-                        yield _answer(block, b.slice(at, min(_QUERIES, j - at)), width, exact, k)
+                        yield _answer(block, b.slice(at, min(_QUERIES, j - at)), width, k, span)
 
     return run
 
 
-def _answer(block: _Block, queries: pa.RecordBatch, width: int, exact: bool, k: int) -> pa.RecordBatch:
+def _answer(block: _Block, queries: pa.RecordBatch, width: int, k: int, span: np.ndarray | None) -> pa.RecordBatch:
     x, keys = padded_rows(queries.column("v"), width), queries.column("key").to_numpy()
-    bounds = block.bounds(_norms(x), padded_floats(queries.column("far")))
-    x = x.astype(np.float64 if exact else object)
-    beats = queries.column("beat").to_pylist()
-    found = [block.best(x[i], int(keys[i]), beats[i], bounds[i], k) for i in range(len(keys))]
-    sizes = [len(at) for at, _ in found]
-    at = pa.array(np.concatenate([at for at, _ in found])) if found else pa.array([], pa.int64())
-    of = np.repeat(np.arange(len(keys)), sizes)
-    ids = block.ids.take(at)
+    if span is None:
+        bounds = block.bounds(_norms(x), padded_floats(queries.column("far")) if block.exact else None)
+        beats, q = queries.column("beat").to_pylist(), x.astype(block.x.dtype)
+        found = [block.best(q[i], int(keys[i]), beats[i], bounds[i], k) for i in range(len(keys))]
+        of, at = np.repeat(np.arange(len(keys)), [len(y) for y, _ in found]), np.concatenate([y for y, _ in found])
+        scores = [s for _, y in found for s in y]
+    else:
+        of, at, scores = block.scan(x.astype(block.x.dtype), keys, queries.column("beat").to_numpy(), _in_span(x, span), k)
+    ids = block.ids.take(pa.array(at))
     return pa.RecordBatch.from_arrays(
         [queries.column("key").take(pa.array(of)), queries.column("id").take(pa.array(of)), ids.combine_chunks() if isinstance(ids, pa.ChunkedArray) else ids,
-         pa.array(block.keys[at.to_numpy()]), pa.array([s for _, y in found for s in y], pa.int64())],
+         pa.array(block.keys[at]), pa.array(scores, pa.int64())],
         names=["query", "query_id", "id", "key", "score"],
     )
 
@@ -161,7 +213,10 @@ def top_k(
     size = rows.agg(F.max(F.size("v")).alias("width"), F.max(F.greatest(F.abs(F.array_max("v")), F.abs(F.array_min("v")))).alias("most")).first()
     width, most = max(size.width or 1, 1), size.most or 0
     exact = 4 * most * most * width < 1 << 40
-    chosen = _far_apart(padded_rows(sample.column(0), width), pivots) if len(sample) else np.zeros((1, width), np.int64)
+    dtype = object if not exact else np.float32 if most * most * width < 1 << 24 else np.float64  # whose sums of products are exact
+    many = min(math.ceil(SPAN * width), SPAN_MOST)
+    chosen = _far_apart(padded_rows(sample.column(0), width), max(pivots, many)) if len(sample) else np.zeros((1, width), np.int64)
+    chosen, span = chosen[:pivots], _span(chosen[:many]) if exact else None
     m = len(chosen)
 
     def measure(batches):
@@ -170,10 +225,11 @@ def top_k(
             flat = pa.ListArray.from_arrays(np.arange(0, far.size + 1, m, dtype=np.int32), far.astype(np.float32).ravel())
             yield pa.RecordBatch.from_arrays([*b.columns, flat, pa.array(far.argmin(axis=1).astype(np.int32)), pa.array(_norms(padded_rows(b.column(2), width)))], names=[*b.schema.names, "far", "cell", "norm"])
 
+    whole = "int" if exact else "bigint"
     table = materialize(
         rows.withColumn("key", F.monotonically_increasing_id())
-        .select("id", "asks", "v", "key")
-        .mapInArrow(measure, f"id {kind}, asks boolean, v array<bigint>, key bigint, far array<float>, cell int, norm double")
+        .select("id", "asks", F.col("v").cast(f"array<{whole}>"), "key")
+        .mapInArrow(measure, f"id {kind}, asks boolean, v array<{whole}>, key bigint, far array<float>, cell int, norm double")
     )
     ends = [f"{f}(far[{p}]) as {f}{p}" for f in ("min", "max") for p in range(m)]
     cells = table.groupBy("cell").agg(*map(F.expr, ["count(*) as n", "count_if(asks) as asks", "max(norm) as norm", *ends])).orderBy("cell").collect()
@@ -191,11 +247,11 @@ def top_k(
     asked = table.filter("asks").select("cell", home.alias("salt"), group.alias("grp"), F.lit(1).alias("kind"), "key", "id", "v", "far")
     out = f"query bigint, query_id {kind}, id {kind}, key bigint, score bigint"
 
-    def search(queries: DataFrame) -> DataFrame:
+    def search(candidates: DataFrame, queries: DataFrame, span: np.ndarray | None) -> DataFrame:
         met = candidates.unionByName(queries.select(*candidates.columns))
-        return met.repartition("cell", "salt", "grp").sortWithinPartitions("cell", "salt", "grp", "kind").mapInArrow(_searcher(width, exact, k), out)
+        return met.repartition("cell", "salt", "grp").sortWithinPartitions("cell", "salt", "grp", "kind").mapInArrow(_searcher(width, dtype, k, span), out)
 
-    near = materialize(search(asked.withColumn("beat", F.lit(_LEAST).cast("bigint"))))
+    near = materialize(search(candidates, asked.withColumn("beat", F.lit(_LEAST).cast("bigint")), None))
     to_beat = near.groupBy(F.col("query").alias("q")).agg(F.when(F.count("*") >= k, F.min("score")).alias("kth"))
     asked = asked.join(to_beat, F.col("key") == F.col("q"), "left").select(*asked.columns, F.coalesce("kth", F.lit(_LEAST).cast("bigint")).alias("beat"))
 
@@ -214,8 +270,8 @@ def top_k(
                     t = b.take(pa.array(at))
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), cell, np.int32)), pa.array(np.full(len(at), s, np.int32)), *t.columns[2:]], names=b.schema.names)
 
-    visits = asked.mapInArrow(visit, asked.schema)
-    found = near.unionByName(search(visits))
+    visits = asked.mapInArrow(visit, asked.schema).drop("far")
+    found = near.unionByName(search(candidates.drop("far"), visits, span))
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), F.col("id").asc_nulls_last(), "key"))
     best = found.withColumn("rank", rank).filter(F.col("rank") <= k)
     return best.select("query_id", "rank", F.col("id").alias(id_col), "score")

@@ -7,6 +7,7 @@ import math
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from docloom.llm import merkle_manifest, pivot_search, vector_codes
 from pyspark.sql import functions as F
@@ -144,6 +145,37 @@ def test_pivot_bounds_hold_and_rule_out():
     assert (bound < np.sort(score, axis=1)[:, -5:-4]).mean() > 0.5
 
 
+@pytest.mark.parametrize("scale,block", [(1.0, 40), (300.0, 16), (300.0, 40)])
+def test_pivot_search_across_blocks(spark, scale, block):
+    """Blocks with and without a score to beat, in single and in double precision."""
+    test_pivot_search_by_brute_force(spark, scale, block, 5)
+
+
+def test_pivot_span_rules_out_without_clusters():
+    """Pivots one by one rule out little here; their span leaves few pairs, and all that reach the score to beat."""
+    rng = np.random.default_rng(7)
+    x = rng.standard_normal((3000, 64))
+    x = np.floor(64 * x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.int64)
+    x[95:125] = x[95]
+    chosen = pivot_search._far_apart(x[1000:2000], 56)
+    span, far = pivot_search._span(chosen), pivot_search._to_pivots(x, chosen[:32]).astype(np.float32)
+    table = pa.table({"id": np.arange(3000), "key": np.arange(3000), "v": list(x), "far": list(far)})
+    alone, block = (pivot_search._Block(table, 64, np.float32, s) for s in (None, span))
+    q, score = x[:100], x[:100] @ x.T
+    beats = np.sort(score, axis=1)[:, -20]
+    left = block.open(pivot_search._in_span(q, span), beats)
+    assert (left | (score < beats[:, None])).all() and left.mean() < 0.15
+    assert (alone.bounds(alone.norms[:100], far[:100]) >= beats[:, None]).mean() > 0.9
+    flat = pivot_search._in_span(q, span)
+    for n, dense in ((20, True), (1, False)):  # by one matrix product and pair by pair
+        beats = np.sort(score, axis=1)[:, -n]
+        assert (block.open(flat, beats).mean() >= pivot_search._DENSE) == dense
+        of, at, found = block.scan(q.astype(np.float32), np.where(np.arange(100) < 90, -1, np.arange(100)), beats, flat, 20)
+        for i in range(100):
+            best = [j for j in sorted(range(3000), key=lambda j: (-score[i, j], j)) if score[i, j] >= beats[i] and (i < 90 or i != j)][:20]  # noqa: B023
+            assert sorted(at[of == i].tolist()) == sorted(best) and (found[of == i] == score[i, at[of == i]]).all()
+
+
 def test_walsh_is_by_sign_changes_and_keeps_distances():
     h = vector_codes.walsh(np.eye(8, dtype=np.int64)).T
     assert [(np.diff(r) != 0).sum() for r in h] == list(range(8))
