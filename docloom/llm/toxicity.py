@@ -11,15 +11,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm.common import add_columns, crc_fold, mix64, sliced, words_of
+from docloom.llm.common import add_columns, crc_fold, mix64, release, sliced, words_of
 
 #: Bounds of the fitted sample: labelled documents of each class, chosen by a hash of their ids, and
 #: bytes of their texts; a document that would pass the latter, and those behind it, are not fitted.
 SAMPLE_DOCS, SAMPLE_BYTES = 3000, 64 << 20
 FOLDS, HELD_OUT = 4, 2
 THRESHOLD = 0.3
-#: Bytes of sampled text whose tokens the fit holds at once.
-_FIT_BYTES = 2 << 20
+#: Bytes of text whose tokens are held at once, and tokens of one step of the fit.
+_FIT_BYTES, _FIT_TOKENS = 2 << 20, 1 << 17
 
 #: A-Z to lower case and ASCII signs to spaces, byte for byte, so that offsets hold in the text.
 _TABLE = bytes(
@@ -46,7 +46,7 @@ def tokens_of(texts: list[bytes]) -> Tokens:
     if not len(w.hash):
         e = np.zeros(0, np.int64)
         return Tokens(e, e, e, w.hash, np.zeros(0, bool), e)
-    stops = np.concatenate(([0], np.cumsum(_STOPS[raw])))[w.start]
+    stops = np.searchsorted(np.flatnonzero(_STOPS[raw]), w.start)  # how many stand before the token
     new = np.concatenate(([True], (np.diff(stops) != 0) | (np.diff(w.doc) != 0)))
     first = raw[w.start]
     return Tokens(w.start, w.end, w.doc, w.hash, (first >= 65) & (first <= 90) & (w.end - w.start > 1) & (raw[w.end - 1] >= 65) & (raw[w.end - 1] <= 90), np.cumsum(new) - 1)
@@ -141,27 +141,44 @@ def _document_counts(texts: list[bytes], toxic: np.ndarray) -> tuple[np.ndarray,
     return w, np.bincount(at, np.concatenate(d1), len(w)), np.bincount(at, np.concatenate(d0), len(w))
 
 
-def _distinct(code: np.ndarray, length: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Equal sequences of token codes joined into one, their counts added."""
-    if not len(length):
-        return code, length, times
+def _sequence_hashes(code: np.ndarray, length: np.ndarray) -> np.ndarray:
     first = np.cumsum(length) - length
     place = np.arange(len(code)) - np.repeat(first, length)
     h = np.add.reduceat(mix64(mix64(code.astype(np.uint64)) + place.astype(np.uint64)), first)
-    _, one, at = np.unique(mix64(h + length.astype(np.uint64)), return_index=True, return_inverse=True)
-    n = length[one]
-    pick = np.repeat(first[one] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-    return code[pick], n, np.bincount(at, times).astype(np.int64)
+    return mix64(h + length.astype(np.uint64))
 
 
-def _sequences(texts: list[bytes], toxic: np.ndarray, chain: Chain, labelled: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The distinct sequences of all texts: codes (4 word + 2 label + shout), lengths, counts."""
-    parts = [(np.zeros(0, np.int64),) * 3]
+def _picked(code: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The codes of the sequences that begin at ``first`` and have ``n`` tokens, one after the other."""
+    return code[np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+
+
+def _sequences(texts: list[bytes], toxic: np.ndarray, chain: Chain, labelled: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The distinct sequences of all texts, longest first, in parts of about _FIT_TOKENS tokens: codes
+    (4 word + 2 label + shout), lengths, counts."""
+    kind = np.int32 if 4 * len(chain.words) + 4 < 1 << 31 else np.int64
+    found = [(np.zeros(0, kind), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64))]
     for i, j in _blocks(texts):
         t = tokens_of(texts[i:j])
+        if not len(t.seq):
+            continue
         y = np.isin(t.hash, labelled) & toxic[i:j][t.doc]
-        parts.append(_distinct(4 * chain.index(t.hash) + 2 * y + t.shout, np.bincount(t.seq), np.ones(int(t.seq[-1]) + 1 if len(t.seq) else 0, np.int64)))
-    return _distinct(*(np.concatenate([p[k] for p in parts]) for k in range(3)))
+        code, length = (4 * chain.index(t.hash) + 2 * y + t.shout).astype(kind), np.bincount(t.seq)
+        h, one, times = np.unique(_sequence_hashes(code, length), return_index=True, return_counts=True)
+        found.append((_picked(code, (np.cumsum(length) - length)[one], length[one]), length[one], h, times))
+    code, length, h, times = (np.concatenate([f[k] for f in found]) for k in range(4))
+    _, one, at = np.unique(h, return_index=True, return_inverse=True)
+    order = np.argsort(-length[one], kind="stable")
+    one, times = one[order], np.bincount(at, times).astype(np.int64)[order]
+    first, length = (np.cumsum(length) - length)[one], length[one]
+    cuts = np.flatnonzero(np.diff((np.cumsum(length) - length) // _FIT_TOKENS)) + 1
+    return [(_picked(code, f, n), n, k) for f, n, k in zip(*(np.split(x, cuts) for x in (first, length, times)), strict=True) if len(n)]
+
+
+def _tokens_of_part(code: np.ndarray, length: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Each token's word, label, shout, sequence and count, and the tokens that have a successor in their sequence."""
+    seq = np.repeat(np.arange(len(length)), length)
+    return code >> 2, code >> 1 & 1, code & 1, seq, np.repeat(times, length), np.flatnonzero(np.diff(seq) == 0)
 
 
 def fit_tokens(texts: list[bytes], toxic: np.ndarray, share: float, rounds: int = 150) -> Chain:
@@ -170,6 +187,7 @@ def fit_tokens(texts: list[bytes], toxic: np.ndarray, share: float, rounds: int
     Token labels come from the document labels: words that occur in several times more toxic than
     clean documents, significantly so, are toxic where they stand in a toxic document. A sequence
     that the chain cannot tell from another counts as that one again, which gives the same gradient.
+    The gradient is added up part by part, so that only one part's arrays are held.
     """
     n1, n0 = max(int(toxic.sum()), 1), max(int((~toxic).sum()), 1)
     words, d1, d0 = _document_counts(texts, toxic)
@@ -181,30 +199,36 @@ def fit_tokens(texts: list[bytes], toxic: np.ndarray, share: float, rounds: int
     chain.weight[-1] = -6.0
     if not len(words):
         return _fit_documents(chain, texts, toxic, share)
-    code, length, times = _sequences(texts, toxic, chain, words[labelled])
-    idx, y, shout = code >> 2, code >> 1 & 1, code & 1
-    seq, n = np.repeat(np.arange(len(length)), length), np.repeat(times, length)
-    inner = np.flatnonzero(np.diff(seq) == 0)  # tokens that have a successor in their sequence
+    parts = _sequences(texts, toxic, chain, words[labelled])
     kinds = len(chain.weight)
-    has = np.bincount(idx, n * y, kinds)
-    seen = np.bincount(idx, n, kinds)
-    pairs = np.bincount(y[inner] * 2 + y[inner + 1], n[inner], 4)
-    shouts, shouted, inners = (n * shout).sum(), float((n * y * shout).sum()), n[inner].sum()
+    has, seen, pairs = np.zeros(kinds), np.zeros(kinds), np.zeros(4)
+    shouts, shouted, inners = 0, 0.0, 0
+    for part in parts:
+        idx, y, shout, _, n, inner = _tokens_of_part(*part)
+        has += np.bincount(idx, n * y, kinds)
+        seen += np.bincount(idx, n, kinds)
+        pairs += np.bincount(y[inner] * 2 + y[inner + 1], n[inner], 4)
+        shouts, shouted, inners = shouts + (n * shout).sum(), shouted + float((n * y * shout).sum()), inners + n[inner].sum()
     theta = np.concatenate((chain.weight, [0.0], np.zeros(4)))
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     for i in range(1, rounds + 1):  # Adam on the log-likelihood, each gradient scaled by its own count
         w, step = theta[:kinds], theta[kinds + 1 :].reshape(2, 2)
-        odds = np.exp(w[idx] + theta[kinds] * shout)
-        fwd, bwd = forward_backward(odds, seq, step)
-        p = n * (fwd * bwd / (1 + fwd * bwd))
-        a, b = fwd[inner], odds[inner + 1] * bwd[inner + 1]
         c = np.exp(step)
-        joint = np.stack((np.full(len(a), c[0, 0]), b * c[0, 1], a * c[1, 0], a * b * c[1, 1]), axis=1)
-        joint = (joint * (n[inner] / joint.sum(axis=1))[:, None]).sum(axis=0)
+        mass, loud, joint = np.zeros(kinds), 0.0, np.zeros(4)
+        for part in parts:
+            idx, _, shout, seq, n, inner = _tokens_of_part(*part)
+            odds = np.exp(w[idx] + theta[kinds] * shout)
+            fwd, bwd = forward_backward(odds, seq, step)
+            a, b = fwd[inner], odds[inner + 1] * bwd[inner + 1]
+            q = n[inner] / (c[0, 0] + b * c[0, 1] + a * c[1, 0] + a * b * c[1, 1])
+            joint += [c[0, 0] * q.sum(), c[0, 1] * (b * q).sum(), c[1, 0] * (a * q).sum(), c[1, 1] * (a * b * q).sum()]
+            p = n * (fwd * bwd / (1 + fwd * bwd))
+            mass += np.bincount(idx, p, kinds)
+            loud += float((p * shout).sum())
         grad = np.concatenate(
             (
-                (has - np.bincount(idx, p, kinds)) / (seen + 1) - 1e-3 * w,
-                [(shouted - float((p * shout).sum())) / (shouts + 1)],
+                (has - mass) / (seen + 1) - 1e-3 * w,
+                [(shouted - loud) / (shouts + 1)],
                 (pairs - joint) / (inners + 1) - 1e-3 * step.ravel(),
             )
         )
@@ -275,6 +299,8 @@ def fit_toxicity(
                     rows.append((r["id"], text, r["y"] > 0))
         rows.sort()
         chain = fit_tokens([t for _, t, _ in rows], np.array([y for *_, y in rows], bool), share)
+        rows.clear()
+        release()
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(chain)], pa.binary())], names=["model"])
 
     sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).join(F.broadcast(ids), "id")
@@ -284,6 +310,24 @@ def fit_toxicity(
     return pickle.loads(row["model"]) if row else fit_tokens([], np.zeros(0, bool), share)
 
 
+def score_texts(chain: Chain, texts: list[bytes], threshold: float = THRESHOLD) -> list[pa.Array]:
+    """Scores, decisions and spans of the texts."""
+    parts: list[list[pa.Array]] = []
+    for i, j in list(_blocks(texts)) or [(0, 0)]:
+        block = texts[i:j]
+        t = tokens_of(block)
+        p = marginals(chain, t)
+        x = document_features(p, t.doc, j - i) / chain.scale
+        score = 1 / (1 + np.exp(-x @ chain.doc))
+        hit = np.flatnonzero(p >= 0.5)
+        doc = t.doc[hit]
+        base = np.cumsum([0] + [len(a) + 1 for a in block])[doc]
+        fields = {"start": pa.array(t.start[hit] - base, pa.int64()), "end": pa.array(t.end[hit] - base, pa.int64()), "p": pa.array(p[hit])}
+        spans = pa.ListArray.from_arrays(pa.array(np.searchsorted(doc, np.arange(j - i + 1)), pa.int32()), pa.StructArray.from_arrays(list(fields.values()), list(fields)))
+        parts.append([pa.array(score), pa.array((score >= threshold).astype(np.int32)), spans])
+    return [pa.concat_arrays([x[k] for x in parts]) for k in range(3)]
+
+
 def score_toxicity(docs: DataFrame, chain: Chain, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """Add ``score``, ``predicted`` and ``spans`` (start, end in UTF-8 bytes, and marginal) to all rows.
 
@@ -292,19 +336,7 @@ def score_toxicity(docs: DataFrame, chain: Chain, text_col: str = "text", thresh
     """
 
     def run(arrays: list[pa.Array]) -> list[pa.Array]:
-        texts = [x or b"" for x in arrays[0].cast(pa.binary()).to_pylist()]
-        t = tokens_of(texts)
-        p = marginals(chain, t)
-        x = document_features(p, t.doc, len(texts)) / chain.scale
-        score = 1 / (1 + np.exp(-x @ chain.doc))
-        hit = np.flatnonzero(p >= 0.5)
-        base = np.cumsum([0] + [len(a) + 1 for a in texts])
-        spans: list[list[dict]] = [[] for _ in texts]
-        for i in hit.tolist():
-            d = int(t.doc[i])
-            spans[d].append({"start": int(t.start[i] - base[d]), "end": int(t.end[i] - base[d]), "p": float(p[i])})
-        kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("p", pa.float64())]))
-        return [pa.array(score), pa.array((score >= threshold).astype(np.int32)), pa.array(spans, kind)]
+        return score_texts(chain, [x or b"" for x in arrays[0].cast(pa.binary()).to_pylist()], threshold)
 
     return add_columns(
         docs, [text_col], "score double; predicted int; spans array<struct<start: bigint, end: bigint, p: double>>", run

@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime
 import hashlib
 import time
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -269,6 +270,52 @@ def test_toxicity(spark, docs, none):
     assert toxicity.score_toxicity(docs, toxicity.fit_toxicity(none, labels.limit(0))).count() == docs.count()
 
 
+def _peak(f) -> int:
+    """The most bytes that f holds at once."""
+    tracemalloc.start()
+    try:
+        f()
+        return tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_toxicity_holds_little():
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"{"vwww"[i % 4]}{k}" + "." * (k % 9 == 0) for k in rng.integers(0, 30_000, 2000).tolist()).encode() for i in range(800)]
+    toxic = np.arange(800) % 4 > 0
+    size = sum(map(len, texts))
+    peak = _peak(lambda: toxicity.fit_tokens(texts, toxic, 0.5, rounds=1))
+    assert peak < 8 * size  # one part's arrays besides the codes of all tokens
+    chain = toxicity.fit_tokens(texts[:20], toxic[:20], 0.5, rounds=1)
+    long = [b"word " * 2_000_000]  # one text is one block
+    assert _peak(lambda: toxicity.tokens_of(long)) < 16 * len(long[0])
+    assert _peak(lambda: toxicity.score_texts(chain, texts)) < 8 * size
+
+
+def test_toxicity_by_parts(monkeypatch):
+    """Blocks of texts and parts of sequences change neither the model nor the scores and spans."""
+    rng = np.random.default_rng(5)
+    texts = [" ".join(("vermin" if i % 2 and k < 4 else f"w{k}") + "." * (k % 7 == 0) for k in rng.integers(0, 60, 40).tolist()).encode() for i in range(120)]
+    texts += [b"", b"   ", "\u00e9t\u00e9 vermin".encode()]
+    toxic = np.arange(len(texts)) % 2 == 1
+    one = toxicity.fit_tokens(texts, toxic, 0.3, rounds=20)
+    want = toxicity.score_texts(one, texts)
+    monkeypatch.setattr(toxicity, "_FIT_BYTES", 500)
+    monkeypatch.setattr(toxicity, "_FIT_TOKENS", 30)
+    many = toxicity.fit_tokens(texts, toxic, 0.3, rounds=20)
+    assert (one.words == many.words).all() and np.allclose(one.weight, many.weight) and np.allclose(one.step, many.step) and np.allclose(one.doc, many.doc)
+    got = toxicity.score_texts(one, texts)
+    assert np.allclose(got[0].to_numpy(), want[0].to_numpy()) and got[1].equals(want[1])
+    assert [[(x["start"], x["end"]) for x in r] for r in got[2].to_pylist()] == [[(x["start"], x["end"]) for x in r] for r in want[2].to_pylist()]
+    spans = got[2].to_pylist()
+    for text, row, block in zip(texts, spans, (toxicity.tokens_of([t]) for t in texts), strict=True):
+        p = toxicity.marginals(one, block)
+        hit = [(int(block.start[k]), int(block.end[k])) for k in np.flatnonzero(p >= 0.5)]
+        assert [(x["start"], x["end"]) for x in row] == hit and all(text[a:z].strip() == text[a:z] for a, z in hit)
+    assert any(spans) and [len(x) for x in toxicity.score_texts(one, [])] == [0, 0, 0]
+
+
 def test_forward_backward_brute_force():
     rng = np.random.default_rng(0)
     odds, step, seq = np.exp(rng.standard_normal(6)), rng.standard_normal((2, 2)), np.array([0, 0, 0, 0, 1, 1])
