@@ -348,6 +348,7 @@ def remove_repeats(
         )
 
     def trees(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        release()  # what this worker's earlier tasks left
         rows = [r for b in batches for r in b.to_pylist()]
         rows.sort(key=lambda r: (r["bucket"], r["block"]))
         if not rows:
@@ -359,8 +360,10 @@ def remove_repeats(
             texts += [body[i:j] for i, j in zip((ends - sizes).tolist(), ends.tolist(), strict=True)]
             owners.append(from_deltas(r.pop("owner")))
             sent.append(len(sizes))
+        del body, sizes, ends
         w = words_of(texts)
         del texts
+        release()
         owner = np.concatenate(owners)
         leaf, repeated = _repeats(w, owner, window)
         # back to the sender: ordinals, among the windows it sent, of those that an earlier document has

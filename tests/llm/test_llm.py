@@ -293,6 +293,17 @@ def test_toxicity_holds_little():
     assert _peak(lambda: toxicity.score_texts(chain, texts)) < 8 * size
 
 
+def test_word_codes_hold_little():
+    words = np.random.default_rng(6).integers(0, 50_000, 1 << 20).tolist()
+    w = substring_dedup.words_of([" ".join(f"word{k}" for k in words).encode(), b"", b"word1 word2"])
+    code: list = []
+    assert _peak(lambda: code.append(w.codes())) < 48 * len(w.hash)
+    assert len(set(code[0].tolist())) == len(set(words)) and code[0][-2] == code[0][words.index(1)]
+    assert code[0].tolist() == np.unique(w.hash, return_inverse=True)[1].tolist()
+    none = substring_dedup.words_of([])
+    assert len(none.codes()) == 0 and len(none.same(none.start, none.start)) == 0
+
+
 def test_toxicity_by_parts(monkeypatch):
     """Blocks of texts and parts of sequences change neither the model nor the scores and spans."""
     rng = np.random.default_rng(5)
