@@ -267,8 +267,9 @@ def multi_index_rows(spark, d):
 @query("SELECT vec_id, len(embedding) AS dim, list_transform(embedding[1:8], lambda x: round(x::DOUBLE, 5)) AS head, round(list_min(embedding)::DOUBLE, 5) AS low, round(list_max(embedding)::DOUBLE, 5) AS high FROM embeddings")
 def embedding_preview(spark, d):
     e = F.col("embedding").cast("array<double>")
+    rounded = lambda x: F.signum(x) * F.round(F.abs(x), 5)  # noqa: E731  what rounds to zero keeps its sign, as in SQL
     return corpus.table(spark, d, "embeddings").select(
-        "vec_id", F.size(e).cast("bigint").alias("dim"), F.transform(F.slice(e, 1, 8), lambda x: F.round(x, 5)).alias("head"), F.round(F.array_min(e), 5).alias("low"), F.round(F.array_max(e), 5).alias("high")
+        "vec_id", F.size(e).cast("bigint").alias("dim"), F.transform(F.slice(e, 1, 8), rounded).alias("head"), rounded(F.array_min(e)).alias("low"), rounded(F.array_max(e)).alias("high")
     )
 
 

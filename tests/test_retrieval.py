@@ -9,3 +9,16 @@ def test_bm25_ties_go_to_the_smallest_ids(spark, monkeypatch):
     near = spark.range(50).selectExpr("0 as query_id", "id", "1 + id * 1e-13 as score")  # equal to 9 places
     monkeypatch.setattr(R.S, "bm25_scores", lambda *a: near)
     assert sorted(r.id for r in R._bm25_hits(spark, "/root/testdata/sf0.001", 3).collect()) == [0, 1, 2]
+
+
+def test_embedding_preview_keeps_the_sign_of_zero(spark, tmp_path):
+    import duckdb
+    from docloom.plans import enrichment
+
+    rows = [(1, [-2e-6, 2e-6, -0.0, 0.0, 0.015625, -0.015625, -0.5, 0.25, 1.0]), (2, [-3e-6, -4e-6]), (3, [4e-6])]
+    spark.createDataFrame(rows, "vec_id int, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = {r.vec_id: repr((r["head"], r.low, r.high)) for r in enrichment.embedding_preview(spark, str(tmp_path)).collect()}
+    con = duckdb.connect()
+    con.execute(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = con.execute(f"select vec_id, head, low, high from ({enrichment.ORACLES['embedding_preview']})").fetchall()
+    assert got == {i: repr((head, low, high)) for i, head, low, high in want}
