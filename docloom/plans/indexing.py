@@ -167,8 +167,7 @@ def multi_vector_search(spark, d):
     e = corpus.table(spark, d, "embeddings").select("vec_id", "embedding")
     q = e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec"))
     kinds = e.unionByName(e.withColumn("embedding", F.reverse("embedding")))
-    best = S.against_all(kinds, q).groupBy("query_id", "vec_id").agg(F.max("score").alias("s"))
-    return best.filter("s >= 0.3").select("query_id", "vec_id", F.round("s", 6).alias("score"))
+    return S.against_all(kinds, q, least=0.3, several=True).select("query_id", "vec_id", F.round("score", 6).alias("score"))
 
 
 @query(f"SELECT document_id, n > 5000 OR tables > 5 AS summarize, CASE WHEN n > 50000 THEN 'section' WHEN n > 20000 THEN 'partial' ELSE 'full' END AS kind FROM (SELECT document_id, strlen(content) AS n, length(content) - length(replace(content, '|', '')) AS tables FROM {DOCS})")
