@@ -200,3 +200,17 @@ def test_an_index_is_built_once_and_again_if_it_went(spark, units):
     assert one.path == two.path and len(made) == 1
     shutil.rmtree(one.path)
     assert search_indexes.built(spark, "somewhere", "once", make).path != one.path and len(made) == 2
+
+
+def test_postings_are_dealt_in_pieces(spark, tmp_path):
+    """The pieces lie in the buckets that a search looks in, and a build shuffles a row for each segment and bucket, not for each word."""
+    texts = [f"Köln 日本語 wort{i % 7} straße the the" for i in range(60)] + ["", None]
+    units = spark.createDataFrame(list(enumerate(texts)), "id int, content string").coalesce(1)
+    index = inverted.build(units, str(tmp_path / "i"), "id", ["content"], buckets=4, segment=25)
+    rows = spark.read.parquet(f"{index.path}/postings")
+    words = rows.filter("bucket >= 0")
+    assert words.filter(F.col("bucket") != inverted._bucket(F.col("term"), 4)).isEmpty()
+    assert words.groupBy("term", "segment").count().filter("count > 1").isEmpty() and words.agg(F.max("n")).first()[0] == 25
+    assert rows.filter("bucket = -1").agg(F.sum("n"), F.sum("length")).first()[:] == (62, 60 * 6)
+    got = index.phrases(spark.createDataFrame([(1, "straße the the")], "query_id int, text string"))
+    assert {(r.id, r.n, r["first"]) for r in got.collect()} == {(i, 1, 3) for i in range(60)}
