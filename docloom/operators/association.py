@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,26 +33,44 @@ def expansions(units: DataFrame, text_col: str, terms: DataFrame, window: int =
     return top_k(scored, ["term"], F.desc("score"), "other", k).select("term", "other", "n", "score", "rank")
 
 
-#: Buckets of a sentence's byte pairs.
-DIMENSIONS = 257
+#: Buckets of a sentence's byte pairs, and sentences whose vectors a task holds at once.
+DIMENSIONS, BLOCK = 257, 4096
 
 
 def sentence_similarity(units: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id_col, sentence, near: the sentences of each unit (from 0) and the cosine of each with the one before, null for the first.
 
-    A sentence's vector counts its pairs of neighbouring bytes in DIMENSIONS buckets. Vectors stay sparse rows: neighbours
-    meet by unit, bucket and number, so no vector and no unit is gathered."""
-    rows = units.select(F.col(id_col).alias("id"), F.posexplode(sentences(F.col(text_col))).alias("sentence", "s"))
-    codes = F.regexp_extract_all(F.hex(F.encode("s", "UTF-8")), F.lit("(?=([0-9A-F]{4}))[0-9A-F]{2}"), F.lit(1))
-    pairs = rows.select("id", "sentence", F.explode(codes).alias("code"))
-    cells = pairs.groupBy("id", "sentence", (F.conv("code", 16, 10).cast("int") % DIMENSIONS).alias("bucket")).agg(F.count("*").alias("n"))
-    norms = cells.groupBy("id", "sentence").agg(F.sum(F.col("n") * F.col("n")).alias("norm"))
-    before = cells.select("id", (F.col("sentence") + 1).alias("sentence"), "bucket", F.col("n").alias("m"))
-    dots = cells.join(before, ["id", "sentence", "bucket"]).groupBy("id", "sentence").agg(F.sum(F.col("n") * F.col("m")).alias("dot"))
-    last = norms.select("id", (F.col("sentence") + 1).alias("sentence"), F.col("norm").alias("last"))
-    met = rows.select("id", "sentence").join(norms, ["id", "sentence"], "left").join(last, ["id", "sentence"], "left").join(dots, ["id", "sentence"], "left")
-    near = F.coalesce(F.col("dot") / F.sqrt((F.col("norm") * F.col("last")).cast("double")), F.lit(0.0))
-    return met.select(F.col("id").alias(id_col), "sentence", F.when(F.col("sentence") > 0, F.round(near, 9)).alias("near"))
+    A sentence's vector counts its pairs of neighbouring bytes in DIMENSIONS buckets. The sentences of a unit stand in one
+    row, so neighbours are compared where it is read, BLOCK vectors at a time."""
+    rows = units.select(F.col(id_col).alias("id"), sentences(F.col(text_col)).alias("s"))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        for b in batches:
+            size = pa.compute.fill_null(pa.compute.list_value_length(b.column(1)), 0).to_numpy()
+            unit = np.repeat(np.arange(b.num_rows), size)
+            number = np.arange(len(unit)) - np.repeat(np.cumsum(size) - size, size)
+            said, last = b.column(1).flatten().cast(pa.binary()), np.zeros((1, DIMENSIONS), np.int64)
+            for i in range(0, len(said), BLOCK):
+                counts = np.concatenate((last, _pair_counts(said[i : i + BLOCK])))
+                last = counts[-1:]
+                norms = (counts * counts).sum(axis=1)
+                dots, norm = (counts[1:] * counts[:-1]).sum(axis=1), np.sqrt((norms[1:] * norms[:-1]).astype(np.float64))
+                near = np.divide(dots, norm, out=np.zeros(len(dots)), where=norm > 0)
+                at = slice(i, i + BLOCK)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(unit[at])), pa.array(number[at], pa.int32()), pa.array(near)], names=["id", "sentence", "near"])
+
+    met = rows.mapInArrow(run, f"id {dict(rows.dtypes)['id']}, sentence int, near double")
+    return met.select(F.col("id").alias(id_col), "sentence", F.when(F.col("sentence") > 0, F.round("near", 9)).alias("near"))
+
+
+def _pair_counts(said: pa.Array) -> np.ndarray:
+    """For each binary value how many of its pairs of neighbouring bytes fall into each bucket."""
+    raw = np.frombuffer(b"".join(said.to_pylist()), np.uint8).astype(np.int64)
+    size = pa.compute.binary_length(said).to_numpy()
+    of = np.repeat(np.arange(len(said)), size)
+    inside = np.flatnonzero(of[1:] == of[:-1])
+    bucket = (raw[inside] * 256 + raw[inside + 1]) % DIMENSIONS
+    return np.bincount(of[inside] * DIMENSIONS + bucket, minlength=len(said) * DIMENSIONS).reshape(len(said), DIMENSIONS)
 
 
 def similarity_segments(units: DataFrame, id_col: str, text_col: str, depth: float = 0.2, reach: int = 3) -> DataFrame:

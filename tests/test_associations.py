@@ -57,3 +57,20 @@ def test_tables(spark):
     assert index["big", "c", "y"] == (50, 1) and index["small", "d", "3"] == (1, 3)
     links = {(r.tab, r.a, r.b): r.rows for r in A.cell_links(cells, "tab", "line").collect()}
     assert links["small", "c=a", "d=3"] == 1 and len(links) == 10
+
+
+def test_sentences_meet_over_blocks_without_a_join(spark, monkeypatch):
+    """Neighbours on either side of a block are compared, too, and nothing is shuffled for it."""
+    monkeypatch.setattr(A, "BLOCK", 3)
+    text = ". ".join(f"{'ab' * (i % 4 + 1)} côté {i}" for i in range(10)) + ". x. yy"
+    units = spark.createDataFrame([(1, text), (2, "x"), (3, None), (4, text)], "id int, text string").coalesce(1)
+    found = A.sentence_similarity(units, "id", "text")
+    ss = [s.strip() for s in text.split(".")]
+    for i in (1, 4):
+        near = {r.sentence: r.near for r in found.filter(f"id = {i}").collect()}
+        assert len(near) == len(ss) and near[0] is None
+        for n in range(1, len(ss)):
+            a, b = vector(ss[n]), vector(ss[n - 1])
+            norm = math.sqrt(sum(v * v for v in a.values()) * sum(v * v for v in b.values()))
+            assert abs(near[n] - (sum(a[k] * b[k] for k in a) / norm if norm else 0)) < 1e-8
+    assert "Exchange hash" not in found._jdf.queryExecution().executedPlan().toString()
