@@ -829,3 +829,15 @@ def test_near_copies_leave_no_shuffle_files(spark):
     assert spark.conf.get(name, None) == set_to
     root = {r.id: r.root for r in groups.collect()}
     assert len(set(root.values())) == 10 and all(root[i] == root[i - i % 4] for i in root)
+
+
+def test_near_copies_leave_out_no_candidate(spark):
+    """All classes of near fingerprints meet unless they are linked, not the least ones only; of a band, too."""
+    fps = [0, 0, 0, 1 << 63, 3, 7, 1 << 40, (1 << 40) | 6]
+    classes = [(i, 100 if i != 2 else 50, fp if fp < 1 << 63 else fp - (1 << 64), i if i != 1 else 0) for i, fp in enumerate(fps)]
+    df = spark.createDataFrame(classes, "cls bigint, n bigint, fp bigint, root bigint")
+    want = {(a[0], b[0]) for a in classes for b in classes if a[0] < b[0] and a[3] != b[3] and (fps[a[0]] ^ fps[b[0]]).bit_count() <= 2 and min(a[1], b[1]) >= 0.8 * max(a[1], b[1])}
+    assert (1, 3) in want and {(r.u, r.v) for r in near_copies._rest(df).collect()} == want
+    band = spark.createDataFrame([(9, i, 10, i // 3) for i in range(12)], "key bigint, cls bigint, n bigint, root bigint")
+    got = near_copies._across(band, spark.createDataFrame([(9, 9)], "a bigint, b bigint")).collect()
+    assert {(r.u, r.v) for r in got} == {(i, j) for j in range(12) for i in range(j) if i // 3 != j // 3}
