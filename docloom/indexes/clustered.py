@@ -10,8 +10,8 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docloom.operators.retrieval import dot, top_k, unit
-from docloom.session import settle
+from docloom.operators.retrieval import against_all, dot, top_k, unit
+from docloom.session import settle, shuffles_dropped
 
 #: The centroids are fitted on at most so many vectors, and there are at most so many.
 SAMPLE, MOST_LISTS = 20_000, 1024
@@ -33,7 +33,8 @@ def build(vectors: DataFrame, path: str, id_col: str, vec_col: str, keep: tuple[
         model.write().overwrite().save(f"{path}/centroids")
     model = KMeansModel.load(f"{path}/centroids")
     placed = model.transform(rows).drop("features").withColumn("batch", F.lit(batch))
-    placed.hint("rebalance", "list").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("list", "batch").parquet(f"{path}/vectors")
+    with shuffles_dropped(spark):
+        placed.hint("rebalance", "list").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("list", "batch").parquet(f"{path}/vectors")
     return VectorIndex(spark, path)
 
 
@@ -69,18 +70,19 @@ class VectorIndex:
         rows = self.spark.read.parquet(f"{self.path}/vectors")
         rows = rows if where is None else rows.filter(where)
         found, done = None, 0
-        while True:
-            now, done = left.filter(F.col("turn") <= done + probe), done + probe
-            probe *= 2
-            numbers = [r.list for r in now.select("list").distinct().collect()]  # at most MOST_LISTS
-            if not numbers:
-                break
-            met = rows.filter(F.col("list").isin(numbers)).select("list", "id", "vec").join(now.select("list", "query_id"), "list").join(asked, "query_id").filter("id <> query_id")
-            scored = met.select("query_id", "id", dot(F.col("vec"), F.col("qvec")).alias("score"))
-            scored = scored if least is None else scored.filter(F.col("score") >= least)
-            both = scored if found is None else found.drop("rank").unionByName(scored)
-            found = settle(top_k(both, ["query_id"], F.desc(F.round("score", 9)), "id", k))
-            beat = found.filter(F.col("rank") == k).select("query_id", F.col("score").alias("beat"))
-            left = left.filter(F.col("turn") > done).join(beat, "query_id", "left").filter(F.col("beat").isNull() | (F.col("bound") >= F.col("beat") - 1e-9))
-            left = settle((left if least is None else left.filter(F.col("bound") >= least)).drop("beat"))
+        with shuffles_dropped(self.spark):
+            while True:
+                now, done = left.filter(F.col("turn") <= done + probe), done + probe
+                probe *= 2
+                numbers = [r.list for r in now.select("list").distinct().collect()]  # at most MOST_LISTS
+                if not numbers:
+                    break
+                read = rows.filter(F.col("list").isin(numbers)).select(F.col("id").alias("vec_id"), F.col("vec").alias("embedding"), F.col("list").alias("part"))
+                asks = now.groupBy("query_id").agg(F.collect_list("list").alias("parts")).join(asked.filter("qvec is not null"), "query_id")
+                scored = against_all(read, settle(asks), k, least, parted=True).withColumnRenamed("vec_id", "id")
+                both = scored if found is None else found.drop("rank").unionByName(scored)
+                found = settle(top_k(both, ["query_id"], F.desc(F.round("score", 9)), "id", k))
+                beat = found.filter(F.col("rank") == k).select("query_id", F.col("score").alias("beat"))
+                left = left.filter(F.col("turn") > done).join(beat, "query_id", "left").filter(F.col("beat").isNull() | (F.col("bound") >= F.col("beat") - 1e-9))
+                left = settle((left if least is None else left.filter(F.col("bound") >= least)).drop("beat"))
         return found if found is not None else asked.limit(0).select("query_id", F.col("query_id").alias("id"), F.lit(0.0).alias("score"), F.lit(0).alias("rank"))

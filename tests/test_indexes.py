@@ -214,3 +214,15 @@ def test_postings_are_dealt_in_pieces(spark, tmp_path):
     assert rows.filter("bucket = -1").agg(F.sum("n"), F.sum("length")).first()[:] == (62, 60 * 6)
     got = index.phrases(spark.createDataFrame([(1, "straße the the")], "query_id int, text string"))
     assert {(r.id, r.n, r["first"]) for r in got.collect()} == {(i, 1, 3) for i in range(60)}
+
+
+def test_lists_meet_only_the_queries_that_ask_for_them(spark, monkeypatch):
+    monkeypatch.setattr(S, "ROWS", 5), monkeypatch.setattr(S, "ASKED", 2)
+    x = np.random.default_rng(4).standard_normal((30, 6))
+    v = spark.createDataFrame([(i, r.tolist(), i % 4) for i, r in enumerate(x)], "vec_id int, embedding array<double>, part int").repartition(2)
+    asks = {0: [1, 3], 5: [2], 6: [7], 9: [0, 1, 2, 3]}
+    q = spark.createDataFrame([(i, x[i].tolist(), p) for i, p in asks.items()], "query_id int, qvec array<double>, parts array<int>")
+    got = {(r.query_id, r.vec_id) for r in S.against_all(v, q, parted=True).collect()}
+    assert got == {(i, j) for i, p in asks.items() for j in range(30) if j != i and j % 4 in p}
+    some = S.against_all(v, q, 2, 0.1, parted=True)
+    assert {(r.query_id, r.vec_id) for r in some.collect()} <= got and "Exchange hash" not in some._jdf.queryExecution().executedPlan().toString()
